@@ -189,7 +189,7 @@ def dispatch() -> str:
       min_by(variable, ordinal) filter ({matches("variable", RAINFALL)}) as rain from cat group by 1)"""
     return given("cat") + f""", {roles},
       c as (select dataset_id, variable, {category("variable")} as category, u_variable, v_variable, rain
-        from cat join roles using (dataset_id)),
+        from cat left join roles using (dataset_id)),
       p as (
         select *, 0 as position, case when category in ('rainfall', 'wind', 'humidity') then category else 'temperature' end as panel,
           variable as target from c
@@ -323,13 +323,14 @@ ORACLE = {
     + f"select 'run' || run as dataset_id, {T_TIME}, lat, lon, a as uas, b as vas, c as hurs from runs_wide where run in (1, 5)",
     "classify_variables": f"""with {WORDS}, named as (select distinct variable, {category("variable")} as category from words)
       select variable, category, upper(category[1]) || category[2:] as category_label from named""",
-    "find_variable": f"""with {WORDS} select dataset_id, min_by(variable, ordinal) filter ({matches("variable", RAINFALL)}) as found
-      from words group by 1""",
+    "find_variable": f"""with {WORDS} select dataset_id, min_by(variable, ordinal) as found
+      from words where {matches("variable", RAINFALL)} group by 1""",
     "find_roles": given("cat")
     + f"""select dataset_id, min_by(variable, ordinal) filter ({matches("variable", WIND_U)}) as u_variable,
       min_by(variable, ordinal) filter ({matches("variable", WIND_V)}) as v_variable,
       min_by(variable, ordinal) filter ({matches("variable", HUMIDITY)}) as humidity_variable,
-      min_by(variable, ordinal) filter ({matches("variable", RAINFALL)}) as rain_variable from cat group by 1""",
+      min_by(variable, ordinal) filter ({matches("variable", RAINFALL)}) as rain_variable from cat
+      where {matches("variable", WIND_U + WIND_V + HUMIDITY + RAINFALL)} group by 1""",
     "choose_variable": given("cat")
     + """select dataset_id, case when bool_or(variable = 'hurs') then 'hurs' when bool_or(variable = 'sst') then 'sst'
       else min_by(variable, ordinal) end as variable from cat group by 1""",

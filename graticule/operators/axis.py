@@ -9,7 +9,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graticule.operators.groups import BROADCAST_ROWS, cut_lineage
+from graticule.operators.groups import broadcast_if_small, cut_lineage
 from graticule.spec import DEFAULT, GridSpec, names
 
 STORY_MIN, STORY_MAX = 4, 6
@@ -75,34 +75,35 @@ def story_positions(nt: Column) -> Column:
     return F.when(nt >= 1, spaced)
 
 
-def pick_steps(df: DataFrame, positions: DataFrame, spec: GridSpec, by: Sequence[str]) -> DataFrame:
-    """Adds the time of each wanted position (columns ``by``, ``step``, ``time_idx``)."""
-    if spec.has_index(df) and spec.time not in df.columns:
-        return positions
-    if spec.has_index(df):
-        axis = time_axis(restrict(df, positions, [spec.time_idx], by), spec, by)
-    else:
+def pick_steps(df: DataFrame, positions: DataFrame, spec: GridSpec, by: Sequence[str] = ()) -> DataFrame:
+    """Adds the time of each wanted position (columns ``by``, ``step``, ``time_idx``).
+
+    The result has a handful of rows per group and is needed several times, so its lineage is cut.
+    """
+    by = names(by)
+    if not spec.has_index(df):
         axis = time_axis(df, spec, by)
+    elif spec.time in df.columns:
+        positions = cut_lineage(positions)
+        axis = time_axis(restrict(df, positions, spec.time_idx, by), spec, by)
+    else:
+        return cut_lineage(positions)
     if not by:
         positions = F.broadcast(positions)  # at most six rows
-    return axis.join(positions, [*by, spec.time_idx])
+    return cut_lineage(axis.join(positions, [*by, spec.time_idx]))
 
 
-def restrict(df: DataFrame, picked: DataFrame, keys: Sequence[str], by: Sequence[str], steps: int = STORY_MAX) -> DataFrame:
+def restrict(df: DataFrame, steps: DataFrame, key: str, by: Sequence[str] = ()) -> DataFrame:
     """Keeps the rows at the picked time steps, so that the scan reads only those.
 
     Without groups the wanted values are scalar subqueries and reach the file scan as filters. With groups it is a
-    semi-join, broadcast only after counting.
+    semi-join.
     """
     by = names(by)
-    if not by:
-        (key,) = keys
-        wanted = [picked.where(F.col("step") == k).select(key).scalar() for k in range(steps)]
-        return df.where(reduce(or_, [F.col(key) == value for value in wanted]))
-    table = cut_lineage(picked.select(*by, *keys).distinct())
-    if table.count() <= BROADCAST_ROWS:
-        table = F.broadcast(table)
-    return df.join(table, [*by, *keys], "left_semi")
+    if by:
+        return df.join(broadcast_if_small(steps.select(*by, key).distinct()), [*by, key], "left_semi")
+    wanted = [steps.where(F.col("step") == k).select(key).scalar() for k in range(STORY_MAX)]
+    return df.where(reduce(or_, [F.col(key) == value for value in wanted]))
 
 
 def time_slice(
@@ -122,7 +123,7 @@ def time_slice(
     wanted = clip_index(index, F.col("nt")) if clip else F.lit(index)
     positions = axis_length(df, spec, by).select(*by, F.lit(0).alias("step"), wanted.alias(spec.time_idx))
     if not spec.has_index(df):
-        return restrict(df, pick_steps(df, positions, spec, by), [spec.time], by, steps=1)
+        return restrict(df, pick_steps(df, positions, spec, by), spec.time, by)
 
     position = F.col(spec.time_idx)
     if not clip:
@@ -130,4 +131,5 @@ def time_slice(
     if not by:
         last = positions.select(spec.time_idx).scalar()
         return df.where((position == last) | position.isNull())
-    return restrict(df, positions, [spec.time_idx], by).unionByName(df.where(position.isNull()))
+    kept = restrict(df, cut_lineage(positions), spec.time_idx, by)
+    return kept.unionByName(df.where(position.isNull()))

@@ -61,18 +61,25 @@ def _first_match(keys: Sequence[str]) -> Column:
 
 
 def find_variable(catalog: DataFrame, keys: Sequence[str], by: Sequence[str] = ("dataset_id",)) -> DataFrame:
-    """First variable in file order whose name contains a key; NULL when there is none."""
-    return catalog.groupBy(*names(by)).agg(_first_match(keys).alias("found"))
+    """First variable in file order whose name contains a key. A dataset without one has no row."""
+    hits = catalog.where(classify.contains_any(F.col("variable"), keys))
+    return hits.groupBy(*names(by)).agg(F.min_by("variable", "ordinal").alias("found"))
 
 
 def find_roles(catalog: DataFrame, by: Sequence[str] = ("dataset_id",)) -> DataFrame:
-    """The wind components, the humidity and the rainfall variable of each dataset, in one pass."""
-    return catalog.groupBy(*names(by)).agg(
-        _first_match(classify.WIND_U).alias("u_variable"),
-        _first_match(classify.WIND_V).alias("v_variable"),
-        _first_match(classify.HUMIDITY).alias("humidity_variable"),
-        _first_match(classify.RAINFALL).alias("rain_variable"),
-    )
+    """The wind components, the humidity and the rainfall variable of each dataset, in one pass.
+
+    A dataset with none of them has no row.
+    """
+    parts = {
+        "u_variable": classify.WIND_U,
+        "v_variable": classify.WIND_V,
+        "humidity_variable": classify.HUMIDITY,
+        "rain_variable": classify.RAINFALL,
+    }
+    every = [k for keys in parts.values() for k in keys]
+    hits = catalog.where(classify.contains_any(F.col("variable"), every))
+    return hits.groupBy(*names(by)).agg(*[_first_match(keys).alias(part) for part, keys in parts.items()])
 
 
 def choose_variable(
@@ -94,7 +101,7 @@ def explore_panels(catalog: DataFrame, dataset: str = "dataset_id") -> DataFrame
     """
     roles = find_roles(catalog, [dataset])
     variable, category = F.col("variable"), F.col("category")
-    listed = with_category(catalog).join(roles, dataset)
+    listed = with_category(catalog).join(roles, dataset, "left")
 
     def panel(name: str, target: Column) -> Column:
         return F.struct(F.lit(name).alias("panel"), target.alias("target"))

@@ -18,14 +18,15 @@ SALTS = 64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the cluster names it. Only a local session may fall back to a temporary one."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors share, as the cluster names it. Only a local session falls back to a temporary one."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if named:
         return named
-    if not spark.conf.get("spark.master", "local").startswith("local"):
+    if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     made = tempfile.mkdtemp(prefix="graticule-")
-    spark.conf.set("spark.checkpoint.dir", made)
+    context.setCheckpointDir(made)
     return made
 
 
@@ -37,6 +38,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def broadcast_if_small(facts: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Marks a table whose lineage is cut for broadcast when its count is within the bound; else leaves it to a shuffle."""
+    return F.broadcast(facts) if facts.count() <= rows else facts
+
+
 def attach(
     df: DataFrame,
     facts: DataFrame,

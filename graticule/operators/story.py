@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from graticule.functions import calendar
 from graticule.operators import axis, cube
-from graticule.operators.groups import BROADCAST_ROWS, attach, cut_lineage
+from graticule.operators.groups import attach, broadcast_if_small
 from graticule.spec import DEFAULT, GridSpec, names
 
 # The caption of each step.
@@ -53,15 +53,9 @@ def story_slices(df: DataFrame, steps: DataFrame, spec: GridSpec = DEFAULT, by:
     """The cells of every step. A position that several steps share appears once per step."""
     by = names(by)
     key = spec.time_key(df)
-    cells = axis.restrict(df, steps, [key], by)
     wanted = steps.select(*by, "step", key)
-    if not by:
-        wanted = F.broadcast(wanted)
-    else:
-        wanted = cut_lineage(wanted)
-        if wanted.count() <= BROADCAST_ROWS:
-            wanted = F.broadcast(wanted)
-    return cells.join(wanted, [*by, key])
+    wanted = broadcast_if_small(wanted) if by else F.broadcast(wanted)  # six rows without groups
+    return axis.restrict(df, steps, key, by).join(wanted, [*by, key])
 
 
 def story_frames(df: DataFrame, spec: GridSpec = DEFAULT, by: Sequence[str] = ()) -> DataFrame:

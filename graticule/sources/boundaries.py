@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 RINGS = "array<array<struct<lon:double,lat:double>>>"
 SCHEMA = f"name string, rings {RINGS}"
-PROPERTIES = "properties: map<string,string>"
-GEOMETRY = "geometry: struct<type:string,coordinates:string>"
+GEOMETRY = T.StructType().add("type", "string").add("coordinates", "string")
+FEATURE = T.StructType().add("properties", T.MapType(T.StringType(), T.StringType())).add("geometry", GEOMETRY)
 
 
 def exterior_rings(kind: Column, coordinates: Column) -> Column:
@@ -30,9 +31,10 @@ def exterior_rings(kind: Column, coordinates: Column) -> Column:
 def read_geojson(spark: SparkSession, path: str, name: str = "NAME", per_line: bool = True) -> DataFrame:
     """Reads GeoJSON with one feature per line, which splits over tasks, or whole FeatureCollection files."""
     if per_line:
-        features = spark.read.schema(f"{PROPERTIES}, {GEOMETRY}").json(path)
+        features = spark.read.schema(FEATURE).json(path)
     else:
-        whole = spark.read.schema(f"features array<struct<{PROPERTIES}, {GEOMETRY}>>").option("multiLine", True).json(path)
+        collection = T.StructType().add("features", T.ArrayType(FEATURE))
+        whole = spark.read.schema(collection).option("multiLine", True).json(path)
         features = whole.select(F.explode("features").alias("f")).select("f.*")
     return features.select(
         F.col("properties")[name].alias("name"),
@@ -47,6 +49,7 @@ def read_boundaries(spark: SparkSession, *paths: str, name: str = "NAME", per_li
             if path.endswith(".parquet"):
                 return spark.read.schema(SCHEMA).parquet(path)
             return read_geojson(spark, path, name, per_line)
-        except AnalysisException:
-            continue
+        except AnalysisException as problem:
+            if problem.getCondition() != "PATH_NOT_FOUND":
+                raise
     return spark.createDataFrame([], SCHEMA)
