@@ -92,8 +92,17 @@ def hotspot_cell(df: DataFrame, spec: GridSpec = DEFAULT) -> Column:
 
 
 def hotspot(df: DataFrame, spec: GridSpec = DEFAULT, by: Sequence[str] = ()) -> DataFrame:
-    """Place and value of the hotspot of each field. No row for a field without values."""
+    """Place and value of the hotspot of each field. No row for a field without values.
+
+    Grouped fields are read twice: the largest absolute values first, which hash aggregation combines before the
+    shuffle, then the first of the few cells that attain them.
+    """
     by = names(by)
+    if by:
+        size = F.abs(spec.v())
+        largest = drop_missing(df, spec).groupBy(*by).agg(F.max(size).alias("__largest"))
+        needed = list(dict.fromkeys([*by, *spec.space_order(df), spec.lat, spec.lon, spec.value]))
+        df = attach(df.select(*needed), largest, by, spec.space_order(df)).where(size == F.col("__largest"))
     peaks = df.groupBy(*by).agg(hotspot_cell(df, spec))
     return peaks.where(F.col("hotspot").isNotNull()).select(*by, "hotspot.*")
 
