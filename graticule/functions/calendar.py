@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from datetime import datetime, timedelta
+from datetime import date
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,7 +24,7 @@ UNIT_MICROS = {
 MIXED_CALENDARS = {"standard", "gregorian"}
 SUPPORTED_CALENDARS = MIXED_CALENDARS | {"proleptic_gregorian"}
 
-EPOCH = datetime(1970, 1, 1)
+JULIAN_DAYS_TO_1970 = 719_470                # from 1 March of year 0, Julian, to 1 January 1970
 GREGORIAN_START = -12_219_292_800_000_000   # 1582-10-15 in microseconds since 1970
 YEAR_1 = -62_135_596_800_000_000            # 0001-01-01
 YEAR_10000 = 253_402_300_800_000_000        # 10000-01-01
@@ -36,7 +36,16 @@ _SINCE = re.compile(
 )
 
 
-def parse_units(units: str | None) -> tuple[int, int] | None:
+def days_since_1970(year: int, month: int, day: int, calendar: str) -> int:
+    """Days of a reference date. The mixed calendars count dates before 15 October 1582 as Julian ones."""
+    if calendar in MIXED_CALENDARS and (year, month, day) < (1582, 10, 15):
+        march_month, march_year = (month - 3) % 12, year - (month < 3)
+        since_march = (153 * march_month + 2) // 5 + day - 1
+        return 365 * march_year + march_year // 4 + since_march - JULIAN_DAYS_TO_1970
+    return date(year, month, day).toordinal() - date(1970, 1, 1).toordinal()
+
+
+def parse_units(units: str | None, calendar: str | None = None) -> tuple[int, int] | None:
     """(microseconds per unit, reference time in microseconds since 1970) of "days since 2000-01-01"; None if unreadable."""
     found = _SINCE.match(units or "")
     if not found:
@@ -54,12 +63,11 @@ def parse_units(units: str | None) -> tuple[int, int] | None:
         hours, minutes = (int(digits[:-2]), int(digits[-2:])) if len(digits) > 2 else (int(digits), 0)
         offset = (hours * 60 + minutes) * (-1 if zone[0] == "-" else 1)
     try:
-        start = datetime(year, month, day) + timedelta(
-            hours=clock[0], minutes=clock[1] - offset, microseconds=round(clock[2] * 1_000_000)
-        )
-    except (ValueError, OverflowError):
+        days = days_since_1970(year, month, day, (calendar or "standard").lower())
+    except ValueError:
         return None
-    return micros, (start - EPOCH) // timedelta(microseconds=1)
+    seconds = (days * 24 + int(clock[0])) * 3600 + (int(clock[1]) - offset) * 60
+    return micros, seconds * 1_000_000 + round(clock[2] * 1_000_000)
 
 
 def decodable_range(calendar: str | None) -> tuple[int, int] | None:
@@ -72,7 +80,7 @@ def decodable_range(calendar: str | None) -> tuple[int, int] | None:
 
 def decode_time(offset: Column, units: str, calendar: str = "standard") -> Column:
     """Time of a numeric offset such as hours since a date. What cannot be decoded is NULL, never a wrong date."""
-    parsed, limits = parse_units(units), decodable_range(calendar)
+    parsed, limits = parse_units(units, calendar), decodable_range(calendar)
     if parsed is None or limits is None:
         return F.lit(None).cast("timestamp_ntz")
     step, start = parsed
@@ -82,7 +90,7 @@ def decode_time(offset: Column, units: str, calendar: str = "standard") -> Colum
     whole = F.floor(F.when(inside, number))
     micros = whole * F.lit(step).cast("bigint") + F.round((number - whole) * float(step)).cast("bigint") + F.lit(start)
     seconds = (micros.cast("decimal(20,0)") / F.lit(1_000_000)).cast("decimal(18,6)")
-    return F.lit(EPOCH).cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)
+    return F.expr("timestamp_ntz'1970-01-01 00:00:00'") + F.make_dt_interval(secs=seconds)
 
 
 def parse_time(text: Column) -> Column:

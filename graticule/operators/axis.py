@@ -9,7 +9,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graticule.operators.groups import broadcast_if_small, cut_lineage
+from graticule.operators.groups import attach, broadcast_if_small, cut_lineage
 from graticule.spec import DEFAULT, GridSpec, names
 
 STORY_MIN, STORY_MAX = 4, 6
@@ -50,7 +50,8 @@ def with_time_index(df: DataFrame, spec: GridSpec = DEFAULT, by: Sequence[str] =
     """Stores positions on a table that lacks them. Rows without a time keep a NULL position."""
     if spec.has_index(df):
         return df
-    return df.join(time_axis(df, spec, by), [*names(by), spec.time], "left")
+    keys = [*names(by), spec.time]
+    return attach(df, time_axis(df, spec, by), keys, spec.row_order(df), how="left")
 
 
 def axis_length(df: DataFrame, spec: GridSpec = DEFAULT, by: Sequence[str] = ()) -> DataFrame:

@@ -49,6 +49,7 @@ def attach(
     by: Sequence[str],
     spread: Sequence[str],
     broadcast_rows: int = BROADCAST_ROWS,
+    how: str = "inner",
 ) -> DataFrame:
     """Adds the columns of ``facts``, which has one row per ``by`` group, to every row of ``df``.
 
@@ -64,9 +65,9 @@ def attach(
     keyed = facts.withColumnsRenamed({c: f"__by_{c}" for c in by})
     same = [F.col(c).eqNullSafe(F.col(f"__by_{c}")) for c in by]
     if facts.count() <= broadcast_rows:
-        joined = df.join(F.broadcast(keyed), same)
+        joined = df.join(F.broadcast(keyed), same, how)
     else:
         salt = F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")
         salted = keyed.withColumn("__by_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = df.withColumn("__salt", salt).join(salted, [*same, F.col("__salt") == F.col("__by_salt")])
+        joined = df.withColumn("__salt", salt).join(salted, [*same, F.col("__salt") == F.col("__by_salt")], how)
     return joined.select(*df.columns, *new)

@@ -19,16 +19,13 @@ def pair_components(u: DataFrame, v: DataFrame, keys: Sequence[str], spec: GridS
 
 
 def pair_from_long(df: DataFrame, u_name: str, v_name: str, keys: Sequence[str], spec: GridSpec = DEFAULT) -> DataFrame:
-    """The same from one long table: a single shuffle on the cell instead of a join."""
+    """The same from one long table, of which only the two variables are read.
+
+    The sort-merge join measured faster than grouping the long rows by cell, which has nothing to combine early. A grid
+    that keeps both components as columns of one row needs neither.
+    """
     variable = F.col("variable")
-    return (
-        df.where(variable.isin(u_name, v_name))
-        .groupBy(*keys)
-        .agg(
-            F.max(F.when(variable == u_name, spec.v())).alias("u"),
-            F.max(F.when(variable == v_name, spec.v())).alias("v"),
-        )
-    )
+    return pair_components(df.where(variable == u_name), df.where(variable == v_name), keys, spec)
 
 
 def with_speed(uv: DataFrame) -> DataFrame:

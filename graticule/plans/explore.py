@@ -92,8 +92,8 @@ def explore(
     def components(u: str | None, v: str | None) -> DataFrame | None:
         if not (u and v):
             return None
-        keys = [*spec.row_order(dataset)]
-        return wind.pair_from_long(dataset, u, v, keys, spec)
+        east, north = cells(u), cells(v)
+        return wind.pair_components(east, north, spec.row_order(east), spec)
 
     page: dict[str, dict[str, DataFrame]] = {}
     main = cells(variable)

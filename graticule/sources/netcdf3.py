@@ -215,7 +215,7 @@ def unpack(raw: np.ndarray, attributes: dict) -> np.ndarray:
 def decode_axis(offsets: np.ndarray, units: str | None, calendar: str | None) -> np.ndarray:
     """Times of a numeric axis as datetime64[us]; NaT where they cannot be decoded."""
     times = np.full(len(offsets), np.datetime64("NaT"), "datetime64[us]")
-    parsed, limits = parse_units(units), decodable_range(calendar)
+    parsed, limits = parse_units(units, calendar), decodable_range(calendar)
     if parsed is None or limits is None:
         return times
     step, start = parsed
