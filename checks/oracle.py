@@ -271,7 +271,8 @@ ORACLE = {
       (select *, min(value) over () as lo, max(value) over () as hi from ({slice_of('100')}))""",
     "normalise_slice": given("axis")
     + f"""select {T_TIME}, lat, lon, value, {q(SCALED)} as normalised from
-      (select *, min(value) over () as lo, max(value) over () as hi from ({slice_of('2000')}))""",
+      (select *, min(value) over () as lo, max(value) over () as hi
+       from ({slice_of('(select least(2000, count(*) - 1) from axis)')}))""",
     "normalise_per_time": given("t")
     + f"""select {T_TIME}, lat, lon, value, {q(SCALED)} as normalised from
       (select *, min(value) over (partition by time) as lo, max(value) over (partition by time) as hi from t)""",
@@ -334,6 +335,10 @@ ORACLE = {
     "choose_variable": given("cat")
     + """select dataset_id, case when bool_or(variable = 'hurs') then 'hurs' when bool_or(variable = 'sst') then 'sst'
       else min_by(variable, ordinal) end as variable from cat group by 1""",
+    "select_variable": given("cat")
+    + """, picked as (select dataset_id, case when bool_or(variable = 'hurs') then 'hurs' else min_by(variable, ordinal) end as variable
+        from cat group by 1)
+      select dataset_id, variable, count(*) as n, max(value) as max from runs join picked using (dataset_id, variable) group by 1, 2""",
     "dispatch": dispatch(),
     "time_decode": """select o_orderkey, cast(timestamp '1995-01-01 06:00:00' + to_minutes(o_orderkey * 15) as varchar) as time
       from orders""",

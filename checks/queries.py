@@ -413,6 +413,12 @@ def choose_variable(spark, sf_dir):
     return catalog.choose_variable(_catalog(spark, sf_dir), override="hurs", chosen="sst")
 
 
+@query
+def select_variable(spark, sf_dir):
+    picked = catalog.select_variable(standins.runs(spark, sf_dir), override="hurs")
+    return picked.groupBy("dataset_id", "variable").agg(F.count("*").alias("n"), F.max("value").alias("max"))
+
+
 @query
 def dispatch(spark, sf_dir):
     return catalog.explore_panels(_catalog(spark, sf_dir)).withColumn("position", F.col("position").cast("int"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graticule.functions import classify
+from graticule.operators.groups import broadcast_if_small, cut_lineage
 from graticule.spec import DEFAULT, GridSpec, names
 
 
@@ -94,6 +95,18 @@ def choose_variable(
     return catalog.groupBy(*names(by)).agg(F.coalesce(*wanted, F.min_by("variable", "ordinal")).alias("variable"))
 
 
+def select_variable(
+    df: DataFrame,
+    override: str | None = None,
+    chosen: str | None = None,
+    spec: GridSpec = DEFAULT,
+    dataset: str = "dataset_id",
+) -> DataFrame:
+    """Rows of the chosen variable of every dataset. On a table stored by variable the scan skips the others."""
+    picked = cut_lineage(choose_variable(catalog(df, spec, dataset), override, chosen, [dataset]))
+    return df.join(broadcast_if_small(picked), [dataset, "variable"], "left_semi")
+
+
 def explore_panels(catalog: DataFrame, dataset: str = "dataset_id") -> DataFrame:
     """Which index panels each variable opens, in display order, and on which variable each of them works.
 

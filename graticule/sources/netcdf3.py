@@ -35,6 +35,7 @@ from pyspark.sql.datasource import (
 )
 
 from graticule.functions.calendar import decodable_range, parse_units
+from graticule.sources.tables import write_grid
 
 SLAB_BYTES = 64 * 1024 * 1024
 BATCH_CELLS = 131_072
@@ -445,3 +446,8 @@ def read_netcdf3(spark: SparkSession, path: str, **options) -> DataFrame:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(NetCDF3Source)
     return spark.read.format("netcdf3").options(**options).load(path)
+
+
+def ingest_netcdf3(spark: SparkSession, source: str, target: str, mode: str = "errorifexists", **options) -> None:
+    """Converts files to a long Parquet table by dataset and variable, without a shuffle."""
+    write_grid(read_netcdf3(spark, source, **options), target, mode=mode)
