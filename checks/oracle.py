@@ -263,6 +263,11 @@ ORACLE = {
         from steps join axis using (time_idx) join t using (time))
       select step, time_idx, max(abs(value)) as symmetric_max, max(lat) filter (place = 1) as hot_lat,
         max(lon) filter (place = 1) as hot_lon, max(value) filter (place = 1) as hot_value from cells group by 1, 2""",
+    "story_globe": given("axis")
+    + STORY
+    + f"""select {T_TIME}, lat, lon, value, step, {q(SCALED)} as normalised, {SPHERE} from
+      (select t.*, step, min(value) over (partition by step) as lo, max(value) over (partition by step) as hi
+       from steps join axis using (time_idx) join t using (time))""",
     "hotspot_per_time": given("w")
     + f"""select {T_TIME}, lat as hot_lat, lon as hot_lon, u as hot_value from
       (select *, row_number() over (partition by time order by abs(u) desc, lat, lon) as place from w) where place = 1""",
@@ -277,6 +282,8 @@ ORACLE = {
     + f"""select {T_TIME}, lat, lon, value, {q(SCALED)} as normalised from
       (select *, min(value) over (partition by time) as lo, max(value) over (partition by time) as hi from t)""",
     "sphere_of_grid": given("h") + f"select lat, lon, count(*) as n, {SPHERE} from h group by lat, lon",
+    "axis_lookup": given("h")
+    + f"""select cast((lat + 60) / 30 as int) as lat_idx, lat, count(*) as n, {q("avg(value)")} as mean from h group by lat""",
     "boundary_vertices": vertices(),
     "boundary_scan": vertices(),
     "histogram": given("h") + histogram("value", "h"),

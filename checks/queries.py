@@ -194,10 +194,16 @@ def story_steps(spark, sf_dir):
 
 @query
 def story_hotspots(spark, sf_dir):
-    frames = story.story_frames(standins.temperature(spark, sf_dir))
+    frames = views.tell_story(standins.temperature(spark, sf_dir))["frames"]
     return frames.select("step", "time_idx", "symmetric_max", "hot_lat", "hot_lon", "hot_value")
 
 
+@query
+def story_globe(spark, sf_dir):
+    told = views.tell_story(standins.temperature(spark, sf_dir))["globe"]
+    return text_time(cut_all(told, "x", "y", "z", "normalised"))
+
+
 @query
 def hotspot_per_time(spark, sf_dir):
     wind_u = standins.atmosphere(spark, sf_dir).select("time", "lat", "lon", F.col("u").alias("value"))
@@ -229,6 +235,16 @@ def sphere_of_grid(spark, sf_dir):
     return cut_all(places.withColumns(xyz), "x", "y", "z")
 
 
+@query
+def axis_lookup(spark, sf_dir):
+    """Cells that keep only their latitude position, and the axis table of the latitudes."""
+    cells = standins.humidity(spark, sf_dir)
+    position = ((F.col("lat") + 60) / 30).cast("int").alias("lat_idx")
+    lats = cells.select(position, "lat").distinct()
+    placed = cube.attach_axis(cells.select(position, "value"), lats, "lat_idx")
+    return cut_all(placed.groupBy("lat_idx", "lat").agg(F.count("*").alias("n"), F.avg("value").alias("mean")), "mean")
+
+
 @query
 def boundary_vertices(spark, sf_dir):
     shapes = standins.features(spark, sf_dir)

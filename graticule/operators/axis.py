@@ -54,14 +54,6 @@ def with_time_index(df: DataFrame, spec: GridSpec = DEFAULT, by: Sequence[str] =
     return attach(df, time_axis(df, spec, by), keys, spec.row_order(df), how="left")
 
 
-def axis_length(df: DataFrame, spec: GridSpec = DEFAULT, by: Sequence[str] = ()) -> DataFrame:
-    """Number of time steps, ``nt``. Stored positions are dense, so their maximum tells it without a distinct count."""
-    by = names(by)
-    if spec.has_index(df):
-        return df.groupBy(*by).agg((F.max(spec.time_idx) + 1).alias("nt"))
-    return df.groupBy(*by).agg(F.countDistinct(spec.time_key(df)).cast("int").alias("nt"))
-
-
 def clip_index(index: int, nt: Column) -> Column:
     return F.least(F.lit(max(index, 0)), nt - 1)
 
@@ -76,22 +68,26 @@ def story_positions(nt: Column) -> Column:
     return F.when(nt >= 1, spaced)
 
 
-def pick_steps(df: DataFrame, positions: DataFrame, spec: GridSpec, by: Sequence[str] = ()) -> DataFrame:
-    """Adds the time of each wanted position (columns ``by``, ``step``, ``time_idx``).
+def steps_at(df: DataFrame, positions: Column, spec: GridSpec = DEFAULT, by: Sequence[str] = ()) -> DataFrame:
+    """The wanted time steps: ``by``, ``step`` (0, 1, ...), ``time_idx`` and the time.
 
-    The result has a handful of rows per group and is needed several times, so its lineage is cut.
+    ``positions`` is an array over ``nt``, the number of time steps. Stored positions are dense, so their maximum tells
+    ``nt`` without a distinct count; another table is ranked once. The result has a handful of rows per group and is
+    needed several times, so its lineage is cut.
     """
     by = names(by)
-    if not spec.has_index(df):
-        axis = time_axis(df, spec, by)
-    elif spec.time in df.columns:
-        positions = cut_lineage(positions)
-        axis = time_axis(restrict(df, positions, spec.time_idx, by), spec, by)
-    else:
-        return cut_lineage(positions)
+    indexed = spec.has_index(df)
+    axis = df if indexed else cut_lineage(time_axis(df, spec, by))
+    lengths = axis.groupBy(*by).agg((F.max(spec.time_idx) + 1).alias("nt"))
+    wanted = lengths.select(*by, F.posexplode(positions).alias("step", spec.time_idx))
+    if indexed:
+        wanted = cut_lineage(wanted)
+        if spec.time not in df.columns:
+            return wanted
+        axis = time_axis(restrict(df, wanted, spec.time_idx, by), spec, by)
     if not by:
-        positions = F.broadcast(positions)  # at most six rows
-    return cut_lineage(axis.join(positions, [*by, spec.time_idx]))
+        wanted = F.broadcast(wanted)  # at most six rows
+    return cut_lineage(axis.join(wanted, [*by, spec.time_idx]))
 
 
 def restrict(df: DataFrame, steps: DataFrame, key: str, by: Sequence[str] = ()) -> DataFrame:
@@ -121,16 +117,14 @@ def time_slice(
     by = names(by)
     if not spec.has_time(df):
         return df
-    wanted = clip_index(index, F.col("nt")) if clip else F.lit(index)
-    positions = axis_length(df, spec, by).select(*by, F.lit(0).alias("step"), wanted.alias(spec.time_idx))
     if not spec.has_index(df):
-        return restrict(df, pick_steps(df, positions, spec, by), spec.time, by)
+        wanted = clip_index(index, F.col("nt")) if clip else F.lit(index)
+        return restrict(df, steps_at(df, F.array(wanted), spec, by), spec.time, by)
 
     position = F.col(spec.time_idx)
     if not clip:
         return df.where((position == index) | position.isNull())
+    last = df.groupBy(*by).agg(clip_index(index, F.max(position) + 1).alias(spec.time_idx))
     if not by:
-        last = positions.select(spec.time_idx).scalar()
-        return df.where((position == last) | position.isNull())
-    kept = restrict(df, cut_lineage(positions), spec.time_idx, by)
-    return kept.unionByName(df.where(position.isNull()))
+        return df.where((position == last.scalar()) | position.isNull())
+    return restrict(df, cut_lineage(last), spec.time_idx, by).unionByName(df.where(position.isNull()))

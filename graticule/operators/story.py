@@ -39,11 +39,7 @@ def time_labels(steps: DataFrame, raw: str, by: Sequence[str] = ()) -> DataFrame
 
 def story_steps(df: DataFrame, spec: GridSpec = DEFAULT, by: Sequence[str] = ()) -> DataFrame:
     """One row per step: its position on the axis, its time with a label, and its caption."""
-    by = names(by)
-    positions = axis.axis_length(df, spec, by).select(
-        *by, F.posexplode(axis.story_positions(F.col("nt"))).alias("step", spec.time_idx)
-    )
-    steps = axis.pick_steps(df, positions, spec, by).withColumn("caption", caption(F.col("step")))
+    steps = axis.steps_at(df, axis.story_positions(F.col("nt")), spec, by).withColumn("caption", caption(F.col("step")))
     if spec.time not in steps.columns:
         return steps
     return steps.withColumn("label", calendar.time_text(F.col(spec.time)))
@@ -58,11 +54,9 @@ def story_slices(df: DataFrame, steps: DataFrame, spec: GridSpec = DEFAULT, by:
     return axis.restrict(df, steps, key, by).join(wanted, [*by, key])
 
 
-def story_frames(df: DataFrame, spec: GridSpec = DEFAULT, by: Sequence[str] = ()) -> DataFrame:
+def story_frames(cells: DataFrame, steps: DataFrame, spec: GridSpec = DEFAULT, by: Sequence[str] = ()) -> DataFrame:
     """Per step: time, caption, colour range (1.0 where nothing is finite) and hotspot."""
     by = names(by)
-    steps = story_steps(df, spec, by)
-    cells = story_slices(df, steps, spec, by)
     fields = cells.groupBy(*by, "step").agg(
         *cube.range_columns(spec, fallback=1.0), cube.hotspot_cell(cells, spec)
     )

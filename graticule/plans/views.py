@@ -27,9 +27,7 @@ def globe(df: DataFrame, index: int = 0, boundaries: DataFrame | None = None, sp
 def compare(df: DataFrame, first: int, second: int, spec: GridSpec = DEFAULT) -> dict[str, DataFrame]:
     """Two time steps, each with a colour range of its own, in one scan. No difference is taken."""
     spec.need_space(df)
-    wanted = [F.struct(F.lit(step).alias("step"), F.lit(i).alias(spec.time_idx)) for step, i in enumerate((first, second))]
-    positions = axis.axis_length(df, spec).select(F.explode(F.array(*wanted)).alias("p")).select("p.*")
-    steps = axis.pick_steps(df, positions, spec, ())
+    steps = axis.steps_at(df, F.array(F.lit(first), F.lit(second)), spec)
     label = F.when(F.col("step") == 0, F.lit("A")).otherwise(F.lit("B")).alias("slice")
     cells = story.story_slices(df, steps, spec).select(label, *df.columns)
     return {"cells": cells, "range": cube.field_range(cells, spec, ["slice"])}
@@ -41,7 +39,7 @@ def tell_story(df: DataFrame, spec: GridSpec = DEFAULT) -> dict[str, DataFrame]:
     steps = story.story_steps(df, spec)
     cells = story.story_slices(df, steps, spec)
     return {
-        "frames": story.story_frames(df, spec),
+        "frames": story.story_frames(cells, steps, spec),
         "cells": cells,
         "globe": cube.globe_surface(cells, spec, ["step"]),
     }

@@ -11,6 +11,7 @@ from graticule.functions import calendar, classify, wind
 from graticule.functions.missing import clean
 from graticule.operators import axis, boundary, catalog, cube, indices, series as ser, stats, story
 from graticule.operators import wind as winds
+from graticule.plans import views
 from graticule.sources import tables
 
 NAN, INF = float("nan"), float("inf")
@@ -196,7 +197,7 @@ def test_story_positions(spark, nt, steps):
 
 def test_story_of_a_short_record(grid):
     cells = grid([(0, 0, 0, 1.0), (0, 0, 1, -2.0), (1, 0, 0, NAN), (1, 0, 1, NAN)])
-    frames = sorted(story.story_frames(cells).collect(), key=lambda r: r.step)
+    frames = sorted(views.tell_story(cells)["frames"].collect(), key=lambda r: r.step)
     assert [(r.step, r.time_idx) for r in frames] == [(0, 0), (1, 0), (2, 0), (3, 1)]
     assert [(r.symmetric_max, r.hot_lon) for r in frames] == [(2.0, 1.0)] * 3 + [(1.0, None)]
     assert frames[3].label == "2001-01-02 00:00:00"
@@ -206,10 +207,12 @@ def test_story_of_a_short_record(grid):
 def test_story_per_group_equals_single(grid):
     cells = grid([(t, 0, x, float((t * 7 + x * 3) % 11)) for t in range(9) for x in range(3)])
     keep = ["step", "time_idx", "symmetric_max", "hot_lon", "hot_value"]
-    single = sorted(map(tuple, story.story_frames(cells).select(*keep).collect()))
+    single = sorted(map(tuple, views.tell_story(cells)["frames"].select(*keep).collect()))
     grouped = cells.withColumn("g", F.explode(F.array(F.lit("a"), F.lit("b"))))
+    steps = story.story_steps(grouped, by=["g"])
+    frames = story.story_frames(story.story_slices(grouped, steps, by=["g"]), steps, by=["g"])
     for g in "ab":
-        found = story.story_frames(grouped, by=["g"]).where(F.col("g") == g)
+        found = frames.where(F.col("g") == g)
         assert sorted(map(tuple, found.select(*keep).collect())) == single
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graticule.operators import axis, cube, indices, series, stats, story, wind
 from graticule.operators.groups import attach
+from graticule.plans import views
 
 
 @pytest.fixture(scope="module")
@@ -49,7 +50,7 @@ def test_no_operator_runs_python(stored):
         stats.histogram(stored),
         stats.global_stats(stored),
         wind.wind_stats(uv),
-        story.story_frames(stored),
+        views.tell_story(stored)["frames"],
     ):
         text = plan(df)
         assert not re.search(r"EvalPython|MapInPandas|FlatMapGroups|CartesianProduct", text)

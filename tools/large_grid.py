@@ -16,7 +16,8 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
-from graticule.operators import axis, catalog, cube, indices, series, stats, story, wind  # noqa: E402
+from graticule.operators import axis, catalog, cube, indices, series, stats, wind  # noqa: E402
+from graticule.plans import views  # noqa: E402
 from graticule.sources.tables import write_grid  # noqa: E402
 from tools.compare import session  # noqa: E402
 
@@ -69,7 +70,7 @@ def main() -> None:
         "histogram_per_latitude_salted": lambda: stats.histogram(tas, by=["lat_idx"], broadcast_rows=0),
         "global_stats": lambda: stats.global_stats(tas),
         "time_slice": lambda: axis.time_slice(tas, days // 2),
-        "story": lambda: story.story_frames(tas),
+        "story": lambda: views.tell_story(tas)["frames"],
         "hotspot_per_time": lambda: cube.hotspot(tas, by=["time_idx"]),
         "wind_stats": lambda: wind.wind_stats(uv),
         "catalog": lambda: catalog.catalog(grid),
