@@ -8,12 +8,20 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from graticule.sources.tables import ingest_table
 
 
+SCHEMAS: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One of the given tables. Its footer is read for the schema once, not once per query."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in SCHEMAS:
+        SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(SCHEMAS[path]).parquet(path)
 
 
 def _place(key: str, lon_steps: str = "") -> list[Column]:
@@ -41,7 +49,7 @@ def temperature(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By minute over one month: the event values per minute and place."""
     minute = F.expr("ts - make_dt_interval(0, 0, 0, extract(second from ts))").alias("time")
-    cents = F.round(F.col("value") * 100).cast("bigint").alias("cents")
+    cents = F.rint(F.col("value") * 100).cast("bigint").alias("cents")
     return (
         table(spark, sf_dir, "events")
         .select(minute, *_place("user_id", " % 5"), cents)
@@ -52,7 +60,7 @@ def rain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def atmosphere(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily wind components and humidity, one column each."""
-    percent = "cast(round({} * 100) as int)".format
+    percent = "cast(rint({} * 100) as int)".format
     return (
         table(spark, sf_dir, "lineitem")
         .select(
