@@ -319,6 +319,13 @@ ORACLE = {
     "storm_counts": given("uv")
     + f"""select count(*) filter (speed > 20) as storm_samples, count(*) filter (speed > 32) as severe_samples,
       {q("max(speed)")} as peak_speed from uv""",
+    "wind_panel": given("uv")
+    + f"""select n_speed, mean_speed, max_speed, {q("mean_u")} as mean_u, {q("mean_v")} as mean_v, storm_samples,
+      severe_samples, max_speed as peak_speed, {q(DIRECTION)} as direction, {compass(DIRECTION)} as compass from
+      (select count(speed) as n_speed, {q("avg(speed)")} as mean_speed, {q("max(speed)")} as max_speed, {WIND_MEANS},
+        count(*) filter (speed > 20) as storm_samples, count(*) filter (speed > 32) as severe_samples from uv)""",
+    "temperature_panel_extremes": given("ts") + extreme("ts"),
+    "rainfall_panel_streak": given("rs") + streak("rs", 15),
     "wind_histogram": given("uv") + f", rounded as (select {q('speed')} as speed from uv)" + histogram("speed", "rounded"),
     "wind_fallback": given("t") + f"select count(value) as n, {q('avg(value)')} as mean, max(value) as max from t",
     "humidity_stats": given("h")

@@ -13,7 +13,7 @@ from graticule import GridSpec, sinks
 from graticule.functions import calendar, classify, sphere
 from graticule.operators import axis, boundary, catalog, cube, indices, series, stats, story, wind
 from graticule.operators.groups import shared_dir
-from graticule.plans import views
+from graticule.plans import explore, views
 from graticule.sources import boundaries
 from graticule.sources.netcdf3 import read_netcdf3
 
@@ -43,9 +43,9 @@ def text_time(df: DataFrame, *columns: str) -> DataFrame:
 
 def scratch(spark: SparkSession) -> str:
     """A new folder that all executors share, as a URI."""
-    base = shared_dir(spark)
-    base = base if ":" in base else f"file://{base}"
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/{uuid.uuid4().hex}")
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
 # Series
@@ -364,6 +364,23 @@ def storm_counts(spark, sf_dir):
     return cut_all(wind.storm_counts(standins.atmosphere(spark, sf_dir)), "peak_speed")
 
 
+@query
+def wind_panel(spark, sf_dir):
+    found = explore.wind_panel(standins.atmosphere(spark, sf_dir))["wind"]
+    return cut_all(found, "mean_speed", "max_speed", "mean_u", "mean_v", "direction", "peak_speed")
+
+
+@query
+def temperature_panel_extremes(spark, sf_dir):
+    panel = explore.temperature_panel(standins.temperature(spark, sf_dir))
+    return text_time(panel["extremes"], "hottest_date", "coldest_date")
+
+
+@query
+def rainfall_panel_streak(spark, sf_dir):
+    return explore.rainfall_panel(standins.rain(spark, sf_dir), dry_below=DRY_BELOW)["dry_streak"]
+
+
 @query
 def wind_histogram(spark, sf_dir):
     speed = wind.with_speed(standins.atmosphere(spark, sf_dir)).withColumn("speed", cut("speed"))

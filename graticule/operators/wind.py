@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graticule.functions import wind
@@ -32,36 +32,51 @@ def with_speed(uv: DataFrame) -> DataFrame:
     return uv.withColumn("speed", wind.speed(F.col("u"), F.col("v")))
 
 
+STORM_ABOVE, SEVERE_ABOVE = 20.0, 32.0
+
+
+def _speed_columns() -> list[Column]:
+    return [
+        F.count("speed").alias("n_speed"),
+        F.avg("speed").alias("mean_speed"),
+        F.max("speed").alias("max_speed"),
+        F.avg("u").alias("mean_u"),
+        F.avg("v").alias("mean_v"),
+    ]
+
+
+def _storm_columns(storm_above: float, severe_above: float) -> list[Column]:
+    speed = F.col("speed")
+    return [
+        F.count_if(speed > storm_above).alias("storm_samples"),
+        F.count_if(speed > severe_above).alias("severe_samples"),
+        F.max(speed).alias("peak_speed"),
+    ]
+
+
+def _with_direction(stats: DataFrame) -> DataFrame:
+    toward = stats.withColumn("direction", wind.direction(F.col("mean_u"), F.col("mean_v")))
+    return toward.withColumn("compass", wind.compass(F.col("direction")))
+
+
 def wind_stats(uv: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Mean and maximum speed, and the prevailing direction.
 
     The mean components skip missing cells each on its own; the speed needs both.
     """
-    degrees = wind.direction(F.col("mean_u"), F.col("mean_v"))
-    return (
-        with_speed(uv)
-        .groupBy(*names(by))
-        .agg(
-            F.count("speed").alias("n_speed"),
-            F.avg("speed").alias("mean_speed"),
-            F.max("speed").alias("max_speed"),
-            F.avg("u").alias("mean_u"),
-            F.avg("v").alias("mean_v"),
-        )
-        .withColumn("direction", degrees)
-        .withColumn("compass", wind.compass(F.col("direction")))
-    )
-
-
-def storm_counts(uv: DataFrame, by: Sequence[str] = (), storm_above: float = 20.0, severe_above: float = 32.0) -> DataFrame:
+    return _with_direction(with_speed(uv).groupBy(*names(by)).agg(*_speed_columns()))
+
+
+def storm_counts(
+    uv: DataFrame, by: Sequence[str] = (), storm_above: float = STORM_ABOVE, severe_above: float = SEVERE_ABOVE
+) -> DataFrame:
     """Samples, that is cells at a time step, above two speeds, and the peak speed."""
-    speed = F.col("speed")
-    return (
-        with_speed(uv)
-        .groupBy(*names(by))
-        .agg(
-            F.count_if(speed > storm_above).alias("storm_samples"),
-            F.count_if(speed > severe_above).alias("severe_samples"),
-            F.max(speed).alias("peak_speed"),
-        )
-    )
+    return with_speed(uv).groupBy(*names(by)).agg(*_storm_columns(storm_above, severe_above))
+
+
+def wind_summary(
+    uv: DataFrame, by: Sequence[str] = (), storm_above: float = STORM_ABOVE, severe_above: float = SEVERE_ABOVE
+) -> DataFrame:
+    """Wind statistics and storm counts in one pass."""
+    columns = [*_speed_columns(), *_storm_columns(storm_above, severe_above)]
+    return _with_direction(with_speed(uv).groupBy(*names(by)).agg(*columns))

@@ -7,15 +7,21 @@ from pyspark.sql import functions as F
 
 from graticule.operators import catalog as cat
 from graticule.operators import cube, indices, series, stats, wind
+from graticule.operators.groups import cut_lineage
 from graticule.plans import views
 from graticule.spec import DEFAULT, GridSpec
 
 
+def spatial_series(df: DataFrame, spec: GridSpec = DEFAULT) -> DataFrame:
+    """The spatial-mean series, computed once: every index of a panel reads it instead of the cube."""
+    return cut_lineage(cube.spatial_mean(df, spec))
+
+
 def temperature_panel(df: DataFrame, spec: GridSpec = DEFAULT, **bounds) -> dict[str, DataFrame]:
     """Annual means by period, the monthly cycle and the extremes. Nothing for a variable without time."""
     if not spec.has_time(df):
         return {}
-    ts = cube.spatial_mean(df, spec)
+    ts = spatial_series(df, spec)
     return {
         "annual_mean": series.annual_mean_by_period(ts, spec, **bounds),
         "monthly_cycle": series.monthly_cycle(ts, spec),
@@ -25,7 +31,7 @@ def temperature_panel(df: DataFrame, spec: GridSpec = DEFAULT, **bounds) -> dict
 
 def rainfall_panel(df: DataFrame, spec: GridSpec = DEFAULT, threshold: float = 20.0, dry_below: float = 1.0) -> dict[str, DataFrame]:
     """Totals, heavy days, the longest dry streak, and snow. Only snow is left for a variable without time."""
-    ts = cube.spatial_mean(df, spec)
+    ts = spatial_series(df, spec)
     panel = {"snow": indices.snow_days(ts, spec)}
     if spec.has_time(df):
         panel |= {
@@ -41,11 +47,7 @@ def wind_panel(uv: DataFrame | None, fallback: DataFrame | None = None, spec: Gr
     """Wind and storm statistics from both components, else plain statistics of the fallback, else nothing."""
     if uv is not None:
         speed = wind.with_speed(uv)
-        return {
-            "wind": wind.wind_stats(uv),
-            "storms": wind.storm_counts(uv),
-            "histogram": stats.histogram(speed, spec.with_value("speed")),
-        }
+        return {"wind": wind.wind_summary(uv), "histogram": stats.histogram(speed, spec.with_value("speed"))}
     if fallback is not None:
         return {"wind": stats.value_stats(fallback, spec), "histogram": stats.histogram(fallback, spec)}
     return {}
@@ -64,9 +66,13 @@ def explore(
     boundaries: DataFrame | None = None,
     spec: GridSpec = DEFAULT,
 ) -> dict[str, dict[str, DataFrame]]:
-    """All panels of one dataset in a long grid, by panel name. Only the list of its variables comes to the driver."""
+    """All panels of one dataset in a long grid, by panel name.
+
+    Only the list of its variables comes to the driver. Spatial-mean series are computed while the page is built; the
+    other results are lazy.
+    """
     dataset = grid.where(F.col("dataset_id") == dataset_id)
-    listed = cat.catalog(dataset, spec)
+    listed = cut_lineage(cat.catalog(dataset, spec))
     chosen_row = cat.choose_variable(listed, override, chosen).first()
     if chosen_row is None:
         raise ValueError(f"no dataset {dataset_id!r}")

@@ -238,9 +238,11 @@ class Share(InputPartition):
 
 
 def open_path(path: str) -> tuple[pafs.FileSystem, str]:
-    if "://" in path or path.startswith("file:"):
-        scheme, rest = path.split(":", 1)
-        return pafs.FileSystem.from_uri("file://" + "/" + rest.lstrip("/") if scheme == "file" else path)
+    """File system and root of a URI. A path without a scheme must be the same folder for every task."""
+    if path.startswith("file:"):
+        path = "/" + path.removeprefix("file:").lstrip("/")
+    if "://" in path:
+        return pafs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
     return pafs.LocalFileSystem(), posixpath.abspath(path)
 
 
