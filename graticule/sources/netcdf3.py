@@ -40,7 +40,9 @@ from graticule.functions.calendar import decodable_range, parse_units
 from graticule.sources.tables import write_grid
 
 SLAB_BYTES = 64 * 1024 * 1024
+READ_CELLS = 2_097_152
 BATCH_CELLS = 131_072
+GAP_BYTES = 65_536
 TIME_NAMES = ("time", "TIME")
 
 # Tags and external types of the classic format, all big-endian.
@@ -185,8 +187,8 @@ def read_cells(file, header: Header, variable: Variable, start: int, stop: int)
     per = variable.record_cells
     first, last = start // per, -(-stop // per)
     slot, stride = per * size, header.record_bytes
-    if slot * 4 >= stride or slot < 65_536:
-        # Most bytes between the first and the last record are wanted, or records are too small to fetch singly.
+    if slot * 4 >= stride or stride - slot <= GAP_BYTES:
+        # Little lies between the records: one read is cheaper than many.
         file.seek(variable.begin + first * stride)
         data = file.read((last - first - 1) * stride + slot)
         rows = np.lib.stride_tricks.as_strided(
@@ -344,38 +346,48 @@ class NetCDF3Reader(DataSourceReader):
         wanted = [v for v in header.data_variables() if v.dtype.kind != "S" and self._wanted(v.name)]
         if not wanted:
             return
-        axes = {d: self._axis(file, header, d) for d in {d for v in wanted for d in v.dims}}
+        axes = {d: self._axis(file, header, d) for d in {d for v in wanted for d in v.dims} if d not in TIME_NAMES}
         for variable in wanted:
             strangers = [d for d in variable.dims if d not in (*TIME_NAMES, "lat", "lon", *self.extra)]
             if strangers:
                 raise ValueError(f"{dataset}: {variable.name} has dimensions {strangers}; name them in extraDims")
+            time = next((d for d in variable.dims if d in TIME_NAMES), None)
+            leading = time is not None and variable.dims[0] == time
+            inner = max(prod(variable.shape[1:]), 1)
             low, high = 0, variable.cells
-            if variable.dims and variable.dims[0] in TIME_NAMES:
-                inner = variable.cells // max(variable.shape[0], 1)
-                low = max(low, self.time_range[0] * inner)
-                high = min(high, (self.time_range[1] + 1) * inner)
+            if leading:
+                low, high = max(low, self.time_range[0] * inner), min(high, (self.time_range[1] + 1) * inner)
             count = max(high - low, 0)
             start, stop = low + count * part // parts, low + count * (part + 1) // parts
-            for at in range(start, stop, BATCH_CELLS):
-                yield self._batch(file, header, dataset, variable, axes, at, min(at + BATCH_CELLS, stop))
-
-    def _axis(self, file, header: Header, dim: str) -> np.ndarray:
-        """Coordinate values of a dimension; its positions where the file has none."""
-        axis, length = header.variables.get(dim), header.dims[dim]
+            for at in range(start, stop, READ_CELLS):
+                end = min(at + READ_CELLS, stop)
+                values = unpack(read_cells(file, header, variable, at, end), variable.attributes)
+                # Times of just these records: in a record file the time axis is scattered over the whole file.
+                span = (at // inner, (end - 1) // inner + 1) if leading else (0, header.dims[time] if time else 0)
+                times = self._axis(file, header, time, *span) if time else None
+                for i in range(at, end, BATCH_CELLS):
+                    stretch = values[i - at : min(i + BATCH_CELLS, end) - at]
+                    yield self._batch(dataset, variable, axes, i, stretch, time, times, span[0])
+
+    def _axis(self, file, header: Header, dim: str, start: int = 0, stop: int | None = None) -> np.ndarray:
+        """Coordinate values of a stretch of a dimension; its positions where the file has none."""
+        axis, stop = header.variables.get(dim), header.dims[dim] if stop is None else stop
         if axis is None or axis.dims != [dim] or axis.dtype.kind == "S":
-            values = np.arange(length, dtype=np.float64)
-            return np.full(length, np.datetime64("NaT"), "datetime64[us]") if dim in TIME_NAMES else values
-        values = unpack(read_cells(file, header, axis, 0, length), axis.attributes)
+            positions = np.arange(start, stop, dtype=np.float64)
+            return np.full(stop - start, np.datetime64("NaT"), "datetime64[us]") if dim in TIME_NAMES else positions
+        values = unpack(read_cells(file, header, axis, start, stop), axis.attributes)
         if dim in TIME_NAMES:
             return decode_axis(values, axis.attributes.get("units"), axis.attributes.get("calendar"))
         return values
 
-    def _batch(self, file, header, dataset, variable, axes, start, stop) -> pa.RecordBatch:
-        n = stop - start
-        places = np.unravel_index(np.arange(start, stop), variable.shape) if variable.dims else ()
+    def _batch(
+        self, dataset: str, variable: Variable, axes: dict, start: int, values: np.ndarray,
+        time: str | None, times: np.ndarray | None, first_time: int,
+    ) -> pa.RecordBatch:
+        """Cells ``start``, ``start + 1``, ... of a variable with their coordinates."""
+        n = len(values)
+        places = np.unravel_index(np.arange(start, start + n), variable.shape) if variable.dims else ()
         at = dict(zip(variable.dims, places, strict=True))
-        time = next((d for d in variable.dims if d in TIME_NAMES), None)
-        values = unpack(read_cells(file, header, variable, start, stop), variable.attributes)
 
         def position(dim: str | None) -> pa.Array:
             return pa.array(at[dim].astype(np.int32)) if dim in at else pa.nulls(n, pa.int32())
@@ -388,7 +400,7 @@ class NetCDF3Reader(DataSourceReader):
             "variable": pa.repeat(variable.name, n),
             "variable_idx": pa.repeat(pa.scalar(variable.index, pa.int32()), n),
             "time_idx": position(time),
-            "time": pa.array(axes[time][at[time]]) if time else pa.nulls(n, pa.timestamp("us")),
+            "time": pa.array(times[at[time] - first_time]) if time else pa.nulls(n, pa.timestamp("us")),
             "lat_idx": position("lat"),
             "lat": coordinate("lat"),
             "lon_idx": position("lon"),

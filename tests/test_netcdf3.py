@@ -62,6 +62,50 @@ def test_round_trip(spark, write, version, records, slab):
     assert parts > 5 if slab == 64 else parts == 1
 
 
+def test_reads_stay_within_the_share(write, tmp_path, monkeypatch):
+    """Large records: a task reads its own records and their times, not the file."""
+    monkeypatch.setattr(netcdf3, "GAP_BYTES", 0)
+    monkeypatch.setattr(netcdf3, "READ_CELLS", NY * NX)
+    wide = {f"v{i}": (["time", "lat", "lon"], CUBE + i, {}) for i in range(8)}
+    write("a.nc", {**variables(), **wide})
+
+    class Counting:
+        def __init__(self, file):
+            self.file, self.bytes = file, 0
+
+        def __getattr__(self, name):
+            return getattr(self.file, name)
+
+        def read(self, n):
+            data = self.file.read(n)
+            self.bytes += len(data)
+            return data
+
+    reader = netcdf3.NetCDF3Reader(str(tmp_path), [], 10**8, "cells")
+    reader.variables, reader.time_range = {"v3"}, [2, 3]
+    with open(tmp_path / "a.nc", "rb") as raw:
+        file = Counting(raw)
+        file.size = lambda: (tmp_path / "a.nc").stat().st_size
+        header = netcdf3.read_header(file)
+        before = file.bytes
+        batches = list(reader._cells(file, header, "a", 0, 1))
+    found = [v for b in batches for v in b.column("value").to_pylist()]
+    assert found == (CUBE[2:4] + 3).ravel().tolist()
+    assert file.bytes - before == 2 * NY * NX * 4 + 2 * 8 + LAT.nbytes + LON.nbytes
+
+
+def test_levels_before_time(spark, write):
+    swapped = np.arange(2 * NT * 3, dtype="f8").reshape(2, NT, 3)
+    folder = write("l.nc", {
+        "time": (["time"], DAYS, {"units": "days since 2000-01-01"}),
+        "ta": (["lev", "time", "lat"], swapped, {}),
+    }, {"lev": 2, "time": NT, "lat": 3})
+    for slab in (40, 10**8):
+        cells = netcdf3.read_netcdf3(spark, folder, slabBytes=slab).where("time_idx >= 1")
+        rows = {(r.lev_idx, r.time_idx, r.lat_idx): (r.value, r.time.day) for r in cells.collect()}
+        assert rows == {(z, t, y): (swapped[z, t, y], t + 1) for z in range(2) for t in range(1, NT) for y in range(3)}
+
+
 def test_single_record_variable_is_not_padded(spark, write):
     shorts = np.arange(NT * 3, dtype="i2").reshape(NT, 3)
     folder = write("s.nc", {"pr": (["time", "x"], shorts, {})}, {"time": None, "x": 3})
