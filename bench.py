@@ -1,7 +1,8 @@
 """Times the headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS] and prints one JSON line.
 
-$BENCH_QUERIES names other queries, separated by commas, or is "all". Each query runs once to warm up and then $BENCH_REPEATS times (default 1); the median counts. Results go to Spark's
-no-op sink, so every row is computed and none is collected.
+$BENCH_QUERIES names other queries, separated by commas, or is "all". Each query runs once to warm up and then
+$BENCH_REPEATS times (default 1); the median counts. Results go to Spark's no-op sink, so every row is computed and
+none is collected.
 """
 
 from __future__ import annotations

@@ -90,7 +90,7 @@ def steps_at(df: DataFrame, positions: Column, spec: GridSpec = DEFAULT, by: Seq
     return cut_lineage(axis.join(wanted, [*by, spec.time_idx]))
 
 
-def restrict(df: DataFrame, steps: DataFrame, key: str, by: Sequence[str] = ()) -> DataFrame:
+def restrict(df: DataFrame, steps: DataFrame, key: str, by: Sequence[str] = (), n_steps: int = STORY_MAX) -> DataFrame:
     """Keeps the rows at the picked time steps, so that the scan reads only those.
 
     Without groups the wanted values are scalar subqueries and reach the file scan as filters. With groups it is a
@@ -99,7 +99,7 @@ def restrict(df: DataFrame, steps: DataFrame, key: str, by: Sequence[str] = ())
     by = names(by)
     if by:
         return df.join(broadcast_if_small(steps.select(*by, key).distinct()), [*by, key], "left_semi")
-    wanted = [steps.where(F.col("step") == k).select(key).scalar() for k in range(STORY_MAX)]
+    wanted = [steps.where(F.col("step") == k).select(key).scalar() for k in range(n_steps)]
     return df.where(reduce(or_, [F.col(key) == value for value in wanted]))
 
 
@@ -119,7 +119,7 @@ def time_slice(
         return df
     if not spec.has_index(df):
         wanted = clip_index(index, F.col("nt")) if clip else F.lit(index)
-        return restrict(df, steps_at(df, F.array(wanted), spec, by), spec.time, by)
+        return restrict(df, steps_at(df, F.array(wanted), spec, by), spec.time, by, n_steps=1)
 
     position = F.col(spec.time_idx)
     if not clip:

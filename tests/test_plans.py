@@ -64,6 +64,14 @@ def test_slices_filter_in_the_scan(stored):
     assert re.search(r"Or\(.*EqualTo\(time_idx,ScalarSubquery", plan(story.story_slices(stored, steps)))
 
 
+def test_absent_steps_read_nothing(stored):
+    """Fewer steps than filters: the filters without a step match no row of a stored table."""
+    compared = views.compare(stored, 3, 7)["cells"].groupBy("slice", "time_idx").count().collect()
+    assert sorted(map(tuple, compared)) == [("A", 3, 48), ("B", 7, 48)]
+    short = views.tell_story(stored.where("time_idx < 2"))["cells"].groupBy("step", "time_idx").count().collect()
+    assert sorted(map(tuple, short)) == [(0, 0, 48), (1, 0, 48), (2, 0, 48), (3, 1, 48)]
+
+
 def test_streak_per_cell_shuffles_words_not_rows(stored):
     df = indices.longest_dry_streak(stored, by=["lat_idx", "lon_idx"], dry_below=20)
     text = plan(df)
