@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graticule.llm import bpe, exactdup
+from graticule.llm import bpe, exactdup, langid, toxicity
 from graticule.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,11 @@ def query(run: Query) -> Query:
     return run
 
 
+@query
+def op6_language_id(spark, sf_dir):
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_exact_dedup(spark, sf_dir):
     return exactdup.groups(table(spark, sf_dir, "documents"), keep_largest=True)
@@ -40,3 +45,8 @@ from rows
 def op9_byte_bpe(spark, sf_dir):
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, digests_only=True)
+
+
+@query
+def op10_toxicity(spark, sf_dir):
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
