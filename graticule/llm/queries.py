@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graticule.llm import bpe, exactdup, langid, toxicity
+from graticule.llm import bpe, decontam, exactdup, langid, neardup, toxicity
 from graticule.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,3 +50,13 @@ def op9_byte_bpe(spark, sf_dir):
 @query
 def op10_toxicity(spark, sf_dir):
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op4_dart_minhash(spark, sf_dir):
+    return neardup.classes(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_decontamination(spark, sf_dir):
+    return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
