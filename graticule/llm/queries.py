@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graticule.llm import bpe, decontam, exactdup, langid, neardup, toxicity
+from graticule.llm import bpe, decontam, exactdup, htmltext, langid, licences, neardup, toxicity, warc
 from graticule.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,3 +60,34 @@ def op4_dart_minhash(spark, sf_dir):
 @query
 def op5_decontamination(spark, sf_dir):
     return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op1_html_text(spark, sf_dir):
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op2_warc(spark, sf_dir):
+    return warc.roundtrip(table(spark, sf_dir, "pages"), least_bytes=0)
+
+
+ORACLE["op2_warc"] = """
+with rows as (select page_id, coalesce(html, '') as p from pages),
+hashed as (
+  select page_id, cast(strlen(p) as bigint) as payload_bytes, sha1(p) as h, min(page_id) over (partition by p) as first from rows
+)
+select page_id, payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + cast((cast('0x' || substr(h, cast(5 * (i // 4) + 1 as int), 5) as bigint) >> (15 - 5 * (i % 4))) & 31 as int), 1)), '') as payload_digest,
+       case when page_id = first then 'response' else 'revisit' end as record_type,
+       case when page_id <> first then first end as refers_to
+from hashed
+"""
+
+
+@query
+def op7_licences(spark, sf_dir):
+    """Documents lie in a directory for each source, with one for each language below."""
+    path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
+    return licences.licences(table(spark, sf_dir, "documents").withColumn("path", path), file_id="doc_id")
