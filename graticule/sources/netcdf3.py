@@ -20,7 +20,6 @@ from math import prod
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import (
     DataSource,
@@ -35,8 +34,8 @@ from pyspark.sql.datasource import (
     LessThanOrEqual,
 )
 
-import graticule
 from graticule.functions.calendar import decodable_range, parse_units
+from graticule.shipping import ship
 from graticule.sources.tables import write_grid
 
 SLAB_BYTES = 64 * 1024 * 1024
@@ -460,9 +459,9 @@ class NetCDF3Source(DataSource):
 def read_netcdf3(spark: SparkSession, path: str, **options) -> DataFrame:
     """Registers the source, with filter pushdown on, and reads cells or headers.
 
-    The reader's code travels with the job, so executors need numpy and pyarrow but not this package.
+    The package is sent along with the session's files, so executors need numpy and pyarrow only.
     """
-    cloudpickle.register_pickle_by_value(graticule)
+    ship(spark)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(NetCDF3Source)
     return spark.read.format("netcdf3").options(**options).load(path)
