@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graticule.llm.common import small_batches
+from graticule.llm.common import mapped, small_batches
 
 KNOWN_STRETCHES = 600_000
 LONG_STRETCH = 100
@@ -245,6 +245,6 @@ def encode(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", tex
                 ["id", "n_tokens", "ids_sha256", "decoded_sha256"] if digests_only else names
             )
 
-    return chosen.mapInArrow(run, schema).withColumnRenamed("id", doc_id)
+    return mapped(chosen, run, schema).withColumnRenamed("id", doc_id)
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from graticule.llm.common import small_batches
+from graticule.llm.common import mapped, small_batches
 
 ERROR_SHARE = 0.05  # edits allowed, as a share of an item's characters
 SHORTEST_PIECE = 8  # items whose pieces would be shorter allow fewer edits instead
@@ -154,7 +154,7 @@ def matches(
     result = chosen.sparkSession.createDataFrame([], schema)
     for part in blocks(listed, block):
         sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(part))
-        result = result.unionByName(chosen.mapInArrow(searching(sent, share, item.schema["item"].dataType), schema))
+        result = result.unionByName(mapped(chosen, searching(sent, share, item.schema["item"].dataType), schema))
     return result.select(F.col("id").alias(doc_id), F.col("item").alias(item_id), "distance", "allowed", "end")
 
 

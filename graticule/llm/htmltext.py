@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graticule.llm.common import small_batches
+from graticule.llm.common import mapped, small_batches
 
 WINDOW = 3  # lines
 NEAR_DENSEST = 0.25  # a stretch's densest window against the page's, where no article is marked
@@ -175,5 +175,5 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
                 ["id", "url", "text", "n_chars"],
             )
 
-    found = chosen.mapInArrow(run, f"id {kinds[0]}, url {kinds[1]}, text string, n_chars long")
+    found = mapped(chosen, run, f"id {kinds[0]}, url {kinds[1]}, text string, n_chars long")
     return found.withColumnsRenamed({"id": page_id, "url": url})

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
-from graticule.llm.common import crc_bucket, small_batches
+from graticule.llm.common import crc_bucket, mapped, small_batches
 
 HIDDEN = 8
 STRETCH = 128  # bytes read in one go, in training and in use
@@ -253,7 +253,7 @@ def predict(docs: DataFrame, net: Network | None, text: str = "text") -> DataFra
                 [*batch.columns, pa.array(best, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names, "lang_pred", "score"]
             )
 
-    return kept.mapInArrow(run, schema)
+    return mapped(kept, run, schema)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

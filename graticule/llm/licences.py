@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graticule.llm.common import small_batches, stored
+from graticule.llm.common import mapped, small_batches, stored
 
 LEAST_COSINE = 0.75
 LONGEST_BLOCK = 12  # lines of a paragraph that are also compared as one text; each line is compared in any case
@@ -63,7 +63,7 @@ def word_counts(files: DataFrame, words: frozenset[str]) -> tuple[int, dict[str,
                 counts.update(words.intersection(words_of(text or "")))
         yield pa.RecordBatch.from_pydict({"word": ["", *counts], "n": pa.array([total, *counts.values()], pa.int64())})
 
-    found = files.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    found = mapped(files.select("text"), run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counted = {r["word"]: r["n"] for r in found.collect()}
     return counted.pop("", 0), counted
 
@@ -137,7 +137,7 @@ def scan(files: DataFrame, templates: dict[str, list[str]] | None = None, least:
                 ["id", "path", "own", "score", "whole"],
             )
 
-    return files.select("id", "path", "text").mapInArrow(run, f"id {kinds[0]}, path {kinds[1]}, own string, score double, whole double")
+    return mapped(files.select("id", "path", "text"), run, f"id {kinds[0]}, path {kinds[1]}, own string, score double, whole double")
 
 
 def inherit(scanned: DataFrame, least: float = LEAST_COSINE) -> DataFrame:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graticule.llm.common import small_batches, stored
+from graticule.llm.common import mapped, small_batches, stored
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 4  # a pair of similarity 0.8 shares no band once in 300,000 cases
@@ -139,7 +139,7 @@ def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, words: int = W
                 ["id", "content", "n", "bands"],
             )
 
-    return docs.mapInArrow(run, f"id {kind}, content binary, n long, bands array<long>")
+    return mapped(docs, run, f"id {kind}, content binary, n long, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -151,7 +151,7 @@ def shingle_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
             found = [np.unique(s.astype(np.uint32)).view(np.int32) for s in shingles([t or "" for t in batch.column("text").to_pylist()], words)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.list_(pa.int32()))], ["id", "shingles"])
 
-    return docs.mapInArrow(run, f"id {kind}, shingles array<int>")
+    return mapped(docs, run, f"id {kind}, shingles array<int>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:

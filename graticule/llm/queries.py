@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graticule.llm import bpe, decontam, exactdup, htmltext, langid, licences, neardup, toxicity, warc
+from graticule.llm import bpe, decontam, exactdup, htmltext, langid, licences, neardup, repeats, toxicity, warc
 from graticule.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,3 +91,8 @@ def op7_licences(spark, sf_dir):
     """Documents lie in a directory for each source, with one for each language below."""
     path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
     return licences.licences(table(spark, sf_dir, "documents").withColumn("path", path), file_id="doc_id")
+
+
+@query
+def op3_repeats(spark, sf_dir):
+    return repeats.remove(table(spark, sf_dir, "documents"))

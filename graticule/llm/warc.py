@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graticule.llm.common import scratch_path, small_batches, stored, text_of
+from graticule.llm.common import mapped, scratch_path, small_batches, stored, text_of
 
 RECORDS_PER_FILE = 1000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -216,7 +216,7 @@ def read(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame
                 if rows:
                     yield to_batch(rows)
 
-    return files.mapInArrow(run, SCHEMA if with_payload else SCHEMA.replace(", payload binary", ""))
+    return mapped(files, run, SCHEMA if with_payload else SCHEMA.replace(", payload binary", ""))
 
 
 def to_batch(rows: list[tuple]) -> pa.RecordBatch:
