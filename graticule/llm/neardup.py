@@ -23,10 +23,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graticule.llm.common import mapped, small_batches, stored
+from graticule.shipping import ship
 
 WORDS, SIMILARITY = 5, 0.8
-BANDS, ROWS = 24, 4  # a pair of similarity 0.8 shares no band once in 300,000 cases
+BANDS, ROWS = 38, 6  # a pair of similarity 0.8 shares no band once in 100,000 cases, one of 0.2 some band in 400
 HUB_BLOCKS = ((1, 1), (2, 4), (5, 16))  # ranks of the members that the others are compared with, by round
+MOST_UNLIKE = 44  # of the sketch's bits; a pair of similarity 0.8 differs in more once in 100,000 cases
+BLOCK = 512
 SALTS = 32
 KNOWN_WORDS = 600_000
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -99,26 +102,34 @@ def throw(sets: list, weights: list, todo: np.ndarray, reach: np.ndarray, size:
         inside = (mixed(value) >> np.uint64(11)).astype(np.float64) * 2.0**-53 < width
         hits.append((owner[inside] * size + (value[inside] % np.uint64(size)).astype(np.int64), time[inside], value[inside]))
     place, time, value = (np.concatenate(x) for x in zip(*hits))
-    order = np.argsort(-time, kind="stable")
-    flat, full = np.zeros(len(todo) * size, np.uint64), np.zeros(len(todo) * size, bool)
-    flat[place[order]] = value[order]  # the earliest is written last
-    full[place] = True
+    earliest = np.full(len(todo) * size, np.inf)
+    np.minimum.at(earliest, place, time)
+    first = time == earliest[place]
+    flat = np.zeros(len(todo) * size, np.uint64)
+    flat[place[first]] = value[first]
     signature[todo] = flat.reshape(-1, size)
-    return full.reshape(-1, size).all(axis=1)
+    return np.isfinite(earliest).reshape(-1, size).all(axis=1)
 
 
 def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    key = np.zeros((len(signature), bands), np.uint64)
+    """A key for each band, which tells the bands apart."""
+    key = np.tile(np.arange(bands, dtype=np.uint64), (len(signature), 1))
     parts = signature.reshape(len(signature), bands, rows)
     for r in range(rows):
         key = mixed(key + parts[:, :, r] + GOLDEN)
     return key.view(np.int64)
 
 
-def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, words: int = WORDS, weight: str = "binary") -> DataFrame:
-    """For rows (id, text): ``content``, a 128-bit hash of the shingle set, ``n`` shingles and the ``bands``.
+def sketches(signature: np.ndarray) -> np.ndarray:
+    """One bit of every coordinate, in four 64-bit words. Two texts differ in half the bits that they disagree on."""
+    bits = np.zeros((len(signature), 256), np.uint8)
+    bits[:, : signature.shape[1]] = (mixed(signature[:, :256]) & np.uint64(1)).astype(np.uint8)
+    return np.packbits(bits, axis=1).view(np.int64)
+
 
-    Texts without a word have NULL content and no bands. With ``weight`` "count" a shingle weighs as often as it occurs.
+def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, words: int = WORDS, weight: str = "binary") -> DataFrame:
+    """For rows (id, text): ``content``, a 128-bit hash of the shingle set, ``n`` shingles, the keys of the ``bands`` and
+    the ``sketch``. Texts without a word have NULL content and no bands. With ``weight`` "count" a shingle weighs as often as it occurs.
     """
     kind = docs.schema["id"].dataType.simpleString()
 
@@ -130,16 +141,18 @@ def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, words: int = W
             counts = [runs[i][1].astype(np.float64) if weight == "count" else np.ones(len(runs[i][0])) for i in some]
             keys: list = [None] * len(runs)
             content: list = [None] * len(runs)
+            sketch: list = [None] * len(runs)
             if some:
-                for i, s, c, k in zip(some, sets, counts, band_keys(dart_signatures(sets, counts, bands * rows), bands, rows)):
-                    keys[i] = k
+                signature = dart_signatures(sets, counts, bands * rows)
+                for i, s, c, k, bits in zip(some, sets, counts, band_keys(signature, bands, rows), sketches(signature)):
+                    keys[i], sketch[i] = k, bits
                     content[i] = xxhash.xxh3_128_digest(s.tobytes() + (c.tobytes() if weight == "count" else b""))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(content, pa.binary()), pa.array([len(s) for s, _ in runs], pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                ["id", "content", "n", "bands"],
+                [batch.column("id"), pa.array(content, pa.binary()), pa.array([len(s) for s, _ in runs], pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in (keys, sketch))],
+                ["id", "content", "n", "bands", "sketch"],
             )
 
-    return mapped(docs, run, f"id {kind}, content binary, n long, bands array<long>")
+    return mapped(docs, run, f"id {kind}, content binary, n long, bands array<long>, sketch array<long>")
 
 
 def shingle_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -168,47 +181,96 @@ def hubs(members: DataFrame, most: int) -> DataFrame:
     bucket, then among what is left of these: no task ranks a whole large bucket."""
     best = [F.col("degree").desc(), F.col("id")]
     salted = members.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
-    part = salted.withColumn("rank", F.row_number().over(Window.partitionBy("band", "key", "salt").orderBy(*best))).where(F.col("rank") <= most)
-    ranked = part.withColumn("rank", F.row_number().over(Window.partitionBy("band", "key").orderBy(*best))).where(F.col("rank") <= most)
-    return ranked.select("band", "key", F.col("id").alias("hub"), F.col("n").alias("hub_n"), "rank")
+    part = salted.withColumn("rank", F.row_number().over(Window.partitionBy("key", "salt").orderBy(*best))).where(F.col("rank") <= most)
+    ranked = part.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(*best))).where(F.col("rank") <= most)
+    return as_hubs(ranked, "rank")
+
+
+def as_hubs(members: DataFrame, *more: str) -> DataFrame:
+    return members.select("key", F.col("id").alias("hub"), F.col("n").alias("hub_n"), *[F.col(f"s{k}").alias(f"hub_s{k}") for k in range(4)], *more)
 
 
 def links(signatures: DataFrame, docs: DataFrame, similarity: float, words: int) -> DataFrame:
     """Verified links (a, b) that connect all texts of a class; one text stands for all with its shingle set."""
-    rows = signatures.select("id", "n", F.posexplode("bands").alias("band", "key"))
-    sizes = rows.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1")
-    shared = stored(rows.join(sizes, ["band", "key"]), "neardup-members")
+    rows = signatures.select("id", "n", F.explode("bands").alias("key"))
+    sizes = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    shared = stored(rows.join(sizes, "key"), "neardup-shared")
+    sketch = signatures.select("id", *[F.col("sketch")[k].alias(f"s{k}") for k in range(4)])
     degree = shared.groupBy("id").agg(F.sum(F.col("size") - 1).alias("degree"))
-    members = stored(shared.join(degree, "id"), "neardup-members")
-    sets = stored(shingle_sets(docs.join(degree.select("id"), "id", "left_semi"), words), "neardup-sets")
+    members = stored(shared.join(degree.join(sketch, "id"), "id"), "neardup-members")
+    # A merge join at every size: what is shuffled then grows with the input, not by steps.
+    wanted = members.select("id").distinct().hint("merge")
+    sets = stored(shingle_sets(docs.join(wanted, "id", "left_semi"), words), "neardup-sets")
     ranked = stored(hubs(members, HUB_BLOCKS[-1][1]), "neardup-hubs")
     close = F.least("n", "hub_n") >= similarity * F.greatest("n", "hub_n") - 1e-9
+    if similarity >= SIMILARITY:
+        close &= sum((F.bit_count(F.col(f"s{k}").bitwiseXOR(F.col(f"hub_s{k}"))) for k in range(4)), F.lit(0)) <= MOST_UNLIKE
     open_members, found = members, []
-    for low, high in (*HUB_BLOCKS, (HUB_BLOCKS[-1][1] + 1, None)):
-        if high is None:  # the few that resemble no hub of a large bucket meet all other members of it
-            large = open_members.where(F.col("size") >= low)
-            others = members.join(ranked.select("band", "key", F.col("hub").alias("id")), ["band", "key", "id"], "left_anti")
-            partners = others.select("band", "key", F.col("id").alias("hub"), F.col("n").alias("hub_n"))
-        else:
-            large = open_members.where(F.col("size") >= low)
-            partners = ranked.where(F.col("rank").between(low, high)).drop("rank")
+    for low, high in HUB_BLOCKS:
+        large = open_members.where(F.col("size") >= low)
         if large.isEmpty():
             break
-        tried = large.join(partners, ["band", "key"]).where((F.col("id") != F.col("hub")) & close)
-        pairs = stored(tried.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct(), "neardup-pairs")
-        good = stored(verified(pairs, sets, similarity), "neardup-links")
+        tried = large.join(ranked.where(F.col("rank").between(low, high)), "key").where((F.col("id") != F.col("hub")) & close)
+        tried = tried.select("key", "id", F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
+        good = stored(verified(stored(tried.select("a", "b").distinct(), "neardup-pairs"), sets, similarity), "neardup-links")
         found.append(good)
-        if high is not None:
-            matched = tried.join(good, (F.least("id", "hub") == F.col("a")) & (F.greatest("id", "hub") == F.col("b"))).select("band", "key", "id")
-            first = ranked.where("rank = 1").select("band", "key", F.col("hub").alias("id"))
-            done = matched.unionByName(first) if low == 1 else matched
-            open_members = stored(large.join(done.distinct(), ["band", "key", "id"], "left_anti"), "neardup-open")
+        done = tried.join(good, ["a", "b"]).select("key", "id")
+        if low == 1:
+            done = done.unionByName(ranked.where("rank = 1").select("key", F.col("hub").alias("id")))
+        open_members = stored(large.join(done.distinct(), ["key", "id"], "left_anti"), "neardup-open")
+    large = open_members.where(F.col("size") > HUB_BLOCKS[-1][1])
+    if found and not large.isEmpty():
+        found.append(stored(met_in_blocks(large, members, components(union_of(found)), sets, similarity), "neardup-links"))
     if not found:
         return members.select(F.col("id").alias("a"), F.col("id").alias("b")).where("false")
-    every = found[0]
-    for more in found[1:]:
+    return union_of(found).distinct()
+
+
+def met_in_blocks(open_members: DataFrame, members: DataFrame, label: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links of members that resemble no hub of their large bucket with all its other members, unless links connect the
+    two already. A bucket is dealt in blocks of about ``BLOCK`` members; a task compares two blocks on the full shingle
+    sets and returns links only, so pairs are never rows."""
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
+    every = F.explode(F.sequence(F.lit(0), blocks - 1))
+    keys = open_members.select("key").distinct()
+    left = open_members.select("key", "id", F.lit(True).alias("seeks"), own.alias("x"), every.alias("y"))
+    right = members.join(keys, "key", "left_semi").select("key", "id", F.lit(False).alias("seeks"), own.alias("y"), every.alias("x"))
+    labelled = sets.join(label, "id", "left").select("id", F.coalesce("class", "id").alias("class"), "shingles")
+    units = left.unionByName(right).join(labelled, "id")
+    kind = dict(members.dtypes)["id"]
+
+    def compare(unit: pa.Table) -> pa.Table:
+        seeks = unit.column("seeks").to_numpy()
+        ids, names = unit.column("id"), unit.column("class").to_pylist()
+        shingles_of = [np.asarray(x, np.int32) for x in unit.column("shingles").to_pylist()]
+        there = np.flatnonzero(~seeks)
+        size = np.array([len(s) for s in shingles_of], np.int64)
+        owner = np.repeat(there, size[there])
+        token = np.concatenate([shingles_of[i] for i in there] or [np.zeros(0, np.int32)])
+        order = np.argsort(token, kind="stable")
+        owner, token = owner[order], token[order]
+        found = []
+        for i in np.flatnonzero(seeks):
+            low = np.searchsorted(token, shingles_of[i], "left")
+            count = np.searchsorted(token, shingles_of[i], "right") - low
+            at = np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
+            common = np.bincount(owner[at], minlength=len(size))
+            alike = (common > 0) & (common >= similarity * (size + size[i] - common) - 1e-9)
+            found.extend((i, j) for j in np.flatnonzero(alike) if names[i] != names[j])
+        a, b = (pa.array(x, pa.int64()) for x in (zip(*found) if found else ((), ())))
+        return pa.table({"a": ids.take(a), "b": ids.take(b)})
+
+    ship(sets.sparkSession)
+    links = units.groupBy("key", "x", "y").applyInArrow(compare, f"a {kind}, b {kind}")
+    return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def union_of(tables: list[DataFrame]) -> DataFrame:
+    every = tables[0]
+    for more in tables[1:]:
         every = every.unionByName(more)
-    return every.distinct()
+    return every
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -241,7 +303,7 @@ def classes(
     chosen = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
     signs = stored(signed(chosen, words=words), "neardup-signed")
     known = signs.where("content is not null and id is not null")
-    first = stored(known.groupBy("content").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands")), "neardup-texts")
+    first = stored(known.groupBy("content").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "neardup-texts")
     found = components(links(first, chosen, similarity, words))
     lead = first.select("content", F.col("id").alias("lead")).join(found.withColumnRenamed("id", "lead"), "lead", "left")
     lead = lead.select("content", F.coalesce("class", "lead").alias("class_id"))
