@@ -184,10 +184,8 @@ def salvage(data: bytes, base: int = 0) -> Iterator[tuple[int, int, str | None,
 
 
 def next_start(data: bytes, at: int) -> int:
-    """The next place that looks like a version line at the start of a line, or like a compressed member."""
+    """The next place that looks like a version line or a compressed member. What precedes it may be cut off anywhere."""
     version = VERSION.search(data, at)
-    while version and data[version.start() - 1 : version.start()] not in (b"\n", b""):
-        version = VERSION.search(data, version.end())
     member = data.find(MEMBER, at)
     places = [p for p in (version.start() if version else -1, member) if p >= 0]
     return min(places, default=len(data))
