@@ -2,8 +2,22 @@
 
 from __future__ import annotations
 
-from graticule.functions.classify import CATEGORY_KEYS, HUMIDITY, RAINFALL, WIND_U, WIND_V
-from graticule.operators.story import CAPTIONS
+# Substrings that mark a category, from top to bottom, and the wind components; the caption of each step.
+TEMPERATURE = ["temp", "tas", "t2m", "tmax", "tmin", "tasmax", "tasmin", "air_temp", "t_ref", "2m_temperature"]
+RAINFALL = ["pr", "precip", "rain", "prc", "prcp", "tp", "precipitation"]
+WIND = ["uas", "vas", "u10", "v10", "wind", "wnd", "sfcwind", "u_wind", "v_wind", "ws"]
+HUMIDITY = ["hurs", "huss", "rh", "humid", "q2m", "specific_humidity", "relative_humidity"]
+SNOW = ["snw", "snd", "snowfall", "snow_depth", "snc", "snowcover", "snow"]
+WIND_U, WIND_V = ["uas", "u10", "u_wind"], ["vas", "v10", "v_wind"]
+CATEGORY_KEYS = {"temperature": TEMPERATURE, "rainfall": RAINFALL, "wind": WIND, "humidity": HUMIDITY, "snow": SNOW}
+CAPTIONS = [
+    "Baseline conditions – a reference climate state.",
+    "First notable shift – emerging anomalies in the field.",
+    "Stronger event – larger departures from the baseline.",
+    "Persistent change – anomalies becoming the new normal.",
+    "Extreme episode – peak intensity in this record.",
+    "Post‑event climate – residual changes after extremes.",
+]
 
 
 def q(x: str) -> str:
@@ -113,6 +127,7 @@ def slice_of(index: str) -> str:
 
 
 def compass(degrees: str) -> str:
+    # The eight points.
     names = ["N", "NE", "E", "SE", "S", "SW", "W", "NW"]
     cases = " ".join(f"when {i} then '{n}'" for i, n in enumerate(names))
     return f"case cast(floor(({degrees} + 22.5) / 45) as int) % 8 {cases} end"
@@ -144,6 +159,7 @@ def annual(bounds: tuple[int, int]) -> str:
 
 
 def months() -> str:
+    # The month labels.
     names = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
     return "case month(time) " + " ".join(f"when {i + 1} then '{n}'" for i, n in enumerate(names)) + " end"
 
@@ -204,6 +220,7 @@ def dispatch() -> str:
           when target is not null then 'fallback' else 'none' end end as wind_source from p"""
 
 
+RUN_VARIABLES = ["hurs", "pr", "precip", "prsn", "sfcWind", "snw", "sst", "tas", "u10", "uas", "vas"]
 T_TIME = "cast(time as varchar) as time"
 WIND_MEANS = "avg(u) as mean_u, avg(v) as mean_v"
 STATS = f"count(*) as n_points, {q('avg(value)')} as mean, min(value) as min, max(value) as max, {q('stddev_pop(value)')} as std"
@@ -211,6 +228,8 @@ STATS = f"count(*) as n_points, {q('avg(value)')} as mean, min(value) as min, ma
 ORACLE = {
     "spatial_mean": given("ts") + f"select {T_TIME}, value from ts",
     "spatial_mean_levels": given("lev") + f"select {T_TIME}, lev, {q('avg(value)')} as value from lev group by time, lev",
+    "spatial_mean_levels_found": given("lev")
+    + f"select {T_TIME}, cast(lev - 1 as int) as lev_idx, lev, {q('avg(value)')} as value from lev group by time, lev",
     "series_rows": given("t") + f"select {T_TIME}, value from t",
     "annual_mean_periods": annual((1997, 1999)),
     "annual_mean_default_periods": annual((2010, 2040)),
@@ -232,6 +251,12 @@ ORACLE = {
     "longest_dry_streak": given("rs") + streak("rs", 15),
     "longest_dry_streak_default": given("rs") + streak("rs", 1),
     "dry_streak_per_cell": given("r") + streak("r", 15, "lat, lon"),
+    "dry_streak_zonal": given("r")
+    + """, z as (select time, lat, max(value) as value from r group by 1, 2),
+      runs_of as (select dry, row_number() over (order by time, lat) - row_number() over (partition by dry order by time, lat) as island
+        from (select *, value < 15 as dry from z)),
+      lengths as (select dry, island, count(*) as n from runs_of group by 1, 2)
+      select cast(max(case when dry then n else 0 end) as bigint) as longest_dry_streak from lengths""",
     "dry_streak_by_position": given("ts") + streak("ts", 25),
     "time_axis": given("r")
     + f"select cast(row_number() over (order by time) - 1 as int) as time_idx, {T_TIME} from (select distinct time from r)",
@@ -242,6 +267,10 @@ ORACLE = {
     + f""", ranked as (select *, dense_rank() over (partition by dataset_id, variable order by time) - 1 as i from runs),
       n as (select dataset_id, variable, max(i) as last from ranked group by 1, 2)
       select dataset_id, {T_TIME}, lat, lon, variable, value from ranked join n using (dataset_id, variable) where i = least(50, last)""",
+    "slices_at_many": given("axis")
+    + f""", steps as (select cast(k as int) as step, cast((k * (nt - 1)) // 11 as int) as time_idx
+        from (select count(*) as nt from axis), (select unnest(generate_series(0, 11)) as k))
+      select step, {T_TIME}, lat, lon, value from steps join axis using (time_idx) join t using (time)""",
     "slice_range": given("axis")
     + f"""select min(value) as vmin, max(value) as vmax, -max(abs(value)) as symmetric_min, max(abs(value)) as symmetric_max
       from ({slice_of('100')})""",
@@ -286,6 +315,7 @@ ORACLE = {
     + f"""select cast((lat + 60) / 30 as int) as lat_idx, lat, count(*) as n, {q("avg(value)")} as mean from h group by lat""",
     "boundary_vertices": vertices(),
     "boundary_scan": vertices(),
+    "boundary_collection": vertices(),
     "histogram": given("h") + histogram("value", "h"),
     "histogram_temperature": given("t") + histogram("value", "t"),
     "histogram_per_latitude": given("h") + histogram("value", "h", "lat"),
@@ -299,6 +329,12 @@ ORACLE = {
     "missing_cells": given("gappy")
     + f"""select {T_TIME}, count(*) as n_cells, count(value) as n_present, count(*) filter (value > 50) as n_above
       from gappy group by time""",
+    "wind_gaps": given("w")
+    + f"""select n_speed, mean_speed, max_speed, {q("mean_u")} as mean_u, {q("mean_v")} as mean_v, {q(DIRECTION)} as direction,
+      {compass(DIRECTION)} as compass from
+      (select count(speed) as n_speed, {q("avg(speed)")} as mean_speed, {q("max(speed)")} as max_speed, {WIND_MEANS} from
+        (select *, sqrt(u * u + v * v) as speed from
+          (select case when lat <> -60 then u end as u, case when lon <> -144 then v end as v from w)))""",
     "wind_stats": given("uv") + f"select count(speed) as n_speed, {q('avg(speed)')} as mean_speed, {q('max(speed)')} as max_speed from uv",
     "wind_stats_per_cell": given("uv")
     + f"""select lat, lon, n_speed, mean_speed, max_speed, {q("mean_u")} as mean_u, {q("mean_v")} as mean_v,
@@ -330,12 +366,15 @@ ORACLE = {
     "wind_fallback": given("t") + f"select count(value) as n, {q('avg(value)')} as mean, max(value) as max from t",
     "humidity_stats": given("h")
     + f"select count(value) as n, {q('avg(value)')} as mean, {q('max(value)')} as max, {q('min(value)')} as min from h",
+    "humidity_panel": given("h")
+    + f"select count(value) as n, {q('avg(value)')} as mean, {q('max(value)')} as max, {q('min(value)')} as min from h",
     "catalog_of_runs": given("cat") + "select * from cat",
-    "mappable_variables": given("cat") + "select dataset_id, variable from cat",
+    "mappable_variables": given("cat") + "select dataset_id, variable from cat where variable not in ('hurs', 'sst')",
     "unpivot_variables": given("w")
     + " union all ".join(f"select {T_TIME}, lat, lon, '{c}' as variable, {q(c)} as value from w" for c in ("u", "v", "hurs")),
-    "pivot_variables": given("runs_wide")
-    + f"select 'run' || run as dataset_id, {T_TIME}, lat, lon, a as uas, b as vas, c as hurs from runs_wide where run in (1, 5)",
+    "pivot_variables": given("runs")
+    + f"""select dataset_id, {T_TIME}, lat, lon, {", ".join(f"max(value) filter (variable = '{v}') as {v}" for v in RUN_VARIABLES)}
+      from runs group by dataset_id, time, lat, lon""",
     "classify_variables": f"""with {WORDS}, named as (select distinct variable, {category("variable")} as category from words)
       select variable, category, upper(category[1]) || category[2:] as category_label from named""",
     "find_variable": f"""with {WORDS} select dataset_id, min_by(variable, ordinal) as found
@@ -362,12 +401,27 @@ ORACLE = {
       when raw = '?' then 'NaT' else raw || ' 00:00:00' end as label from (select o_orderstatus,
       case when o_orderstatus = 'F' then 'step ' || cast(cast(o_orderdate as date) as varchar)
         when day(o_orderdate) = 1 then '?' else cast(cast(o_orderdate as date) as varchar) end as raw from orders)""",
+    "time_numeric": given("ts") + f"select {T_TIME}, value from ts",
+    "time_zoned": given("ts") + "select strftime(time, '%Y-%m-%d 01') as time, value from ts",
+    "story_labels_raw": given("axis")
+    + STORY
+    + "select step, time_idx, 'day ' || cast(time as varchar) as label from steps join axis using (time_idx)",
     "export_slice_preview": given("axis")
     + f"select lat, lon, {T_TIME}, value as t2m from ({slice_of('100')}) order by lat, lon limit 50",
     "export_series_preview": given("ts") + f"select {T_TIME}, value as t2m from ts order by ts.time limit 50",
     "export_stats": given("h") + f"select 'hurs' as variable, {STATS} from h",
     "csv_roundtrip": given("ts") + f"select {T_TIME}, value as t2m from ts",
     "csv_slice_roundtrip": given("axis") + f"select lat, lon, {T_TIME}, value as t2m from ({slice_of('2000')})",
+    "stats_csv_roundtrip": given("h") + f"select 'hurs' as variable, {STATS} from h",
+    "grid_roundtrip": given("runs")
+    + """select case when cast(dataset_id[4:] as int) % 2 = 0 then '001' else '1' end as dataset_id, variable, count(*) as n,
+      max(value) as max from runs group by 1, 2""",
+    "netcdf_scan_all": netcdf_cells()
+    + " union all ".join(
+        f"""select dataset_id, '{name}' as variable, cast(time_idx as int) as time_idx, {T_TIME}, cast(lat_idx as int) as lat_idx,
+        lat, cast(lon_idx as int) as lon_idx, lon, {q(column)} as value from dense"""
+        for name, column in (("uas", "u"), ("vas", "v"), ("hurs", "hurs"))
+    ),
     "netcdf_scan": netcdf_cells()
     + " union all ".join(
         f"""select dataset_id, '{name}' as variable, cast(time_idx as int) as time_idx, {T_TIME}, cast(lat_idx as int) as lat_idx,

@@ -16,6 +16,7 @@ from graticule.operators.groups import shared_dir
 from graticule.plans import explore, views
 from graticule.sources import boundaries
 from graticule.sources.netcdf3 import read_netcdf3
+from graticule.sources.tables import ingest_table, read_grid, write_grid
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTERED: dict[str, Query] = {}
@@ -61,6 +62,13 @@ def spatial_mean_levels(spark, sf_dir):
     return text_time(cut_all(cube.spatial_mean(standins.levels(spark, sf_dir), GridSpec(extra=("lev",))), "value"))
 
 
+@query
+def spatial_mean_levels_found(spark, sf_dir):
+    """The level is known by its positions, without a spec that names it."""
+    df = standins.levels(spark, sf_dir).withColumn("lev_idx", F.col("lev").cast("int") - 1)
+    return text_time(cut_all(cube.spatial_mean(df), "value"))
+
+
 @query
 def series_rows(spark, sf_dir):
     return text_time(cube.series_rows(standins.temperature(spark, sf_dir)))
@@ -142,6 +150,13 @@ def dry_streak_per_cell(spark, sf_dir):
     return indices.longest_dry_streak(standins.rain(spark, sf_dir), by=["lat", "lon"], dry_below=DRY_BELOW)
 
 
+@query
+def dry_streak_zonal(spark, sf_dir):
+    """Several latitudes a step, with stored positions: the steps follow each other in row-major order."""
+    zonal = standins.rain(spark, sf_dir).groupBy("time", "lat").agg(F.max("value").alias("value"))
+    return indices.longest_dry_streak(axis.with_time_index(zonal), dry_below=DRY_BELOW)
+
+
 @query
 def dry_streak_by_position(spark, sf_dir):
     """The same over stored positions, on a long multi-year series."""
@@ -172,6 +187,14 @@ def time_slice_per_dataset(spark, sf_dir):
     return text_time(axis.time_slice(standins.runs(spark, sf_dir), 50, by=["dataset_id", "variable"]))
 
 
+@query
+def slices_at_many(spark, sf_dir):
+    """Twelve evenly spaced slices, more than a story has."""
+    df = standins.temperature(spark, sf_dir)
+    spaced = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda k: F.floor((k * (F.col("nt") - 1)) / 11).cast("int"))
+    return text_time(story.story_slices(df, axis.steps_at(df, spaced)))
+
+
 @query
 def slice_range(spark, sf_dir):
     return views.heatmap(standins.temperature(spark, sf_dir), 100)["range"]
@@ -266,6 +289,24 @@ def boundary_scan(spark, sf_dir):
     return cut_all(boundary.outline_vertices(boundaries.read_boundaries(spark, folder)), "x", "y", "z")
 
 
+@query
+def boundary_collection(spark, sf_dir):
+    """The same boundaries through pretty-printed collections of at most 500 features, read with the defaults."""
+    folder = scratch(spark)
+    shapes = standins.features(spark, sf_dir)
+    geometry = F.when(
+        F.col("kind").isNotNull(),
+        F.format_string('{"type":"%s","coordinates":%s}', F.col("kind"), F.col("coordinates")),
+    )
+    named = F.to_json(F.struct(F.col("name").alias("NAME")))
+    feature = F.format_string('{"type":"Feature","properties":%s,\n"geometry":%s}', named, F.coalesce(geometry, F.lit("null")))
+    part = (F.substring("name", -9, 9).cast("int") / 500).cast("int")
+    listed = shapes.groupBy(part.alias("part")).agg(F.array_join(F.collect_list(feature), ",\n").alias("all"))
+    whole = F.format_string('{"type":"FeatureCollection",\n"features":[\n%s\n]}', F.col("all"))
+    listed.select("part", whole.alias("value")).write.partitionBy("part").text(folder)
+    return cut_all(boundary.outline_vertices(boundaries.read_boundaries(spark, folder)), "x", "y", "z")
+
+
 # Distribution
 
 
@@ -346,13 +387,24 @@ def wind_stats_per_cell(spark, sf_dir):
 
 @query
 def wind_stats_long(spark, sf_dir):
-    """Both components from one long table, without a join. Only one run has them."""
+    """Both components from one long table, joined on the cell. Two runs have them."""
     long = standins.runs(spark, sf_dir)
     uv = wind.pair_from_long(long, "uas", "vas", ["dataset_id", "time", "lat", "lon"])
     found = wind.wind_stats(uv, by=["dataset_id"])
     return cut_all(found, "mean_speed", "max_speed", "mean_u", "mean_v", "direction")
 
 
+@query
+def wind_gaps(spark, sf_dir):
+    """Cells that only one component has: their means are independent, speed needs both."""
+    uv = standins.atmosphere(spark, sf_dir)
+    keys = ["time", "lat", "lon"]
+    east = uv.where("lat <> -60").select(*keys, F.col("u").alias("value"))
+    north = uv.where("lon <> -144").select(*keys, F.col("v").alias("value"))
+    found = wind.wind_stats(wind.pair_components(east, north, keys))
+    return cut_all(found, "mean_speed", "max_speed", "mean_u", "mean_v", "direction")
+
+
 @query
 def prevailing_direction(spark, sf_dir):
     found = wind.wind_stats(standins.atmosphere(spark, sf_dir)).select("mean_u", "mean_v", "direction", "compass")
@@ -370,6 +422,12 @@ def wind_panel(spark, sf_dir):
     return cut_all(found, "mean_speed", "max_speed", "mean_u", "mean_v", "direction", "peak_speed")
 
 
+@query
+def humidity_panel(spark, sf_dir):
+    found = explore.humidity_panel(standins.humidity(spark, sf_dir))["humidity"]
+    return cut_all(found, "mean", "min", "max")
+
+
 @query
 def temperature_panel_extremes(spark, sf_dir):
     panel = explore.temperature_panel(standins.temperature(spark, sf_dir))
@@ -411,7 +469,11 @@ def catalog_of_runs(spark, sf_dir):
 
 @query
 def mappable_variables(spark, sf_dir):
-    return catalog.mappable(_catalog(spark, sf_dir), with_time=True).select("dataset_id", "variable")
+    """Humidity has no place and sea temperature no time: neither is a map over time."""
+    runs = standins.runs(spark, sf_dir)
+    placed, timed = F.col("variable") != "hurs", F.col("variable") != "sst"
+    partial = runs.withColumns({"lat": F.when(placed, F.col("lat")), "lon": F.when(placed, F.col("lon")), "time": F.when(timed, F.col("time"))})
+    return catalog.mappable(catalog.catalog(partial), with_time=True).select("dataset_id", "variable")
 
 
 @query
@@ -421,8 +483,8 @@ def unpivot_variables(spark, sf_dir):
 
 @query
 def pivot_variables(spark, sf_dir):
-    runs = standins.runs(spark, sf_dir).where(F.col("dataset_id").isin("run1", "run5"))
-    return text_time(cube.to_wide(runs, ["dataset_id", "time", "lat", "lon"], ["uas", "vas", "hurs"]))
+    every = sorted({v for names in standins.RUN_VARIABLES for v in names})
+    return text_time(cube.to_wide(standins.runs(spark, sf_dir), ["dataset_id", "time", "lat", "lon"], every))
 
 
 @query
@@ -483,6 +545,30 @@ def time_labels(spark, sf_dir):
     return story.time_labels(steps, "raw", ["o_orderstatus"])
 
 
+@query
+def time_numeric(spark, sf_dir):
+    """Times as day numbers, decoded by their units."""
+    days = F.datediff("time", F.lit("1990-01-01"))
+    df = ingest_table(standins.temperature(spark, sf_dir).withColumn("time", days), units="days since 1990-01-01")
+    return cube.spatial_mean(df).select(F.date_format("time", "yyyy-MM-dd").alias("time"), "value")
+
+
+@query
+def time_zoned(spark, sf_dir):
+    """Instants an hour after midnight in UTC stay on their day in any session zone."""
+    instant = F.timestamp_seconds(F.unix_date("time") * 86_400 + 3_600)
+    df = ingest_table(standins.temperature(spark, sf_dir).withColumn("time", instant))
+    return cube.spatial_mean(df).select(F.date_format("time", "yyyy-MM-dd HH").alias("time"), "value")
+
+
+@query
+def story_labels_raw(spark, sf_dir):
+    """No time of this record parses, so its steps are labelled by what the axis says."""
+    df = axis.with_time_index(standins.temperature(spark, sf_dir))
+    df = ingest_table(df.withColumn("time", F.concat(F.lit("day "), F.col("time").cast("string"))))
+    return story.story_steps(df).select("step", "time_idx", "label")
+
+
 # Exports and files
 
 
@@ -515,6 +601,24 @@ def csv_slice_roundtrip(spark, sf_dir):
     return spark.read.schema("lat double, lon double, time string, t2m double").option("header", True).csv(path)
 
 
+@query
+def stats_csv_roundtrip(spark, sf_dir):
+    path = sinks.export_stats(standins.humidity(spark, sf_dir), scratch(spark), "hurs")
+    schema = "variable string, n_points long, mean double, min double, max double, std double"
+    return cut_all(spark.read.schema(schema).option("header", True).csv(path), "mean", "std")
+
+
+@query
+def grid_roundtrip(spark, sf_dir):
+    """Datasets with the names 001 and 1 stay apart when their folders are read back."""
+    run = F.substring("dataset_id", 4, 9).cast("int")
+    named = standins.runs(spark, sf_dir).withColumn("dataset_id", F.when(run % 2 == 0, F.lit("001")).otherwise(F.lit("1")))
+    path = f"{scratch(spark)}/grid"
+    write_grid(named, path)
+    found = read_grid(spark, path).groupBy("dataset_id", "variable")
+    return found.agg(F.count("*").alias("n"), F.max("value").alias("max"))
+
+
 def _wind_files(spark, sf_dir) -> str:
     folder = scratch(spark)
     netcdf_fixture.write_years(standins.atmosphere(spark, sf_dir), folder)
@@ -528,6 +632,13 @@ def netcdf_scan(spark, sf_dir):
     return found.withColumn("time", F.date_format("time", "yyyy-MM-dd"))
 
 
+@query
+def netcdf_scan_all(spark, sf_dir):
+    """All variables in one scan."""
+    found = read_netcdf3(spark, _wind_files(spark, sf_dir), slabBytes=65_536).drop("variable_idx")
+    return found.withColumns({"time": F.date_format("time", "yyyy-MM-dd"), "value": cut("value")})
+
+
 @query
 def netcdf_catalog(spark, sf_dir):
     cells = read_netcdf3(spark, _wind_files(spark, sf_dir))

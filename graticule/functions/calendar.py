@@ -98,6 +98,12 @@ def parse_time(text: Column) -> Column:
     return text.try_cast("timestamp_ntz")
 
 
+def utc_time(stamp: Column) -> Column:
+    """Date and clock in UTC of an instant, whatever the session's zone."""
+    seconds = (F.unix_micros(stamp).cast("decimal(20,0)") / F.lit(1_000_000)).cast("decimal(18,6)")
+    return F.expr("timestamp_ntz'1970-01-01 00:00:00'") + F.make_dt_interval(secs=seconds)
+
+
 def time_text(time: Column) -> Column:
     """Date and clock, with six fraction digits only where there is a fraction; "NaT" for an unknown time."""
     stamp = time.cast("timestamp_ntz")

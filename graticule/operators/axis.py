@@ -29,9 +29,10 @@ def time_axis(df: DataFrame, spec: GridSpec = DEFAULT, by: Sequence[str] = ()) -
     by = names(by)
     if spec.has_index(df):
         steps = df.where(F.col(spec.time_idx).isNotNull())
-        if spec.time not in df.columns:
+        known = [c for c in (spec.time, spec.time_raw) if c in df.columns]
+        if not known:
             return steps.select(*by, spec.time_idx).distinct()
-        return steps.groupBy(*by, spec.time_idx).agg(F.max(spec.time).alias(spec.time))
+        return steps.groupBy(*by, spec.time_idx).agg(*[F.max(c).alias(c) for c in known])
 
     time = spec.time_key(df)
     steps = df.where(F.col(time).isNotNull()).select(*by, time).distinct().withColumn("__month", month_bucket(F.col(time)))
@@ -86,21 +87,36 @@ def steps_at(df: DataFrame, positions: Column, spec: GridSpec = DEFAULT, by: Seq
             return wanted
         axis = time_axis(restrict(df, wanted, spec.time_idx, by), spec, by)
     if not by:
-        wanted = F.broadcast(wanted)  # at most six rows
+        wanted = F.broadcast(wanted)  # one row per position that the caller lists
     return cut_lineage(axis.join(wanted, [*by, spec.time_idx]))
 
 
-def restrict(df: DataFrame, steps: DataFrame, key: str, by: Sequence[str] = (), n_steps: int = STORY_MAX) -> DataFrame:
+def restrict(df: DataFrame, steps: DataFrame, key: str, by: Sequence[str] = ()) -> DataFrame:
     """Keeps the rows at the picked time steps, so that the scan reads only those.
 
-    Without groups the wanted values are scalar subqueries and reach the file scan as filters. With groups it is a
-    semi-join.
+    ``steps`` has its lineage cut. Without groups its values, as many as positions that the caller lists, are scalar
+    subqueries and reach the file scan as filters. With groups the smallest and largest value do, and a semi-join is
+    exact.
     """
     by = names(by)
-    if by:
-        return df.join(broadcast_if_small(steps.select(*by, key).distinct()), [*by, key], "left_semi")
-    wanted = [steps.where(F.col("step") == k).select(key).scalar() for k in range(n_steps)]
-    return df.where(reduce(or_, [F.col(key) == value for value in wanted]))
+    if not by:
+        last = steps.agg(F.max("step")).first()[0]
+        wanted = [steps.where(F.col("step") == k).select(key).scalar() for k in range(0 if last is None else last + 1)]
+        return df.where(reduce(or_, [F.col(key) == value for value in wanted], F.lit(False)))
+    within = between(df, steps, key)
+    return within.join(broadcast_if_small(steps.select(*by, key).distinct()), [*by, key], "left_semi")
+
+
+def constant(df: DataFrame, key: str, text: str) -> Column:
+    """A value of a column's type. As text it does not pass through the zone of the driver's Python."""
+    return F.lit(text).cast(df.schema[key].dataType)
+
+
+def between(df: DataFrame, steps: DataFrame, key: str, or_null: bool = False) -> DataFrame:
+    """Rows within the range of the picked steps, which the scan can skip by; with ``or_null`` also those without."""
+    low, high = steps.agg(F.min(key).cast("string"), F.max(key).cast("string")).first()
+    inside = F.col(key).between(constant(df, key, low), constant(df, key, high)) if low is not None else F.lit(False)
+    return df.where(inside | F.col(key).isNull()) if or_null else df.where(inside)
 
 
 def time_slice(
@@ -119,7 +135,7 @@ def time_slice(
         return df
     if not spec.has_index(df):
         wanted = clip_index(index, F.col("nt")) if clip else F.lit(index)
-        return restrict(df, steps_at(df, F.array(wanted), spec, by), spec.time, by, n_steps=1)
+        return restrict(df, steps_at(df, F.array(wanted), spec, by), spec.time, by)
 
     position = F.col(spec.time_idx)
     if not clip:
@@ -127,4 +143,6 @@ def time_slice(
     last = df.groupBy(*by).agg(clip_index(index, F.max(position) + 1).alias(spec.time_idx))
     if not by:
         return df.where((position == last.scalar()) | position.isNull())
-    return restrict(df, cut_lineage(last), spec.time_idx, by).unionByName(df.where(position.isNull()))
+    last = cut_lineage(last)
+    rows = attach(between(df, last, spec.time_idx, or_null=True), last.withColumnRenamed(spec.time_idx, "__wanted"), by, spec.row_order(df), how="left")
+    return rows.where((position == F.col("__wanted")) | position.isNull()).drop("__wanted")

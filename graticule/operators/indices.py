@@ -148,14 +148,17 @@ def longest_dry_streak(
 ) -> DataFrame:
     """Longest run of steps below a threshold. Missing steps and calendar gaps do not end a run.
 
-    0 when no step is dry, NULL when there is no value at all. Runs are found in short stretches of the axis, and the
+    0 when no step is dry, NULL when there is no value at all. Rows without a place on the time axis have no order and
+    are left out; several rows of one step follow each other in row-major order. Runs are found in short stretches of the axis, and the
     stretches are then joined in two rounds: no task ever sorts a whole series. With stored positions the last round
     sees at most 2^31 / 64 / 4096 = 8,192 stretches of a series, else one per calendar month.
     """
     by = names(by)
     series, dry = drop_missing(series, spec), spec.v() < dry_below
-    if spec.has_index(series) and not spec.extra_columns(series):
-        words = _runs_by_bits(series.where(F.col(spec.time_idx).isNotNull()), spec, by, dry)
+    series = series.where(F.col(spec.time_key(series)).isNotNull())
+    grouped = {*by, *[f"{c}_idx" for c in by]}
+    if [c for c in spec.row_order(series) if c not in grouped] == [spec.time_idx]:  # one row a step
+        words = _runs_by_bits(series, spec, by, dry)
         blocked = words.withColumn("block", F.floor(F.col("stretch") / BLOCK).cast("int"))
         stretches = _join_stretches(blocked, [*by, "block"]).withColumnRenamed("block", "stretch")
     else:

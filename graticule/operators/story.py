@@ -38,11 +38,20 @@ def time_labels(steps: DataFrame, raw: str, by: Sequence[str] = ()) -> DataFrame
 
 
 def story_steps(df: DataFrame, spec: GridSpec = DEFAULT, by: Sequence[str] = ()) -> DataFrame:
-    """One row per step: its position on the axis, its time with a label, and its caption."""
+    """One row per step: its position on the axis, its time with a label, and its caption.
+
+    Where no time of a record is known, the raw axis value is the label, or the position if that is not known either.
+    """
     steps = axis.steps_at(df, axis.story_positions(F.col("nt")), spec, by).withColumn("caption", caption(F.col("step")))
     if spec.time not in steps.columns:
         return steps
-    return steps.withColumn("label", calendar.time_text(F.col(spec.time)))
+    raw = F.col(spec.time_idx).cast("string")
+    if spec.time_raw in steps.columns:
+        raw = F.coalesce(F.col(spec.time_raw).cast("string"), raw)
+    by = names(by)
+    unknown = steps.groupBy(*by).agg(F.max(spec.time).isNull().alias("__unknown"))
+    label = F.when(F.col("__unknown"), raw).otherwise(calendar.time_text(F.col(spec.time)))
+    return attach(steps, unknown, by, ["step"]).withColumn("label", label).drop("__unknown", spec.time_raw)
 
 
 def story_slices(df: DataFrame, steps: DataFrame, spec: GridSpec = DEFAULT, by: Sequence[str] = ()) -> DataFrame:

@@ -12,6 +12,8 @@ SCHEMA = f"name string, rings {RINGS}"
 GEOMETRY = T.StructType().add("type", "string").add("coordinates", "string")
 FEATURE = T.StructType().add("properties", T.MapType(T.StringType(), T.StringType())).add("geometry", GEOMETRY)
 
+COLLECTION = T.StructType([T.StructField("features", T.ArrayType(FEATURE)), *FEATURE.fields])
+
 
 def exterior_rings(kind: Column, coordinates: Column) -> Column:
     """Exterior rings of a Polygon or MultiPolygon. Holes are ignored; other geometries give NULL."""
@@ -28,21 +30,29 @@ def exterior_rings(kind: Column, coordinates: Column) -> Column:
     )
 
 
-def read_geojson(spark: SparkSession, path: str, name: str = "NAME", per_line: bool = True) -> DataFrame:
-    """Reads GeoJSON with one feature per line, which splits over tasks, or whole FeatureCollection files."""
-    if per_line:
-        features = spark.read.schema(FEATURE).json(path)
-    else:
-        collection = T.StructType().add("features", T.ArrayType(FEATURE))
-        whole = spark.read.schema(collection).option("multiLine", True).json(path)
-        features = whole.select(F.explode("features").alias("f")).select("f.*")
+def whole_lines(spark: SparkSession, path: str) -> bool:
+    """Whether the first line that is not blank is a JSON object of its own. Spark looks at it, not the driver."""
+    lines = spark.read.text(path).where(F.trim("value") != "").limit(1)
+    return not lines.where(F.get_json_object("value", "$.type").isNotNull()).isEmpty()
+
+
+def read_geojson(spark: SparkSession, path: str, name: str = "NAME", per_line: bool | None = None) -> DataFrame:
+    """Reads GeoJSON: an object per line, which splits over tasks, or an object per file, which one task reads.
+
+    Objects are features or whole FeatureCollections. Without ``per_line`` the first line decides. Malformed text fails
+    the job instead of giving no boundary.
+    """
+    per_line = whole_lines(spark, path) if per_line is None else per_line
+    parsed = spark.read.schema(COLLECTION).option("mode", "FAILFAST").option("multiLine", not per_line).json(path)
+    alone = F.array(F.struct("properties", "geometry"))
+    features = parsed.select(F.explode(F.when(F.col("features").isNotNull(), F.col("features")).otherwise(alone)).alias("f")).select("f.*")
     return features.select(
         F.col("properties")[name].alias("name"),
         exterior_rings(F.col("geometry.type"), F.col("geometry.coordinates")).alias("rings"),
     )
 
 
-def read_boundaries(spark: SparkSession, *paths: str, name: str = "NAME", per_line: bool = True) -> DataFrame:
+def read_boundaries(spark: SparkSession, *paths: str, name: str = "NAME", per_line: bool | None = None) -> DataFrame:
     """Boundaries from the first path that exists, Parquet or GeoJSON; an empty table when none does."""
     for path in paths:
         try:

@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+NO_DIMENSIONS = ("variable", "dataset")  # columns with positions that number tables, not cells
+
+
 class MissingRole(ValueError):
     """A table lacks a column that the operator needs."""
 
@@ -18,7 +21,9 @@ class GridSpec:
     """Column names of the grid roles.
 
     ``time_idx``, ``lat_idx`` and ``lon_idx`` are positions along the axes. They are optional: a table without
-    them is ordered by the coordinate itself. ``extra`` names further dimensions, such as a pressure level.
+    them is ordered by the coordinate itself. ``extra`` names further dimensions, such as a pressure level; a column
+    ``x`` with positions ``x_idx`` is one without being named. ``time_raw`` holds the axis value of a time that could
+    not be read.
     """
 
     time: str = "time"
@@ -29,6 +34,7 @@ class GridSpec:
     lat_idx: str = "lat_idx"
     lon_idx: str = "lon_idx"
     extra: tuple[str, ...] = ()
+    time_raw: str = "time_raw"
 
     @classmethod
     def infer(cls, df: DataFrame, **roles) -> GridSpec:
@@ -60,9 +66,15 @@ class GridSpec:
     def time_columns(self, df: DataFrame) -> list[str]:
         return [c for c in (self.time_idx, self.time) if c in df.columns]
 
+    def extra_names(self, df: DataFrame) -> list[str]:
+        """Further dimensions: those named, then those that the table shows by a column of positions."""
+        roles = {self.time, self.lat, self.lon, self.value, *NO_DIMENSIONS, *self.extra}
+        shown = [c for c in df.columns if f"{c}_idx" in df.columns and c not in roles]
+        return [*self.extra, *shown]
+
     def extra_columns(self, df: DataFrame) -> list[str]:
         """Further dimensions, with their positions where the table has them."""
-        names = [n for e in self.extra for n in (f"{e}_idx", e)]
+        names = [n for e in self.extra_names(df) for n in (f"{e}_idx", e)]
         return [n for n in names if n in df.columns]
 
     def space_order(self, df: DataFrame) -> list[str]:
@@ -72,7 +84,7 @@ class GridSpec:
 
     def row_order(self, df: DataFrame) -> list[str]:
         """Row-major order of a whole table: time, further dimensions, latitude, longitude."""
-        extra = [f"{e}_idx" if f"{e}_idx" in df.columns else e for e in self.extra]
+        extra = [f"{e}_idx" if f"{e}_idx" in df.columns else e for e in self.extra_names(df)]
         time = [self.time_key(df)] if self.has_time(df) else []
         return time + extra + self.space_order(df)
 
