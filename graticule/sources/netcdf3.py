@@ -40,6 +40,7 @@ from graticule.sources.tables import write_grid
 
 SLAB_BYTES = 64 * 1024 * 1024
 READ_CELLS = 2_097_152
+READ_BYTES = 16 * 1024 * 1024  # of records held at once
 BATCH_CELLS = 131_072
 GAP_BYTES = 65_536
 TIME_NAMES = ("time", "TIME")
@@ -203,6 +204,27 @@ def read_cells(file, header: Header, variable: Variable, start: int, stop: int)
     return cells[start - first * per : stop - first * per]
 
 
+class Held:
+    """A file of which one stretch is in memory. Reads within it cost nothing, others go to the file."""
+
+    def __init__(self, file):
+        self.file, self.at, self.start, self.data = file, 0, 0, b""
+
+    def hold(self, start: int, size: int) -> None:
+        self.file.seek(start)
+        self.start, self.data = start, self.file.read(size)
+
+    def seek(self, place: int) -> None:
+        self.at = place
+
+    def read(self, size: int) -> bytes:
+        offset = self.at - self.start
+        if offset < 0 or offset + size > len(self.data):
+            self.file.seek(self.at)
+            return self.file.read(size)
+        return self.data[offset : offset + size]
+
+
 def unpack(raw: np.ndarray, attributes: dict) -> np.ndarray:
     """Doubles with NaN for missing cells, after scale and offset."""
     values = raw.astype(np.float64)
@@ -350,23 +372,56 @@ class NetCDF3Reader(DataSourceReader):
             strangers = [d for d in variable.dims if d not in (*TIME_NAMES, "lat", "lon", *self.extra)]
             if strangers:
                 raise ValueError(f"{dataset}: {variable.name} has dimensions {strangers}; name them in extraDims")
-            time = next((d for d in variable.dims if d in TIME_NAMES), None)
-            leading = time is not None and variable.dims[0] == time
-            inner = max(prod(variable.shape[1:]), 1)
-            low, high = 0, variable.cells
-            if leading:
-                low, high = max(low, self.time_range[0] * inner), min(high, (self.time_range[1] + 1) * inner)
-            count = max(high - low, 0)
-            start, stop = low + count * part // parts, low + count * (part + 1) // parts
-            for at in range(start, stop, READ_CELLS):
-                end = min(at + READ_CELLS, stop)
-                values = unpack(read_cells(file, header, variable, at, end), variable.attributes)
-                # Times of just these records: in a record file the time axis is scattered over the whole file.
-                span = (at // inner, (end - 1) // inner + 1) if leading else (0, header.dims[time] if time else 0)
-                times = self._axis(file, header, time, *span) if time else None
-                for i in range(at, end, BATCH_CELLS):
-                    stretch = values[i - at : min(i + BATCH_CELLS, end) - at]
-                    yield self._batch(dataset, variable, axes, i, stretch, time, times, span[0])
+        in_records = [v for v in wanted if v.record and v.dims[0] in TIME_NAMES]
+        for variable in wanted:
+            if variable not in in_records:
+                time = next((d for d in variable.dims if d in TIME_NAMES), None)
+                inner = max(prod(variable.shape[1:]), 1) if time is not None and variable.dims[0] == time else None
+                start, stop = self._stretch(variable.cells, inner, part, parts)
+                yield from self._values(file, header, dataset, variable, axes, start, stop)
+        if in_records:
+            yield from self._records(file, header, dataset, in_records, axes, part, parts)
+
+    def _stretch(self, cells: int, inner: int | None, part: int, parts: int) -> tuple[int, int]:
+        """One task's cells of a variable with ``inner`` cells a time step, within the wanted steps."""
+        low, high = 0, cells
+        if inner is not None:
+            low, high = max(low, self.time_range[0] * inner), min(high, (self.time_range[1] + 1) * inner)
+        count = max(high - low, 0)
+        return low + count * part // parts, low + count * (part + 1) // parts
+
+    def _records(
+        self, file, header: Header, dataset: str, variables: list[Variable], axes: dict, part: int, parts: int
+    ) -> Iterator[pa.RecordBatch]:
+        """Cells of variables that lie interleaved in records. Where they fill a good part of the records, each stretch
+        of records is read once for all of them and their times; else each variable reads its own byte ranges."""
+        start, stop = self._stretch(header.dims[variables[0].dims[0]], 1, part, parts)
+        stride, base = header.record_bytes, min(v.begin for v in header.variables.values() if v.record)
+        filled = 4 * sum(v.record_cells * v.dtype.itemsize for v in variables) >= stride
+        held, step = Held(file), max(1, READ_BYTES // stride)
+        for first in range(start, stop, step):
+            last = min(first + step, stop)
+            if filled:
+                held.hold(base + first * stride, (last - first) * stride)
+            for v in variables:
+                yield from self._values(held, header, dataset, v, axes, first * v.record_cells, last * v.record_cells)
+
+    def _values(
+        self, file, header: Header, dataset: str, variable: Variable, axes: dict, start: int, stop: int
+    ) -> Iterator[pa.RecordBatch]:
+        """Cells ``start`` to ``stop`` of a variable."""
+        time = next((d for d in variable.dims if d in TIME_NAMES), None)
+        leading = time is not None and variable.dims[0] == time
+        inner = max(prod(variable.shape[1:]), 1)
+        for at in range(start, stop, READ_CELLS):
+            end = min(at + READ_CELLS, stop)
+            values = unpack(read_cells(file, header, variable, at, end), variable.attributes)
+            # Times of just these records: in a record file the time axis is scattered over the whole file.
+            span = (at // inner, (end - 1) // inner + 1) if leading else (0, header.dims[time] if time else 0)
+            times = self._axis(file, header, time, *span) if time else None
+            for i in range(at, end, BATCH_CELLS):
+                stretch = values[i - at : min(i + BATCH_CELLS, end) - at]
+                yield self._batch(dataset, variable, axes, i, stretch, time, times, span[0])
 
     def _axis(self, file, header: Header, dim: str, start: int = 0, stop: int | None = None) -> np.ndarray:
         """Coordinate values of a stretch of a dimension; its positions where the file has none."""
@@ -462,6 +517,9 @@ def read_netcdf3(spark: SparkSession, path: str, **options) -> DataFrame:
     The package is sent along with the session's files, so executors need numpy and pyarrow only.
     """
     ship(spark)
+    if "://" not in path:  # the cluster's own file system, not each machine's
+        named = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        path = named.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(named).toString()
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(NetCDF3Source)
     return spark.read.format("netcdf3").options(**options).load(path)

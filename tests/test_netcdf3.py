@@ -94,6 +94,57 @@ def test_reads_stay_within_the_share(write, tmp_path, monkeypatch):
     assert file.bytes - before == 2 * NY * NX * 4 + 2 * 8 + LAT.nbytes + LON.nbytes
 
 
+class Counted:
+    """A file that counts the bytes read from it."""
+
+    def __init__(self, file):
+        self.file, self.read_bytes = file, 0
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        self.file.close()
+
+    def size(self):
+        return self.file.size()
+
+    def seek(self, place):
+        return self.file.seek(place)
+
+    def read(self, size):
+        data = self.file.read(size)
+        self.read_bytes += len(data)
+        return data
+
+
+@pytest.mark.parametrize("held", [10_000, 16 << 20])
+def test_records_are_read_once_for_all_variables(write, tmp_path, monkeypatch, held):
+    ny = nx = 30
+    shape = (40, ny, nx)
+    dims = {"time": None, "lat": ny, "lon": nx}
+    axes = {"time": (["time"], np.arange(40.0), {"units": "days since 2000-01-01"}), "lat": (["lat"], np.arange(30.0), {}), "lon": (["lon"], np.arange(30.0), {})}
+    cubes = {f"v{k}": (["time", "lat", "lon"], (np.arange(np.prod(shape)) + k).astype("f4").reshape(shape), {}) for k in range(12)}
+    write("a.nc", axes | cubes, dims)
+    monkeypatch.setattr(netcdf3, "READ_BYTES", held)
+    size = (tmp_path / "a.nc").stat().st_size
+    reader = netcdf3.NetCDF3Reader(str(tmp_path), [], 10**9, "cells")
+
+    def scan(wanted):
+        reader.variables = wanted
+        with netcdf3.open_path(str(tmp_path))[0].open_input_file(str(tmp_path / "a.nc")) as plain:
+            file = Counted(plain)
+            header = netcdf3.read_header(file)
+            batches = list(reader._cells(file, header, "a", 0, 1))
+        return file.read_bytes, {(n, t, y, x): v for b in batches for n, t, y, x, v in zip(*(b.column(c).to_pylist() for c in ("variable", "time_idx", "lat_idx", "lon_idx", "value")))}
+
+    read, cells = scan(None)
+    assert read <= 1.1 * size
+    assert len(cells) == 12 * np.prod(shape) and all(cells[f"v{k}", 7, 3, 9] == 7 * 900 + 99 + k for k in range(12))
+    read, cells = scan({"v3"})
+    assert len(cells) == np.prod(shape) and cells["v3", 39, 29, 29] == np.prod(shape) - 1 + 3
+
+
 def test_levels_before_time(spark, write):
     swapped = np.arange(2 * NT * 3, dtype="f8").reshape(2, NT, 3)
     folder = write("l.nc", {
