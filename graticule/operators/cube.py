@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from graticule.functions import sphere
 from graticule.functions.missing import is_finite, nan_to_null
-from graticule.operators.groups import attach
+from graticule.operators.groups import BROADCAST_ROWS, attach, cut_lineage, fits
 from graticule.spec import DEFAULT, GridSpec, names
 
 
@@ -91,16 +91,17 @@ def hotspot_cell(df: DataFrame, spec: GridSpec = DEFAULT) -> Column:
     return F.min_by(cell, first).alias("hotspot")
 
 
-def hotspot(df: DataFrame, spec: GridSpec = DEFAULT, by: Sequence[str] = ()) -> DataFrame:
+def hotspot(df: DataFrame, spec: GridSpec = DEFAULT, by: Sequence[str] = (), broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Place and value of the hotspot of each field. No row for a field without values.
 
     Grouped fields are read twice: the largest absolute values first, which hash aggregation combines before the
-    shuffle, then the first of the few cells that attain them.
+    shuffle, then the first of the few cells that attain them. With more fields than may be broadcast it is one pass,
+    which sorts within each task and shuffles one row per field and task.
     """
     by = names(by)
-    if by:
-        size = F.abs(spec.v())
-        largest = drop_missing(df, spec).groupBy(*by).agg(F.max(size).alias("__largest"))
+    size = F.abs(spec.v())
+    largest = cut_lineage(drop_missing(df, spec).groupBy(*by).agg(F.max(size).alias("__largest"))) if by else None
+    if by and fits(largest, broadcast_rows):
         needed = list(dict.fromkeys([*by, *spec.space_order(df), spec.lat, spec.lon, spec.value]))
         df = attach(df.select(*needed), largest, by, spec.space_order(df)).where(size == F.col("__largest"))
     peaks = df.groupBy(*by).agg(hotspot_cell(df, spec))

@@ -14,7 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
-SALTS = 64
+BROADCAST_BYTES = 64 << 20
+WIDE_BYTES = 256  # of a value that is not a number, about
+NARROW = {"byte", "short", "integer", "long", "float", "double", "boolean", "date", "timestamp", "timestamp_ntz"}
+SHARES = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,9 +41,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def fits(facts: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether a table whose lineage is cut may be broadcast: by its count, and by the bytes that so many rows take."""
+    width = sum(f.dataType.jsonValue() in NARROW and 8 or WIDE_BYTES for f in facts.schema)
+    return facts.count() <= min(rows, BROADCAST_BYTES // width)
+
+
 def broadcast_if_small(facts: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Marks a table whose lineage is cut for broadcast when its count is within the bound; else leaves it to a shuffle."""
-    return F.broadcast(facts) if facts.count() <= rows else facts
+    """Marks a table whose lineage is cut for broadcast when it is within the bound; else leaves it to a shuffle."""
+    return F.broadcast(facts) if fits(facts, rows) else facts
 
 
 def attach(
@@ -53,8 +62,10 @@ def attach(
 ) -> DataFrame:
     """Adds the columns of ``facts``, which has one row per ``by`` group, to every row of ``df``.
 
-    ``spread`` names columns of ``df`` whose hash splits a large group. Without keys the single row of facts is
-    read as a scalar subquery: no join takes place.
+    Without keys the single row of facts is read as a scalar subquery: no join takes place. Facts beyond the bound are
+    joined on the group. Only groups that hold more than their share of all rows are dealt by the hash of ``spread``
+    as well, each over as many parts as it has shares, and only their facts are copied. Runs a job to write the facts,
+    and counts the rows of each group if they are beyond the bound.
     """
     new = [c for c in facts.columns if c not in by]
     if not by:
@@ -64,10 +75,18 @@ def attach(
     facts = cut_lineage(facts)
     keyed = facts.withColumnsRenamed({c: f"__by_{c}" for c in by})
     same = [F.col(c).eqNullSafe(F.col(f"__by_{c}")) for c in by]
-    if facts.count() <= broadcast_rows:
+    if fits(facts, broadcast_rows):
         joined = df.join(F.broadcast(keyed), same, how)
     else:
-        salt = F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")
-        salted = keyed.withColumn("__by_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = df.withColumn("__salt", salt).join(salted, [*same, F.col("__salt") == F.col("__by_salt")], how)
+        counts = cut_lineage(df.groupBy(*by).agg(F.count("*").alias("__n")))
+        share = max(1, (counts.agg(F.sum("__n")).first()[0] or 0) // SHARES)
+        large = counts.where(F.col("__n") > share)  # fewer than SHARES groups, whatever the table holds
+        parts = large.select(*[F.col(c).alias(f"__big_{c}") for c in by], F.ceil(F.col("__n") / share).cast("int").alias("__parts"))
+        big = [F.col(c).eqNullSafe(F.col(f"__big_{c}")) for c in by]
+        big_facts = [F.col(f"__by_{c}").eqNullSafe(F.col(f"__big_{c}")) for c in by]
+        own = F.pmod(F.xxhash64(*spread), F.coalesce("__parts", F.lit(1))).cast("int")
+        dealt = df.join(F.broadcast(parts), big, "left").withColumn("__salt", own)
+        copies = F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))
+        copied = keyed.join(F.broadcast(parts), big_facts, "left").select(*keyed.columns, copies.alias("__by_salt"))
+        joined = dealt.join(copied, [*same, F.col("__salt") == F.col("__by_salt")], how)
     return joined.select(*df.columns, *new)

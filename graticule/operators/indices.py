@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from graticule.operators.axis import month_bucket
 from graticule.operators.cube import drop_missing
-from graticule.operators.groups import attach
+from graticule.operators.groups import BROADCAST_ROWS, attach, cut_lineage, fits
 from graticule.spec import DEFAULT, GridSpec, names
 
 WORD = 64
@@ -22,11 +22,13 @@ def extremes(
     by: Sequence[str] = (),
     hot_above: float = 30.0,
     tropical_above: float = 20.0,
+    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Hottest and coldest step, the first among equals, and how many steps lie above two thresholds.
 
     Grouped extremes are found in two passes: first the extreme values, which hash aggregation combines before the
-    shuffle, then the first step among the few rows that attain them.
+    shuffle, then the first step among the few rows that attain them. With more groups than may be broadcast it is one
+    pass, which sorts within each task and shuffles one row per group and task: no raw row moves either way.
     """
     by = names(by)
     v, order = spec.v(), spec.row_order(series)
@@ -39,14 +41,14 @@ def extremes(
     hot_time = F.min_by(spec.time, F.struct(-v, *order)).alias("hot_time")
     cold_time = F.min_by(spec.time, F.struct(v, *order)).alias("cold_time")
     limits = [F.max(v).alias("hottest"), F.min(v).alias("coldest"), *counts]
-    if by:
-        totals = series.groupBy(*by).agg(*limits)
+    totals = cut_lineage(series.groupBy(*by).agg(*limits)) if by else None
+    if by and fits(totals, broadcast_rows):
         rows = attach(series.select(*dict.fromkeys([*by, *order, spec.time, spec.value])), totals, by, order)
         at_limit = rows.where((v == F.col("hottest")) | (v == F.col("coldest")))
         kept = [F.first(c).alias(c) for c in totals.columns if c not in by]
         found = at_limit.groupBy(*by).agg(hot_time, cold_time, *kept)
     else:
-        found = series.agg(hot_time, cold_time, *limits)
+        found = series.groupBy(*by).agg(hot_time, cold_time, *limits)
     return found.select(
         *by,
         "hottest",

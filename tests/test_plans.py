@@ -94,3 +94,32 @@ def test_missing_keys_have_a_way_without_broadcast(stored):
 def test_wide_wind_needs_no_join(stored):
     uv = stored.withColumns({"u": F.col("value"), "v": F.col("spare")})
     assert "Join" not in plan(wind.storm_counts(uv))
+
+
+def test_many_groups_move_no_raw_rows(stored):
+    """Beyond the broadcast bound extremes and hotspots aggregate in one pass: partial results are all that is shuffled."""
+    by = ["lat_idx", "lon_idx"]
+    for found, few in (
+        (indices.extremes(stored, by=by, broadcast_rows=0), indices.extremes(stored, by=by)),
+        (cube.hotspot(stored, by=["time_idx"], broadcast_rows=0), cube.hotspot(stored, by=["time_idx"])),
+    ):
+        exchanges = re.findall(r"Exchange[^\n]*\n[^\n]*", plan(found))
+        assert len(exchanges) == 1 and "partial_min_by" in plan(found) and "Join" not in plan(found)
+        key = lambda r: tuple(map(str, r))
+        assert sorted(found.collect(), key=key) == sorted(few.collect(), key=key)
+
+
+def test_only_large_groups_are_dealt_in_parts(spark):
+    """Facts are copied for the groups that hold much of the table, not for all."""
+    rows = spark.range(40_000).selectExpr("if(id % 2 = 0, -1, id) as g", "id", "double(id) as value")
+    facts = rows.groupBy("g").agg({"value": "max"}).withColumnRenamed("max(value)", "top")
+    joined = attach(rows, facts, ["g"], ["id"], broadcast_rows=0)
+    assert joined.count() == 40_000 and joined.where("g = -1").where("top <> 39998").count() == 0
+    spread = joined._jdf.queryExecution().toString()
+    assert "__salt" in spread and joined.where("g <> -1 and top <> value").count() == 0
+
+
+def test_grouped_slices_bound_the_scan(stored):
+    """A slice by group filters by the range of its steps in the one scan that it needs."""
+    text = plan(axis.time_slice(stored.withColumnRenamed("spare", "dataset"), 50, by=["dataset"]))
+    assert re.search(r"GreaterThanOrEqual\(time_idx,50\)", text) and text.count("FileScan") == 1
