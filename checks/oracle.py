@@ -435,6 +435,28 @@ ORACLE = {
         from dense group by dataset_id"""
         for i, (name, column) in enumerate((("uas", "u"), ("vas", "v"), ("hurs", "hurs")))
     ),
+    "stored_catalog": netcdf_cells()
+    + " union all ".join(
+        f"""select dataset_id, '{name}' as variable, max(time_idx) + 1 as n_time, max(lat_idx) + 1 as n_lat,
+        max(lon_idx) + 1 as n_lon, count(*) as n_cells, cast({i} as int) as ordinal from dense group by dataset_id"""
+        for i, name in enumerate(("uas", "vas", "hurs"))
+    ),
+    "explore_page": given("runs_wide")
+    + """, cells as (select a as u, b as v, c as h, sqrt(a * a + b * b) as speed from runs_wide where run = 1),
+      found as (select count(h) as n, avg(h) as mean_h, max(h) as max_h, min(h) as min_h, count(speed) as n_speed,
+        avg(speed) as mean_speed, max(speed) as max_speed, avg(u) as mean_u, avg(v) as mean_v,
+        count(*) filter (speed > 20) as storms, count(*) filter (speed > 32) as severe from cells) """
+    + " union all ".join(
+        f"select '{panel}' as panel, '{metric}' as metric, {q(f'cast({value} as double)')} as value from found"
+        for panel, metric, value in (
+            ("0_humidity.humidity", "n", "n"), ("0_humidity.humidity", "mean", "mean_h"), ("0_humidity.humidity", "max", "max_h"),
+            ("0_humidity.humidity", "min", "min_h"), ("1_wind.wind", "n_speed", "n_speed"), ("1_wind.wind", "mean_speed", "mean_speed"),
+            ("1_wind.wind", "max_speed", "max_speed"), ("1_wind.wind", "mean_u", "mean_u"), ("1_wind.wind", "mean_v", "mean_v"),
+            ("1_wind.wind", "storm_samples", "storms"), ("1_wind.wind", "severe_samples", "severe"),
+            ("1_wind.wind", "peak_speed", "max_speed"), ("1_wind.wind", "direction", DIRECTION),
+            ("2_distribution.mean", "n", "n"), ("2_distribution.mean", "mean", "mean_h"),
+        )
+    ),
     "netcdf_header": netcdf_cells()
     + """, sizes as (select dataset_id, max(time_idx) + 1 as nt, max(lat_idx) + 1 as ny, max(lon_idx) + 1 as nx from dense group by 1)
       select dataset_id, variable, variable in ('time', 'lat', 'lon') as is_coordinate,

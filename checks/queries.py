@@ -15,7 +15,7 @@ from graticule.operators import axis, boundary, catalog, cube, indices, series,
 from graticule.operators.groups import shared_dir
 from graticule.plans import explore, views
 from graticule.sources import boundaries
-from graticule.sources.netcdf3 import read_netcdf3
+from graticule.sources.netcdf3 import ingest_netcdf3, read_catalog, read_netcdf3
 from graticule.sources.tables import ingest_table, read_grid, write_grid
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -645,6 +645,29 @@ def netcdf_catalog(spark, sf_dir):
     return catalog.catalog(cells)
 
 
+@query
+def stored_catalog(spark, sf_dir):
+    """The catalog that ingest writes from the headers."""
+    target = f"{scratch(spark)}/grid"
+    ingest_netcdf3(spark, _wind_files(spark, sf_dir), target, files=12)
+    return read_catalog(spark, target).drop("n_present")
+
+
+@query
+def explore_page(spark, sf_dir):
+    """Single-row panels of the main page of one run, flattened to panel, metric and value."""
+    page = explore.explore(standins.runs(spark, sf_dir), "run1", override="hurs")
+    rows = None
+    for panel in ("0_humidity", "1_wind", "2_distribution"):
+        for name, df in page[panel].items():
+            numbers = [c for c, kind in df.dtypes if kind in ("double", "bigint")]
+            if name in ("histogram",):
+                continue
+            flat = df.select(F.lit(f"{panel}.{name}").alias("panel"), F.inline(F.array(*[F.struct(F.lit(c).alias("metric"), cut(F.col(c).cast("double")).alias("value")) for c in numbers])))
+            rows = flat if rows is None else rows.unionByName(flat)
+    return rows
+
+
 @query
 def netcdf_header(spark, sf_dir):
     listed = read_netcdf3(spark, _wind_files(spark, sf_dir), content="header")

@@ -43,6 +43,21 @@ def catalog(df: DataFrame, spec: GridSpec = DEFAULT, dataset: str = "dataset_id"
     return listed.withColumn("ordinal", F.row_number().over(by_name) - 1)
 
 
+def from_headers(headers: DataFrame, spec: GridSpec = DEFAULT, dataset: str = "dataset_id") -> DataFrame:
+    """The same catalog from file headers, so that no cell is read. How many values are present is not known there."""
+    sizes = F.map_from_arrays("dims", "sizes")
+
+    def length(*named: str) -> Column:
+        return F.coalesce(*[F.try_element_at(sizes, F.lit(n)) for n in named], F.lit(0)).cast("bigint")
+
+    cells = F.aggregate("sizes", F.lit(1).cast("bigint"), lambda n, size: n * size)
+    return headers.where(~F.col("is_coordinate")).select(
+        dataset, "variable", length(spec.time, "time", "TIME").alias("n_time"), length(spec.lat).alias("n_lat"),
+        length(spec.lon).alias("n_lon"), cells.alias("n_cells"), F.lit(None).cast("bigint").alias("n_present"),
+        F.col("variable_idx").cast("int").alias("ordinal"),
+    )
+
+
 def mappable(catalog: DataFrame, with_time: bool = False) -> DataFrame:
     """Variables that span latitude and longitude, and time if asked."""
     spans = (F.col("n_lat") > 0) & (F.col("n_lon") > 0)
@@ -101,9 +116,14 @@ def select_variable(
     chosen: str | None = None,
     spec: GridSpec = DEFAULT,
     dataset: str = "dataset_id",
+    listed: DataFrame | None = None,
 ) -> DataFrame:
-    """Rows of the chosen variable of every dataset. On a table stored by variable the scan skips the others."""
-    picked = cut_lineage(choose_variable(catalog(df, spec, dataset), override, chosen, [dataset]))
+    """Rows of the chosen variable of every dataset. On a table stored by variable the scan skips the others.
+
+    ``listed`` is a stored catalog; without it one is made, which reads every row. The choice runs as a job at once.
+    """
+    listed = catalog(df, spec, dataset) if listed is None else listed
+    picked = cut_lineage(choose_variable(listed, override, chosen, [dataset]))
     return df.join(broadcast_if_small(picked), [dataset, "variable"], "left_semi")
 
 

@@ -57,6 +57,15 @@ def humidity_panel(df: DataFrame, spec: GridSpec = DEFAULT) -> dict[str, DataFra
     return {"humidity": stats.value_stats(df, spec), "histogram": stats.histogram(df, spec)}
 
 
+def levels_by_variable(dataset: DataFrame, spec: GridSpec) -> dict[str, list[str]]:
+    """The further dimensions that each variable has, in a grid that has any."""
+    extra = spec.extra_names(dataset)
+    if not extra:
+        return {}
+    there = [F.max(F.col(e).isNotNull()).alias(e) for e in extra]
+    return {r["variable"]: [e for e in extra if r[e]] for r in dataset.groupBy("variable").agg(*there).collect()}
+
+
 def explore(
     grid: DataFrame,
     dataset_id: str,
@@ -65,14 +74,17 @@ def explore(
     index: int = 0,
     boundaries: DataFrame | None = None,
     spec: GridSpec = DEFAULT,
+    listed: DataFrame | None = None,
 ) -> dict[str, dict[str, DataFrame]]:
     """All panels of one dataset in a long grid, by panel name.
 
-    Only the list of its variables comes to the driver. Spatial-mean series are computed while the page is built; the
-    other results are lazy.
+    Only the list of its variables comes to the driver. Spatial-mean series are computed while the page is built, and so
+    is the list unless ``listed`` brings a stored catalog, with which no cell is read for it. The other results are lazy.
+    Dimensions that a variable lacks, levels included, are no columns of its panels.
     """
     dataset = grid.where(F.col("dataset_id") == dataset_id)
-    listed = cut_lineage(cat.catalog(dataset, spec))
+    listed = cut_lineage(cat.catalog(dataset, spec) if listed is None else listed.where(F.col("dataset_id") == dataset_id))
+    levels = levels_by_variable(dataset, spec)
     chosen_row = cat.choose_variable(listed, override, chosen).first()
     if chosen_row is None:
         raise ValueError(f"no dataset {dataset_id!r}")
@@ -93,6 +105,7 @@ def explore(
             if row[n] == 0
             for c in columns
         ]
+        absent += [c for e in spec.extra_names(dataset) if e not in levels.get(name, ()) for c in (f"{e}_idx", e)]
         return dataset.where(F.col("variable") == name).drop(*absent)
 
     def components(u: str | None, v: str | None) -> DataFrame | None:
@@ -101,22 +114,31 @@ def explore(
         east, north = cells(u), cells(v)
         return wind.pair_components(east, north, spec.row_order(east), spec)
 
+    paired: dict[tuple, dict[str, DataFrame]] = {}
+
+    def winds(u: str | None, v: str | None, target: DataFrame | None) -> dict[str, DataFrame]:
+        """The panel of both components is the same at every position, and is built once."""
+        if not (u and v):
+            return wind_panel(None, target, spec)
+        if (u, v) not in paired:
+            paired[u, v] = wind_panel(components(u, v), spec=spec)
+        return paired[u, v]
+
     page: dict[str, dict[str, DataFrame]] = {}
     main = cells(variable)
     if spec.has_space(main):
         page["heatmap"] = views.heatmap(main, index, spec)
         page["globe"] = views.globe(main, index, boundaries, spec)
     if spec.has_time(main):
-        page["time_series"] = {"rows": cube.series_rows(main, spec)}
+        page["time_series"] = {"rows": cube.series_rows(main, spec, total_order=False)}
     for row in panels:
         target = cells(row["target"]) if row["target"] else None
-        uv = components(row["u_variable"], row["v_variable"])
         built = {
             "temperature": lambda: temperature_panel(target, spec),
             "rainfall": lambda: rainfall_panel(target, spec),
             "humidity": lambda: humidity_panel(target, spec),
             "distribution": lambda: views.distribution(target, spec),
-            "wind": lambda: wind_panel(uv, target, spec),
+            "wind": lambda: winds(row["u_variable"], row["v_variable"], target),
         }[row["panel"]]()
         page[f"{row['position']}_{row['panel']}"] = built
     return page

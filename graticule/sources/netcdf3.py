@@ -35,6 +35,7 @@ from pyspark.sql.datasource import (
 )
 
 from graticule.functions.calendar import decodable_range, parse_units
+from graticule.operators.catalog import from_headers
 from graticule.shipping import ship
 from graticule.sources.tables import write_grid
 
@@ -525,6 +526,21 @@ def read_netcdf3(spark: SparkSession, path: str, **options) -> DataFrame:
     return spark.read.format("netcdf3").options(**options).load(path)
 
 
-def ingest_netcdf3(spark: SparkSession, source: str, target: str, mode: str = "errorifexists", **options) -> None:
-    """Converts files to a long Parquet table by dataset and variable, without a shuffle."""
-    write_grid(read_netcdf3(spark, source, **options), target, mode=mode)
+def ingest_netcdf3(
+    spark: SparkSession, source: str, target: str, mode: str = "errorifexists", files: int | None = None, **options
+) -> None:
+    """Converts files to a long Parquet table by dataset and variable, without a shuffle unless ``files`` asks for it
+    (see ``write_grid``), and writes the catalog of their headers beside it."""
+    write_grid(read_netcdf3(spark, source, **options), target, mode=mode, files=files)
+    headers = read_netcdf3(spark, source, content="header")
+    from_headers(headers).write.mode(mode).parquet(catalog_path(target))
+
+
+def catalog_path(target: str) -> str:
+    """Where the catalog of a grid lies: in its folder, under a name that grid scans pass over."""
+    return f"{target.rstrip('/')}/_catalog"
+
+
+def read_catalog(spark: SparkSession, target: str) -> DataFrame:
+    """The catalog that ingest stored: a row per dataset and variable, from which pages start without reading a cell."""
+    return spark.read.parquet(catalog_path(target))

@@ -52,11 +52,15 @@ def read_grid(
     return ingest_table(df, spec, units, time_calendar)
 
 
-def write_grid(df: DataFrame, path: str, spec: GridSpec = DEFAULT, mode: str = "errorifexists") -> None:
+def write_grid(df: DataFrame, path: str, spec: GridSpec = DEFAULT, mode: str = "errorifexists", files: int | None = None) -> None:
     """Writes a long table by dataset and variable, each file sorted by time, so that slices skip most row groups.
 
-    The rows are not shuffled: a reader task already holds a stretch of one variable.
+    The rows are not shuffled, so every task adds a file to each variable that it holds: right for large files. With
+    ``files``, about as many as the stored size over the wanted file size, rows are first dealt by ranges of dataset,
+    variable and time, so that the number of files depends on the data and not on the tasks.
     """
     keys = list(IDS)
+    if files:
+        df = df.repartitionByRange(files, *keys, *spec.row_order(df)[:1])
     ordered = df.sortWithinPartitions(*keys, *spec.row_order(df))
     ordered.write.mode(mode).partitionBy(*keys).parquet(path)
