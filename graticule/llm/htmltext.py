@@ -34,6 +34,7 @@ BLOCKS = set(
 )
 ASIDE = set("nav aside footer form menu dialog select button search fieldset".split())
 MAIN = {"article", "main"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 # Words in a class, an identifier or a role that tell what is not the article.
 ASIDE_WORDS = set(
@@ -66,8 +67,11 @@ def set_apart(name: str, attributes: str, inside: bool) -> bool:
         key, value = key.lower(), value.strip("\"'")
         if key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
             return True
-        if key in ("class", "id", "role") and ASIDE_WORDS & {w.lower() for w in WORDS.findall(value)}:
-            return name not in ("h1", "h2", "h3", "h4", "h5", "h6") or "header" not in value.lower()
+        said = {w.lower() for w in WORDS.findall(value)} & ASIDE_WORDS
+        if inside or name in HEADINGS:
+            said.discard("header")  # an article's own
+        if key in ("class", "id", "role") and said:
+            return True
     return False
 
 

@@ -217,7 +217,7 @@ def fit(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "tex
     place = F.pmod(F.xxhash64(F.col(doc_id), F.lit(4)), F.greatest(F.char_length(text) - TRAIN_CHARACTERS, F.lit(1))) + 1
     wanted = F.create_map(*[F.lit(x) for pair in share.items() for x in pair])
     sample = (
-        rows.where(luck < F.element_at(wanted, F.col(lang)))
+        rows.where(luck < F.try_element_at(wanted, F.col(lang)))
         .select(F.col(lang).alias("l"), F.substring(F.col(text), place, F.lit(TRAIN_CHARACTERS)).alias("t"), luck.alias("u"))
         .where("trim(t) <> ''").orderBy("u", "l", "t").limit(2 * TRAIN_ROWS * len(share)).toPandas()
     )

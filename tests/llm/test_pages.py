@@ -19,6 +19,7 @@ PAGES = {
     "<html><body><div class='side-bar sidebar'>links</div><div id=content><p>" + "Long text here. " * 20 + "</p><p>Short.</p></div><div class=comments><p>" + "I think so. " * 20 + "</p></div>": "Long text here. " * 19 + "Long text here.\nShort.",
     "<article>A<script>var x='</p>';</script>B<style>p{}</style><!-- no --><div class='ad'>buy</div>C</article>": "AB\nC",
     "<article><p>x &lt;b&gt; y</p><form>name <input></form><aside>see also</aside><p>z</article>": "x <b> y\nz",
+    "<main><div class='post-header'><h2 class=header>Head</h2></div><p>Body</p><section id='reader-comments'>No!</section></main>": "Head\nBody",
     "<p>plain page without structure": "plain page without structure",
     "": "", "   ": "", "<nav>only a menu</nav>": "", "<article><p>cut off in a ta<b": "cut off in a ta",
     "<article><p>cut off in a menu</p><div class=menu>a<p>b": "cut off in a menu",
