@@ -7,6 +7,9 @@ group holding a large share of all rows is spread over many tasks.
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 from collections.abc import Sequence
 
@@ -26,15 +29,21 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if named:
         return named
-    if not context.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):  # local-cluster has executors with folders of their own
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     made = tempfile.mkdtemp(prefix="graticule-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
     context.setCheckpointDir(made)
     return made
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Writes a small table to the shared folder, so that it is computed once and survives the loss of an executor."""
+    """Writes a small table to the shared folder, so that it is computed once and survives the loss of an executor.
+
+    Runs a job at once, as do all that call it: ``attach``, ``steps_at``, ``time_slice``, ``select_variable``, grouped
+    ``extremes`` and ``hotspot``, and the pages. The files go with the session's references if
+    spark.cleaner.referenceTracking.cleanCheckpoints is set, and with the driver where the folder is its own.
+    """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(df.sparkSession))
