@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graticule.llm.common import ascii_lower, stored, text_of
+from graticule.llm.common import ascii_lower, stored
 
 PREFIX = 64
 RANGES_PER_PARTITION = 3
