@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from graticule.llm.common import mapped, small_batches
 
-KNOWN_STRETCHES = 600_000
+KNOWN_STRETCHES = 400_000
 LONG_STRETCH = 100
 SCHEMA = "n_tokens long, ids binary, ids_sha256 string, decoded binary, decoded_sha256 string"
 
@@ -224,7 +224,7 @@ def encode(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", tex
 
     A missing or empty text has no ids. Rows are independent: repeated rows give repeated results, an empty table an
     empty one, and other columns are ignored. Nothing is shuffled. A task holds one batch of texts of 4 MB, or one
-    longer text, and up to 600,000 words that its worker has met.
+    longer text, and up to 400,000 words that its worker has met.
     """
     chosen = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
     kind = chosen.schema["id"].dataType.simpleString()
