@@ -6,8 +6,8 @@ coordinate is its value, so that two texts agree on a coordinate with the probab
 the first darts are ever thrown: about k log k + 2k a text, however many shingles it has.
 
 Texts that agree on a whole band of coordinates share a bucket. Buckets are not expanded into pairs: their members are
-compared with the members that collide most often, and only those that resemble none of these with the others. Every
-link is checked on the full shingle sets.
+compared with the members that collide most often; then whatever these links leave in different classes of a bucket is
+compared as well, in blocks. Every link is checked on the full shingle sets.
 """
 
 from __future__ import annotations
@@ -218,16 +218,31 @@ def links(signatures: DataFrame, docs: DataFrame, similarity: float, words: int)
         if low == 1:
             done = done.unionByName(ranked.where("rank = 1").select("key", F.col("hub").alias("id")))
         open_members = stored(large.join(done.distinct(), ["key", "id"], "left_anti"), "neardup-open")
-    large = open_members.where(F.col("size") > HUB_BLOCKS[-1][1])
-    if found and not large.isEmpty():
-        found.append(stored(met_in_blocks(large, members, components(union_of(found)), sets, similarity), "neardup-links"))
+    if found:
+        label = stored(components(union_of(found)), "neardup-joined")
+        seekers = stored(apart(members, open_members, label), "neardup-apart")
+        if not seekers.isEmpty():
+            found.append(stored(met_in_blocks(seekers, members, label, sets, similarity), "neardup-links"))
     if not found:
         return members.select(F.col("id").alias("a"), F.col("id").alias("b")).where("false")
     return union_of(found).distinct()
 
 
+def apart(members: DataFrame, open_members: DataFrame, label: DataFrame) -> DataFrame:
+    """The members of each bucket outside its largest class: any two of different classes have one of these. Left out are
+    the open ones of a bucket no larger than the ranks tried, which have met all its members, and buckets no larger than
+    the ranks of the second round, where all have met but those that resemble one hub."""
+    large = members.where(F.col("size") > HUB_BLOCKS[:2][-1][1])
+    named = large.select("key", "id", "size").join(label, "id", "left").withColumn("class", F.coalesce("class", "id"))
+    counts = named.groupBy("key", "class").agg(F.count("*").alias("rows"))
+    largest = counts.groupBy("key").agg(F.max(F.struct("rows", "class")).alias("top"), F.count("*").alias("classes"))
+    largest = largest.where("classes > 1").select("key", F.col("top.class").alias("main"))
+    met = open_members.where(F.col("size") <= HUB_BLOCKS[-1][1]).select("key", "id")
+    return named.join(largest, "key").where(F.col("class") != F.col("main")).join(met, ["key", "id"], "left_anti").select("key", "id", "size")
+
+
 def met_in_blocks(open_members: DataFrame, members: DataFrame, label: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Links of members that resemble no hub of their large bucket with all its other members, unless links connect the
+    """Links of members outside the largest class of their bucket with all its other members, unless links connect the
     two already. A bucket is dealt in blocks of about ``BLOCK`` members; a task compares two blocks on the full shingle
     sets and returns links only, so pairs are never rows."""
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")

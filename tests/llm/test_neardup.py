@@ -64,6 +64,17 @@ def test_classes_match_all_pairs(spark, monkeypatch, blocks):
     assert all(r.kept == (r.doc_id is None or r.class_id == r.doc_id) for r in rows)
 
 
+@pytest.mark.parametrize("more", [0, 40])
+def test_families_joined_by_one_pair_of_different_hubs(spark, monkeypatch, more):
+    """One bucket: 5 is like hub 1 and 6 like hub 2 alone, and only the pair 5-6 joins the two families."""
+    monkeypatch.setattr(neardup, "BLOCK", 4)
+    first = {1: 0, 2: 33, 3: 34, 4: 35, 5: 11, 6: 22} | {10 + k: 0 for k in range(more)}
+    docs = spark.createDataFrame([(i, " ".join(f"w{k}" for k in range(x, x + 100))) for i, x in first.items()], "id long, text string")
+    signs = spark.createDataFrame([(i, 100, [7], [0, 0, 0, 0]) for i in first], "id long, n long, bands array<long>, sketch array<long>")
+    found = neardup.components(neardup.links(signs, docs, 0.8, 1))
+    assert {r.id: r["class"] for r in found.collect()} == dict.fromkeys(first, 1)
+
+
 def test_one_document_of_each_class_stays(spark):
     pairs = [p for p in planted(random.Random(9)) if p[0] not in (6, 14, None)]
     docs = frame(spark, pairs)
