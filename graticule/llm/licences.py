@@ -1,16 +1,19 @@
 """Licence scan: sparse TF-IDF cosine of headers and licence files to templates, then inheritance along directories.
 
-Every line and paragraph of a file is compared with the templates, weighted by how rare a word is in the whole corpus. A
-file without a licence of its own takes that of its nearest ancestor directory with a licence file: a file named so, or
-one whose whole text is a notice.
+Every line and paragraph of a file, and every window of words as long as a template, is compared with the templates,
+weighted by how rare a word is in the whole corpus. A file without a licence of its own takes that of its nearest ancestor
+directory with a licence file: a file named so, or one whose whole text is a notice.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import uuid
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,7 +22,8 @@ from pyspark.sql import functions as F
 from graticule.llm.common import mapped, small_batches, stored
 
 LEAST_COSINE = 0.75
-LONGEST_BLOCK = 12  # lines of a paragraph that are also compared as one text; each line is compared in any case
+LEAST_WINDOW = 5  # words of a notice that is also looked for inside lines; shorter ones are titles, compared with whole lines
+MOST_COUNTED = 200_000  # words that a task counts at a time
 FILE_NAMES = r"(?i)^(licen[cs]e|copying|unlicense|notice)([.\-_].*)?$"
 
 # Notices by SPDX identifier.
@@ -51,93 +55,173 @@ def vocabulary(templates: dict[str, list[str]]) -> frozenset[str]:
     return frozenset(w for notices in templates.values() for n in notices for w in words_of(n))
 
 
-def word_counts(files: DataFrame, words: frozenset[str]) -> tuple[int, dict[str, int]]:
-    """The number of all texts, and how many of them each word of the templates occurs in. Counted within each batch
-    before the shuffle; the driver gets a row for each word of the templates."""
+def word_counts(files: DataFrame) -> DataFrame:
+    """How many texts each word occurs in (word, n), and the number of all texts as that of the word "". Counted within
+    each task before the shuffle, ``MOST_COUNTED`` words at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, counts = 0, Counter()
         for batch in small_batches(batches, "text"):
             for text in batch.column("text").to_pylist():
                 total += 1
-                counts.update(words.intersection(words_of(text or "")))
+                counts.update(set(words_of(text or "")))
+                if len(counts) > MOST_COUNTED:
+                    yield pa.RecordBatch.from_pydict({"word": [*counts], "n": pa.array(counts.values(), pa.int64())})
+                    counts = Counter()
         yield pa.RecordBatch.from_pydict({"word": ["", *counts], "n": pa.array([total, *counts.values()], pa.int64())})
 
-    found = mapped(files.select("text"), run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    counted = {r["word"]: r["n"] for r in found.collect()}
-    return counted.pop("", 0), counted
+    return mapped(files.select("text"), run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 class Matcher:
-    """Unit TF-IDF vectors of all notices, and the cosine of a text with the closest one."""
+    """Unit TF-IDF vectors of all notices, and the cosine of a text with the closest one.
 
-    def __init__(self, texts: int, counts: dict[str, int], templates: dict[str, list[str]]) -> None:
-        self.unknown = math.log(1 + texts) + 1  # the weight of a word that no text has; words outside all notices count so
-        self.weight = {w: math.log((1 + texts) / (1 + counts.get(w, 0))) + 1 for w in vocabulary(templates)}
+    ``counts`` are those of the words of the notices. Of another word the weight is between 1, that of a word in every
+    text, and ``unknown``, that of a word in no text, until its own count is known.
+    """
+
+    def __init__(self, texts: int, counts: dict[str, int], templates: dict[str, list[str]], least: float = LEAST_COSINE) -> None:
+        self.texts, self.unknown = texts, math.log(1 + texts) + 1
+        self.weight = {w: self.weight_of(counts.get(w, 0)) for w in vocabulary(templates)}
         self.by_word: dict[str, list[tuple[int, float]]] = {}
+        self.by_anchor: dict[str, list[int]] = {}
+        self.vectors: list[dict[str, float]] = []
+        self.lengths: list[int] = []
         self.names: list[str] = []
         for name in sorted(templates):
             for notice in templates[name]:
                 vector = {w: n * self.weight[w] for w, n in Counter(words_of(notice)).items()}
                 norm = math.sqrt(sum(v * v for v in vector.values()))
-                for w, v in vector.items():
-                    self.by_word.setdefault(w, []).append((len(self.names), v / norm))
+                vector = {w: v / norm for w, v in vector.items()}
+                without = 1.0
+                for w, v in sorted(vector.items(), key=lambda x: (-x[1], x[0])):
+                    self.by_word.setdefault(w, []).append((len(self.names), v))
+                    if without >= least * least - 1e-6:  # a text without any of the anchors is not as close as that
+                        self.by_anchor.setdefault(w, []).append(len(self.names))
+                        without -= v * v
+                self.vectors.append(vector)
+                self.lengths.append(len(words_of(notice)))
                 self.names.append(name)
 
-    def closest(self, words: list[str], least: float) -> tuple[float, str | None]:
-        """Cosine and name of the closest notice, the first by name of equal ones; (0.0, None) below ``least``."""
-        known = [w for w in words if w in self.weight]
+    def weight_of(self, count: int) -> float:
+        return math.log((1 + self.texts) / (1 + count)) + 1
+
+    def closest(
+        self, words: list[str], least: float, others: dict[str, int] | None = None, floor: bool = False, shortest: int = 0
+    ) -> tuple[float, str | None]:
+        """Cosine and name of the closest notice, the first by name of equal ones; (0.0, None) below ``least``. Words
+        outside all notices have their counts in ``others``; with ``floor`` they get the least weight. Notices of fewer
+        words than ``shortest`` do not count."""
+        counts = Counter(words)
+        known = {w: n for w, n in counts.items() if w in self.weight}
         if not known:
             return 0.0, None
-        counts = Counter(known)
-        inside = sum((n * self.weight[w]) ** 2 for w, n in counts.items())
-        if len(words) > len(known):
-            others = Counter(w for w in words if w not in self.weight)
-            norm = inside + sum(n * n for n in others.values()) * self.unknown**2
-        else:
-            norm = inside
+        inside = sum((n * self.weight[w]) ** 2 for w, n in known.items())
+        norm = inside
+        if len(known) < len(counts):
+            more = others or {}
+            weight = (lambda w: 1.0) if floor else (lambda w: self.weight_of(more.get(w, 0)))
+            norm += sum((n * weight(w)) ** 2 for w, n in counts.items() if w not in known)
         if inside < least * least * norm:  # no notice can come closer than all its words together
             return 0.0, None
         dots: dict[int, float] = {}
-        for w, n in counts.items():
+        for w, n in known.items():
             for k, v in self.by_word[w]:
-                dots[k] = dots.get(k, 0.0) + n * self.weight[w] * v
+                if self.lengths[k] >= shortest:
+                    dots[k] = dots.get(k, 0.0) + n * self.weight[w] * v
+        if not dots:
+            return 0.0, None
         score, k = max((round(d / math.sqrt(norm), 9), -k) for k, d in dots.items())
         return (min(1.0, score), self.names[-k]) if score >= least else (0.0, None)
 
-    def scan(self, text: str, least: float) -> tuple[float, str | None, float]:
-        """The best of all lines and paragraphs, and the score of the whole text if it is that notice and nothing else."""
-        best: tuple[float, str | None] = (0.0, None)
+    def passages(self, text: str, least: float) -> tuple[list[tuple[list[str], bool]], list[str] | None]:
+        """The passages that may be the closest to a notice whatever the other words weigh, each with whether it is a
+        window of words, and the words of the whole text if that may be a notice."""
+        every = words_of(text)
+        if self.by_anchor.keys().isdisjoint(every):
+            return [], None
+        found: list[tuple[float, float, list[str], bool]] = []
         for block in re.split(r"\n\s*\n", text):
             lines = [w for line in block.split("\n") if (w := words_of(line))]
-            candidates = [*lines, [w for line in lines for w in line]] if 1 < len(lines) <= LONGEST_BLOCK else lines
-            for words in candidates:
-                found = self.closest(words, least)
-                if found[0] > best[0] or found[0] == best[0] and found[1] and (best[1] or "~") > found[1]:
-                    best = found
-        if best[1] is None:
-            return 0.0, None, 0.0
-        whole = self.closest(words_of(text), least)
-        return (*best, whole[0] if whole[1] == best[1] else 0.0)
+            words = [w for line in lines for w in line]
+            spans: set[tuple[int, int, bool]] = {(0, len(words), False)}
+            ends = list(accumulate(map(len, lines)))
+            for p in [p for p, w in enumerate(words) if w in self.by_anchor]:
+                row = bisect_right(ends, p)
+                spans.add((ends[row] - len(lines[row]), ends[row], False))
+                for k in self.by_anchor[words[p]]:
+                    size = self.lengths[k]
+                    near = set(words[max(0, p - 2 * size) : p + 2 * size])
+                    if sum(v * v for w, v in self.vectors[k].items() if w in near) < least * least - 1e-6:
+                        continue
+                    if size >= LEAST_WINDOW:
+                        spans.update((a, a + size, True) for a in range(max(0, p - size + 1), min(p, len(words) - size) + 1))
+            if len(spans) == 1 and self.by_anchor.keys().isdisjoint(words):
+                continue
+            for a, b, window in spans:
+                part, shortest = words[a:b], LEAST_WINDOW if window else 0
+                most = self.closest(part, least, floor=True, shortest=shortest)[0]
+                if most:
+                    found.append((most, self.closest(part, least, shortest=shortest)[0], part, window))
+        sure = max((x[1] for x in found), default=0.0)
+        whole = every if found and self.closest(every, least, floor=True)[1] else None
+        return [(part, window) for most, _, part, window in found if most >= sure], whole
+
+    def judge(self, passages: list[tuple[list[str], bool]], whole: list[str] | None, others: dict[str, int], least: float) -> tuple[float, str | None, float]:
+        """The best of all passages, the first by name of equal ones, and the score of the whole text if it is that notice."""
+        scored = [self.closest(p, least, others, shortest=LEAST_WINDOW if window else 0) for p, window in passages]
+        best = min((x for x in scored if x[1]), key=lambda x: (-x[0], x[1]), default=(0.0, None))
+        every = self.closest(whole, least, others) if whole and best[1] else (0.0, None)
+        return (*best, every[0] if every[1] and every[1] == best[1] else 0.0)
 
 
 def scan(files: DataFrame, templates: dict[str, list[str]] | None = None, least: float = LEAST_COSINE) -> DataFrame:
     """For rows (id, path, text): ``own``, the SPDX identifier of the closest notice, its ``score``, and ``whole``, the
-    score of the whole text as that notice. One job counts the words of the templates in all texts."""
+    score of the whole text as that notice.
+
+    One job counts the words of all texts. Passages that may be a notice are then found with bounds on the weights of
+    words outside all notices; the counts of these words are joined to their files, and the passages scored with them.
+    """
     templates = TEMPLATES if templates is None else templates
-    matcher = Matcher(*word_counts(files, vocabulary(templates)), templates)
+    counted = stored(word_counts(files), "licences-words")
+    own_words = {r["word"]: r["n"] for r in counted.where(F.col("word").isin("", *sorted(vocabulary(templates)))).collect()}
+    matcher = Matcher(own_words.pop("", 0), own_words, templates, least)
     kinds = [files.schema[c].dataType.simpleString() for c in ("id", "path")]
+    passage = pa.list_(pa.struct([("words", pa.list_(pa.string())), ("window", pa.bool_())]))
+    words = pa.list_(pa.string())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
-            found = [matcher.scan(t or "", least) for t in batch.column("text").to_pylist()]
-            score, own, whole = zip(*found) if found else ((), (), ())
+            found = [matcher.passages(t or "", least) for t in batch.column("text").to_pylist()]
+            key = [uuid.uuid4().hex if p else None for p, _ in found]
+            held = [[{"words": w, "window": x} for w, x in p] for p, _ in found]
+            others = [sorted({w for part in [*(w for w, _ in p), whole or []] for w in part} - matcher.weight.keys()) for p, whole in found]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), batch.column("path"), pa.array(key, pa.string()), pa.array(held, passage), pa.array([w for _, w in found], words), pa.array(others, words)],
+                ["id", "path", "file", "passages", "words", "others"],
+            )
+
+    schema = f"id {kinds[0]}, path {kinds[1]}, file string, passages array<struct<words:array<string>,window:boolean>>, words array<string>, others array<string>"
+    found = stored(mapped(files.select("id", "path", "text"), find, schema), "licences-passages")
+    wanted = found.where("file is not null").select("file", F.explode("others").alias("word"))
+    known = counted.join(wanted.select("word").distinct(), "word", "left_semi")
+    given = wanted.join(known, "word").groupBy("file").agg(F.collect_list("word").alias("other"), F.collect_list("n").alias("n"))
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.select(["passages", "words", "other", "n"]).to_pylist()
+            judged = [
+                matcher.judge([(p["words"], p["window"]) for p in r["passages"]], r["words"], dict(zip(r["other"] or (), r["n"] or ())), least) for r in rows
+            ]
+            score, own, whole = zip(*judged) if judged else ((), (), ())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), batch.column("path"), pa.array(own, pa.string()), pa.array(score, pa.float64()), pa.array(whole, pa.float64())],
                 ["id", "path", "own", "score", "whole"],
             )
 
-    return mapped(files.select("id", "path", "text"), run, f"id {kinds[0]}, path {kinds[1]}, own string, score double, whole double")
+    some = found.where("file is not null").join(given, "file", "left").select("id", "path", "passages", "words", "other", "n")
+    none = found.where("file is null").select("id", "path", F.lit(None).cast("string").alias("own"), F.lit(0.0).alias("score"), F.lit(0.0).alias("whole"))
+    return mapped(some, judge, f"id {kinds[0]}, path {kinds[1]}, own string, score double, whole double").unionByName(none)
 
 
 def inherit(scanned: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
@@ -168,7 +252,7 @@ def licences(files: DataFrame, file_id: str = "id", path: str = "path", text: st
 
     A missing or empty text has no licence of its own; a missing path is the root, "" in ``origin``. Directories are the
     parts of the path before its last slash. Repeated rows give repeated results, other columns are ignored, and an empty
-    table gives an empty result. The whole of every text is scanned, twice: for word counts and for notices.
+    table gives an empty result. The whole of every text is scanned, twice: for word counts and for notices. Several jobs run at once.
     """
     chosen = files.select(F.col(file_id).alias("id"), F.col(path).cast("string").alias("path"), F.col(text).cast("string").alias("text"))
     found = inherit(stored(scan(chosen, least=least), "licences"), least)

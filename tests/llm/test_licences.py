@@ -57,3 +57,32 @@ def test_awkward_rows(spark):
     assert len(rows) == len(pairs)
     assert [(r.doc_id, r.licence) for r in rows if r.licence] == [(20, "GPL-3.0")]
     assert licences.licences(docs.where("false"), file_id="doc_id").count() == 0
+
+
+def texts(spark, *given):
+    filler = [prose(random.Random(k), 30) for k in range(40)]
+    return frame(spark, list(enumerate([*given, *filler]))).withColumn("path", licences.F.concat(licences.F.lit("d"), "doc_id", licences.F.lit("/x")))
+
+
+def found_in(spark, *given):
+    rows = {r.doc_id: r.licence for r in licences.licences(texts(spark, *given), file_id="doc_id").collect()}
+    return [rows[k] for k in range(len(given))]
+
+
+def test_notices_inside_lines(spark):
+    long = prose(random.Random(5), 400)
+    given = [
+        "This file is licensed under the Apache License, Version 2.0.", "This file is released under the MIT License by Acme.",
+        "Copyright Acme. Released under the MIT License.", f"{long} {GPL} {long}", "We released it under the name of MIT.",
+    ]
+    assert found_in(spark, *given) == ["Apache-2.0", "MIT", "MIT", "GPL-3.0", None]
+
+
+def test_other_words_weigh_by_their_own_count(spark):
+    """A line of a notice and words that every text has scores higher than one with words that no other has."""
+    rows = [(k, f"d{k}/x", t) for k, t in enumerate(["MIT License common words here", "MIT License zork plugh xyzzy", *["common words here"] * 60])]
+    files = spark.createDataFrame(rows, "id int, path string, text string")
+    score = {r.id: r.score for r in licences.scan(files, {"MIT": ["MIT License"]}, 0.3).collect()}
+    own = math.log(63 / 3) + 1, math.log(63 / 62) + 1, math.log(63 / 2) + 1
+    assert abs(score[0] - math.sqrt(2 * own[0] ** 2 / (2 * own[0] ** 2 + 3 * own[1] ** 2))) < 1e-6
+    assert abs(score[1] - math.sqrt(2 * own[0] ** 2 / (2 * own[0] ** 2 + 3 * own[2] ** 2))) < 1e-6
