@@ -1,7 +1,7 @@
 """Licence scan: sparse TF-IDF cosine of headers and licence files to templates, then inheritance along directories.
 
-Every line and paragraph of a file, and every window of words as long as a template, is compared with the templates,
-weighted by how rare a word is in the whole corpus. A file without a licence of its own takes that of its nearest ancestor
+Every line and paragraph of a file is compared with the templates, every run of lines up to twice as long as a template,
+and every window of words as long as one, across line ends too, weighted by how rare a word is in the whole corpus. A file without a licence of its own takes that of its nearest ancestor
 directory with a licence file: a file named so, or one whose whole text is a notice.
 """
 
@@ -156,6 +156,11 @@ class Matcher:
                         continue
                     if size >= LEAST_WINDOW:
                         spans.update((a, a + size, True) for a in range(max(0, p - size + 1), min(p, len(words) - size) + 1))
+                    for i in range(row, -1, -1):
+                        start = ends[i] - len(lines[i])
+                        if ends[row] - start > 2 * size:
+                            break
+                        spans.update((start, end, False) for end in ends[row : bisect_right(ends, start + 2 * size)])
             if len(spans) == 1 and self.by_anchor.keys().isdisjoint(words):
                 continue
             for a, b, window in spans:

@@ -86,3 +86,13 @@ def test_other_words_weigh_by_their_own_count(spark):
     own = math.log(63 / 3) + 1, math.log(63 / 62) + 1, math.log(63 / 2) + 1
     assert abs(score[0] - math.sqrt(2 * own[0] ** 2 / (2 * own[0] ** 2 + 3 * own[1] ** 2))) < 1e-6
     assert abs(score[1] - math.sqrt(2 * own[0] ** 2 / (2 * own[0] ** 2 + 3 * own[2] ** 2))) < 1e-6
+
+
+def test_notices_wrapped_in_long_paragraphs(spark):
+    rng = random.Random(6)
+    lines = [f" * {prose(rng, 8)}" for _ in range(30)]
+    wrapped = [" * This work is licensed under the GNU", " * General Public License, version 3."]
+    other = [" * This work is licensed under the", " * GNU Lesser General Public", " * License, version 3, by Acme"]
+    shortened = [" * work licensed under", " * GNU General Public License", " * version 3"]
+    given = ["\n".join([*lines[:9], *w, *lines[9:n]]) for w in (wrapped, other, shortened) for n in (10, 30)]
+    assert found_in(spark, *given) == ["GPL-3.0", "GPL-3.0", "LGPL-3.0", "LGPL-3.0", "GPL-3.0", "GPL-3.0"]
