@@ -44,6 +44,80 @@ TEMPLATES = {
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
 }
 
+# The words by which headers and licence files give a licence. MIT, ISC and the BSD licences are whole; of the
+# long licences, the title block of the file and the header that they ask for.
+DISCLAIMER = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING,"
+    " BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT"
+    " SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL"
+    " DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS"
+    " INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE"
+    " OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following"
+    " conditions are met:",
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer"
+    " in the documentation and/or other materials provided with the distribution.",
+)
+THIRD = (
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived"
+    " from this software without specific prior written permission."
+)
+GNU_HEADER = (
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {0} as published by the Free"
+    " Software Foundation, either version {1} of the License, or (at your option) any later version."
+)
+TEXTS = {
+    "AGPL-3.0": ["GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007", GNU_HEADER.format("Affero General Public License", 3)],
+    "Apache-2.0": [
+        "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/",
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."
+        " You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to"
+        " in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY"
+        " KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    ],
+    "BSD-2-Clause": ["BSD 2-Clause License", " ".join([*BSD, DISCLAIMER])],
+    "BSD-3-Clause": ["BSD 3-Clause License", " ".join([*BSD, THIRD, DISCLAIMER])],
+    "CC-BY-4.0": ["Creative Commons Attribution 4.0 International Public License"],
+    "CC-BY-NC-4.0": ["Creative Commons Attribution-NonCommercial 4.0 International Public License"],
+    "CC-BY-SA-4.0": ["Creative Commons Attribution-ShareAlike 4.0 International Public License"],
+    "CC0-1.0": ["Creative Commons Legal Code CC0 1.0 Universal"],
+    "GPL-1.0": ["GNU GENERAL PUBLIC LICENSE Version 1, February 1989", GNU_HEADER.format("General Public License", 1)],
+    "GPL-2.0": ["GNU GENERAL PUBLIC LICENSE Version 2, June 1991", GNU_HEADER.format("General Public License", 2)],
+    "GPL-3.0": ["GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007", GNU_HEADER.format("General Public License", 3)],
+    "ISC": [
+        "ISC License",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that"
+        " the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR"
+        " DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT"
+        " SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS"
+        " OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH"
+        " THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    ],
+    "LGPL-2.0": ["GNU LIBRARY GENERAL PUBLIC LICENSE Version 2, June 1991", GNU_HEADER.format("Library General Public License", 2)],
+    "LGPL-2.1": ["GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999", GNU_HEADER.format("Lesser General Public License", 2.1)],
+    "LGPL-3.0": ["GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007", GNU_HEADER.format("Lesser General Public License", 3)],
+    "MIT": [
+        "MIT License", "The MIT License (MIT)",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the"
+        " \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge,"
+        " publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do"
+        " so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or"
+        " substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED,"
+        " INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT"
+        " SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR"
+        " OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ],
+    "MPL-2.0": [
+        "Mozilla Public License Version 2.0 1. Definitions",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with"
+        " this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    ],
+}
+TEMPLATES = {name: TEMPLATES.get(name, []) + texts for name, texts in TEXTS.items()}
+
 WORD = re.compile(r"[^\W_]+(?:\.\d+)*")
 
 
@@ -87,6 +161,7 @@ class Matcher:
         self.by_anchor: dict[str, list[int]] = {}
         self.vectors: list[dict[str, float]] = []
         self.lengths: list[int] = []
+        self.needed: list[set[str]] = []  # words without which a passage is not this notice, however rare they are
         self.names: list[str] = []
         for name in sorted(templates):
             for notice in templates[name]:
@@ -94,24 +169,26 @@ class Matcher:
                 norm = math.sqrt(sum(v * v for v in vector.values()))
                 vector = {w: v / norm for w, v in vector.items()}
                 without = 1.0
-                for w, v in sorted(vector.items(), key=lambda x: (-x[1], x[0])):
+                for w, v in sorted(vector.items(), key=lambda x: (-self.weight[x[0]], x[0])):  # the rarest first
                     self.by_word.setdefault(w, []).append((len(self.names), v))
                     if without >= least * least - 1e-6:  # a text without any of the anchors is not as close as that
                         self.by_anchor.setdefault(w, []).append(len(self.names))
                         without -= v * v
                 self.vectors.append(vector)
                 self.lengths.append(len(words_of(notice)))
+                self.needed.append(vector.keys() & ({words_of(name)[0]} if self.lengths[-1] >= LEAST_WINDOW else vector.keys()))
                 self.names.append(name)
 
     def weight_of(self, count: int) -> float:
         return math.log((1 + self.texts) / (1 + count)) + 1
 
     def closest(
-        self, words: list[str], least: float, others: dict[str, int] | None = None, floor: bool = False, shortest: int = 0
+        self, words: list[str], least: float, others: dict[str, int] | None = None, floor: bool = False, titles: bool | None = None
     ) -> tuple[float, str | None]:
         """Cosine and name of the closest notice, the first by name of equal ones; (0.0, None) below ``least``. Words
-        outside all notices have their counts in ``others``; with ``floor`` they get the least weight. Notices of fewer
-        words than ``shortest`` do not count."""
+        outside all notices have their counts in ``others``; with ``floor`` they get the least weight. With
+        ``titles`` given, a notice that says the licence's name counts only with it, and a title, of fewer words than
+        ``LEAST_WINDOW``, only with all its words, or not at all if ``titles`` is false."""
         counts = Counter(words)
         known = {w: n for w, n in counts.items() if w in self.weight}
         if not known:
@@ -127,7 +204,7 @@ class Matcher:
         dots: dict[int, float] = {}
         for w, n in known.items():
             for k, v in self.by_word[w]:
-                if self.lengths[k] >= shortest:
+                if titles is None or (titles or self.lengths[k] >= LEAST_WINDOW) and self.needed[k] <= known.keys():
                     dots[k] = dots.get(k, 0.0) + n * self.weight[w] * v
         if not dots:
             return 0.0, None
@@ -141,7 +218,7 @@ class Matcher:
         if self.by_anchor.keys().isdisjoint(every):
             return [], None
         found: list[tuple[float, float, list[str], bool]] = []
-        for block in re.split(r"\n\s*\n", text):
+        for block in [*re.split(r"\n\s*\n", text), *([text] if re.search(r"\n\s*\n", text) else [])]:  # a licence has several paragraphs
             lines = [w for line in block.split("\n") if (w := words_of(line))]
             words = [w for line in lines for w in line]
             spans: set[tuple[int, int, bool]] = {(0, len(words), False)}
@@ -164,19 +241,19 @@ class Matcher:
             if len(spans) == 1 and self.by_anchor.keys().isdisjoint(words):
                 continue
             for a, b, window in spans:
-                part, shortest = words[a:b], LEAST_WINDOW if window else 0
-                most = self.closest(part, least, floor=True, shortest=shortest)[0]
+                part = words[a:b]
+                most = self.closest(part, least, floor=True, titles=not window)[0]
                 if most:
-                    found.append((most, self.closest(part, least, shortest=shortest)[0], part, window))
+                    found.append((most, self.closest(part, least, titles=not window)[0], part, window))
         sure = max((x[1] for x in found), default=0.0)
-        whole = every if found and self.closest(every, least, floor=True)[1] else None
+        whole = every if found and self.closest(every, least, floor=True, titles=True)[1] else None
         return [(part, window) for most, _, part, window in found if most >= sure], whole
 
     def judge(self, passages: list[tuple[list[str], bool]], whole: list[str] | None, others: dict[str, int], least: float) -> tuple[float, str | None, float]:
         """The best of all passages, the first by name of equal ones, and the score of the whole text if it is that notice."""
-        scored = [self.closest(p, least, others, shortest=LEAST_WINDOW if window else 0) for p, window in passages]
+        scored = [self.closest(p, least, others, titles=not window) for p, window in passages]
         best = min((x for x in scored if x[1]), key=lambda x: (-x[0], x[1]), default=(0.0, None))
-        every = self.closest(whole, least, others) if whole and best[1] else (0.0, None)
+        every = self.closest(whole, least, others, titles=True) if whole and best[1] else (0.0, None)
         return (*best, every[0] if every[1] and every[1] == best[1] else 0.0)
 
 

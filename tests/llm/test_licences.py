@@ -96,3 +96,30 @@ def test_notices_wrapped_in_long_paragraphs(spark):
     shortened = [" * work licensed under", " * GNU General Public License", " * version 3"]
     given = ["\n".join([*lines[:9], *w, *lines[9:n]]) for w in (wrapped, other, shortened) for n in (10, 30)]
     assert found_in(spark, *given) == ["GPL-3.0", "GPL-3.0", "LGPL-3.0", "LGPL-3.0", "GPL-3.0", "GPL-3.0"]
+
+
+def test_licence_files_with_the_full_text(spark):
+    def file(title, name):
+        body = max(licences.TEMPLATES[name], key=len).replace(" IN NO EVENT", "\n\nIN NO EVENT").replace(". ", ".\n")
+        return f"{title}\n\nCopyright (c) 2020, 2021 Acme Works and others\n\n{body}\n"
+
+    given = [file("", "MIT"), file("MIT License", "MIT"), file("", "ISC"), file("", "BSD-2-Clause"), file("", "BSD-3-Clause"), file("", "GPL-2.0"), file("", "Apache-2.0")]
+    given += ["  GNU GENERAL PUBLIC LICENSE\n    Version 3, 29 June 2007\n\n" + prose(random.Random(7), 300), "MIT License"]
+    wanted = ["MIT", "MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "Apache-2.0", "GPL-3.0", "MIT"]
+    assert found_in(spark, *given) == wanted
+    rows = [(0, "a/LICENSE", given[0]), (1, "a/b/x.py", "x"), (2, "c/whole", given[3]), (3, "c/y.py", "y"), *[(k, f"z/{k}", prose(random.Random(k), 30)) for k in range(4, 30)]]
+    found = {r.id: r.licence for r in licences.licences(spark.createDataFrame(rows, "id int, path string, text string")).collect()}
+    assert [found[k] for k in range(5)] == ["MIT", "MIT", "BSD-2-Clause", "BSD-2-Clause", None]
+
+
+def test_a_title_counts_with_all_its_words():
+    matcher = licences.Matcher(1000, {"mit": 400}, {"MIT": ["MIT License"]})
+    assert matcher.closest(["license"], 0.75)[1] == "MIT"
+    for text, wanted in (("License", None), ("MIT License", "MIT"), ("so we use the MIT License for all of this", None)):
+        assert matcher.judge(*matcher.passages(text, 0.75), {}, 0.75)[1] == wanted
+
+
+def test_a_notice_needs_the_name_it_says():
+    matcher = licences.Matcher(1000, {"mit": 800}, {"MIT": ["Licensed under the MIT License."]})
+    for text, wanted in (("Licensed under the License", None), ("Licensed under the MIT License", "MIT")):
+        assert matcher.judge(*matcher.passages(text, 0.75), {}, 0.75)[1] == wanted
