@@ -2,8 +2,8 @@
 
 Markup is stripped to lines, one for each block. Menus, adverts and the like, and their links, become empty lines, as
 many as a window is long. Sums of text lengths over sliding windows of lines then rise from zero at a surge and fall
-back to zero at a dive; the text lies between them. Where a page marks its article, every stretch inside it is text;
-elsewhere the stretches are text whose densest window comes near the densest of the page.
+back to zero at a dive; the text lies between them, in the stretches whose densest window comes near the densest of the
+page. A marked article bounds a block: it is one stretch, whatever is set apart in it, and its windows count for more.
 """
 
 from __future__ import annotations
@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 from graticule.llm.common import mapped, small_batches
 
 WINDOW = 3  # lines
-NEAR_DENSEST = 0.25  # a stretch's densest window against the page's, where no article is marked
-MOST_LINKED = 0.5  # share of a stretch's text that may be links, where no article is marked
+NEAR_DENSEST = 0.25  # a stretch's densest window against the page's
+MARKED_WEIGHT = 4  # of a stretch's densest window in a marked article
+MOST_LINKED = 0.5  # share of a stretch's text that may be links, outside marked articles
 
 # Elements by what HTML says of them.
 RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "title", "svg", "math", "object", "canvas", "audio", "video"}
@@ -75,12 +76,23 @@ def set_apart(name: str, attributes: str, inside: bool) -> bool:
     return False
 
 
-def lines_of(page: str) -> list[Line]:
-    """The blocks of a page in order; what is set apart leaves ``WINDOW`` empty lines."""
+def closes(page: str, at: int, name: str, depth: int) -> bool:
+    """Whether an element that is ``depth`` deep at a place is closed further on."""
+    for found in TAG.finditer(page, at):
+        if (found[2] or "").lower() == name and found[4]:
+            depth += -1 if found[1] else 0 if found[3].endswith("/") else 1
+            if depth == 0:
+                return True
+    return False
+
+
+def lines_of(page: str, trusting: bool = True) -> list[Line]:
+    """The blocks of a page in order; what is set apart leaves ``WINDOW`` empty lines, except in a marked article. What
+    is set apart ends at an article if it is never closed, or at any article if its end is not ``trusting``."""
     lines: list[Line] = []
     parts: list[str] = []
     linked = links = main = 0
-    skipping, depth = "", 0
+    skipping, depth, closed = "", 0, None
     at = 0
 
     def end_block() -> None:
@@ -117,8 +129,11 @@ def lines_of(page: str) -> list[Line]:
                 depth += -1 if closing else 0 if found[3].endswith("/") else 1
                 if depth == 0:
                     skipping = ""
-            elif name in MAIN and not closing or name == "body" and closing:
+            elif name == "body" and closing:
                 skipping = ""  # never closed
+            elif name in MAIN and not closing:
+                closed = trusting and closes(page, at, skipping, depth) if closed is None else closed
+                skipping = skipping if closed else ""
             if skipping or closing and name not in MAIN:
                 continue
         if name in BLOCKS:
@@ -127,11 +142,13 @@ def lines_of(page: str) -> list[Line]:
             links = 0 if closing else 1
         if name in MAIN:
             main = max(0, main + (-1 if closing else 1))
-            lines.extend([Line("", 0, False)] * WINDOW)
+            if main == (0 if closing else 1):  # the outermost
+                lines.extend([Line("", 0, False)] * WINDOW)
         elif not closing and name not in VOID and set_apart(name, found[3], main > 0):
             end_block()
-            lines.extend([Line("", 0, False)] * WINDOW)
-            skipping, depth = name, 1
+            if not main:
+                lines.extend([Line("", 0, False)] * WINDOW)
+            skipping, depth, closed = name, 1, None
     end_block()
     return lines
 
@@ -147,17 +164,19 @@ def stretches(lengths: np.ndarray) -> list[tuple[int, int]]:
 def main_text(page: str | None) -> str:
     """The text of a page's article, its blocks joined by line feeds; empty if there is none."""
     lines = lines_of(page or "")
-    marked = any(line.inside and line.text for line in lines)
-    lengths = np.array([len(x.text) if x.inside or not marked else 0 for x in lines], np.int64)
+    if page and not any(line.text for line in lines):  # all within something set apart
+        lines = lines_of(page, trusting=False)
+    lengths = np.array([len(x.text) for x in lines], np.int64)
     if not lengths.any():
         return ""
     sums = np.convolve(lengths, np.ones(WINDOW, np.int64))[: len(lengths)]
     kept = []
     for a, b in stretches(lengths):
-        dense = sums[a:b].max() >= NEAR_DENSEST * sums.max()
+        inside = any(line.inside for line in lines[a:b])
+        dense = sums[a:b].max() * (MARKED_WEIGHT if inside else 1) >= NEAR_DENSEST * sums.max()
         linked = sum(x.linked for x in lines[a:b]) > MOST_LINKED * lengths[a:b].sum()
-        if marked or (dense and not linked):
-            kept.extend(line.text for line, n in zip(lines[a:b], lengths[a:b]) if n)
+        if dense and (inside or not linked):
+            kept.extend(line.text for line in lines[a:b] if line.text)
     return "\n".join(kept)
 
 

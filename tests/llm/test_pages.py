@@ -34,6 +34,21 @@ def test_hand_made_pages(page):
     assert htmltext.main_text(page) == PAGES[page]
 
 
+LONG, SHORT = "Long text here. " * 30, "Short."
+MARKED = {
+    f"<article><p>teaser</p></article><div><p>{LONG}</p></div>": LONG.strip(),  # by density, not by the tag
+    f"<main><h1>Head</h1><article><p>{LONG}</p><div class=ad>buy</div><p>{SHORT}</p></article></main>": f"Head\n{LONG.strip()}\n{SHORT}",
+    f"<article><p>{LONG}</p></article><div class=comments><article><p>{LONG}</p></article></div>": LONG.strip(),
+    f"<div class=ad>never closed <article><div>{LONG}</div></article>": LONG.strip(),
+    f"<div><div class=ad>closed by another <article><p>{LONG}</p></article></div>": LONG.strip(),
+}
+
+
+@pytest.mark.parametrize("page", list(MARKED))
+def test_density_decides_on_marked_pages(page):
+    assert htmltext.main_text(page) == MARKED[page]
+
+
 def test_given_pages_by_their_template(spark):
     def template(page):
         inner = re.search(r"<article>(.*?)(</article>|$)", page, re.S)[1]
