@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from graticule.llm.common import mapped, scratch_path, small_batches, stored, text_of
 
-RECORDS_PER_FILE = 1000
+RECORDS_PER_FILE = (1000, 125, 15, 2, 1)  # by size: the longest records of each class fill ``FILE_BYTES``, but for the last
+FILE_BYTES = 64 << 20  # of payloads and addresses in an archive, unless it holds one longer record
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "
 SCHEMA = (
@@ -61,6 +62,9 @@ def write(
 
     A missing page is an empty payload. Rows that share the smallest identifier and the payload are all responses; rows
     without an identifier are responses too. Line ends in an address become spaces. An empty table writes no record.
+
+    Records are dealt by size, and each class that occurs is written by a job of its own, so that no archive of several
+    records holds more than ``FILE_BYTES`` of payloads and addresses. One more job finds the classes.
     """
     rows = pages.select(
         F.col(page_id).alias("id"), F.regexp_replace(text_of(url), r"[\r\n]+", " ").alias("url"), text_of(html).alias("payload")
@@ -89,9 +93,14 @@ def write(
         F.lit("Content-Type: application/http; msgtype=response\r\n"),
         field("Content-Length", F.octet_length("block").cast("string")), end, F.col("block"),
     )
-    marked.withColumn("block", block).select(record.alias("value")).write.option("lineSep", "\r\n\r\n").option(
-        "maxRecordsPerFile", RECORDS_PER_FILE
-    ).text(path)
+    size = F.octet_length("payload").cast("long") + F.coalesce(F.octet_length("url"), F.lit(0))
+    kind = sum((F.when(size > FILE_BYTES // most, 1).otherwise(0) for most in RECORDS_PER_FILE[:-1]), F.lit(0))
+    kinds = sorted(r["kind"] for r in rows.select(kind.alias("kind")).distinct().collect()) or [0]
+    for mode, k in zip(["errorifexists", *["append"] * len(kinds)], kinds):
+        some = marked.where(kind == k) if len(kinds) > 1 else marked
+        some.withColumn("block", block).select(record.alias("value")).write.mode(mode).option("lineSep", "\r\n\r\n").option(
+            "maxRecordsPerFile", RECORDS_PER_FILE[k]
+        ).text(path)
 
 
 def parse_record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
@@ -196,7 +205,7 @@ def read(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame
 
     ``problem`` is NULL for a record and says what failed first for a gap of quarantined bytes, given by file, offset and
     length. ``payload_bytes`` and ``payload_digest`` are of the payload found in a response; a revisit has those that its
-    header names. Each archive is read in one piece, at most 2 GB, by one task.
+    header names. Each archive is read in one piece, at most 2 GB, by one task; a longer one fails the job.
     """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 

@@ -98,6 +98,19 @@ def test_archives_round_trip(spark, least):
     assert warc.roundtrip(pages.where("false")).count() == 0
 
 
+def test_archives_are_bounded_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 200_000, raising=False)
+    sizes = [10, 150, 1000, 10_000, 60_000, 90_000, 300_000]
+    rows = [(k, "http://a", str(k).rjust(6, "x") * (n // 6)) for k, n in enumerate(sizes * 12)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    path = scratch_path(spark, "warc-bytes")
+    warc.write(pages, path)
+    lengths = [r.length for r in spark.read.format("binaryFile").load(path).select("length").collect()]
+    assert max(lengths) < 302_000  # the longest record, or 200,000 bytes and headers
+    found = {int(r.page_id): (r.record_type, bytes(r.payload).decode()) for r in warc.read(spark, path).collect()}
+    assert found == {k: ("response", t) for k, _, t in rows}
+
+
 def record(n, payload=b"text", extra=b""):
     block = b"HTTP/1.1 200 OK\r\n\r\n" + payload
     digest = base64.b32encode(hashlib.sha1(payload).digest())
