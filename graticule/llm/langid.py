@@ -22,7 +22,8 @@ HIDDEN = 8
 STRETCH = 128  # bytes read in one go, in training and in use
 TRAIN_ROWS = 400  # sampled rows a language, about
 TRAIN_CHARACTERS = 1024  # of each sampled row, at a place that depends on its hash
-LANGUAGES = 200  # the most frequent ones are learned
+LANGUAGES = 200  # the most frequent ones are learned in any case, and share these many times ``TRAIN_ROWS`` with all others
+LEAST_ROWS = 20  # of a language beyond these
 STEPS, BATCH, RATE = 400, 192, 0.01
 ROWS_AT_ONCE = 2048
 
@@ -206,24 +207,32 @@ def fit(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "tex
     """A network from a bounded sample of the rows where ``learn`` holds and text and language are there.
 
     About ``TRAIN_ROWS`` rows of each language, chosen by the hash of their identifiers, and a stretch of at most
-    ``TRAIN_CHARACTERS`` of each. Two jobs: one counts languages, one reads the sample. None if there is nothing to learn.
+    ``TRAIN_CHARACTERS`` of each. Beyond ``LANGUAGES`` all that have ``LEAST_ROWS`` rows are learned too, each from fewer
+    rows and all in more steps. Two jobs, or three then: they count languages and read the sample. None if there is nothing
+    to learn.
     """
     rows = docs.where(learn & F.col(text).rlike(r"\p{L}") & F.col(lang).isNotNull())
     counts = docs.where(learn & F.col(lang).isNotNull()).groupBy(F.col(lang).alias("l")).count()
-    share = {r["l"]: min(1.0, TRAIN_ROWS / r["count"]) for r in counts.orderBy(F.desc("count"), "l").limit(LANGUAGES).collect()}
-    if not share:
+    ranked = counts.orderBy(F.desc("count"), "l")
+    first = {r["l"]: r["count"] for r in ranked.limit(LANGUAGES).collect()}
+    if not first:
         return None
+    more = {r["l"]: r["count"] for r in counts.where(F.col("count") >= LEAST_ROWS).collect()} if len(first) == LANGUAGES else {}
+    sizes = first | more
+    each = TRAIN_ROWS if len(sizes) <= LANGUAGES else max(LEAST_ROWS, TRAIN_ROWS * LANGUAGES // len(sizes))
+    share = {name: min(1.0, each / n) for name, n in sizes.items()}
     luck = F.pmod(F.xxhash64(F.col(doc_id), F.lit(3)), F.lit(1 << 20)) / (1 << 20)
     place = F.pmod(F.xxhash64(F.col(doc_id), F.lit(4)), F.greatest(F.char_length(text) - TRAIN_CHARACTERS, F.lit(1))) + 1
     wanted = F.create_map(*[F.lit(x) for pair in share.items() for x in pair])
     sample = (
         rows.where(luck < F.try_element_at(wanted, F.col(lang)))
         .select(F.col(lang).alias("l"), F.substring(F.col(text), place, F.lit(TRAIN_CHARACTERS)).alias("t"), luck.alias("u"))
-        .where("trim(t) <> ''").orderBy("u", "l", "t").limit(2 * TRAIN_ROWS * len(share)).toPandas()
+        .where("trim(t) <> ''").orderBy("u", "l", "t").limit(2 * each * len(share)).toPandas()
     )
     if sample.empty:
         return None
-    return train_network([t.encode("utf-8", "replace") for t in sample["t"]], sample["l"].tolist())
+    steps = STEPS * -(-len(share) // LANGUAGES)
+    return train_network([t.encode("utf-8", "replace") for t in sample["t"]], sample["l"].tolist(), steps)
 
 
 def has_letter(text: str) -> bool:

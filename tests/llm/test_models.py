@@ -109,3 +109,11 @@ def test_awkward_rows_are_all_scored(spark, classifier):
     assert toxicity.classify(frame(spark, pairs), labels).count() == len(pairs)
     assert toxicity.classify(frame(spark, pairs), labels.where("false")).where("score = 0.5").count() == len(pairs)
     assert toxicity.classify(frame(spark, []), labels).count() == 0
+
+
+def test_every_language_with_enough_rows_is_learned(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LANGUAGES", 2)
+    monkeypatch.setattr(langid, "STEPS", 2)
+    rows = [(100 * k + i, f"words of {name} number {i}", name) for k, (name, n) in enumerate([("a", 60), ("b", 50), ("c", 30), ("d", 25), ("e", 3)]) for i in range(n)]
+    net = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), langid.F.lit(True))
+    assert net.languages == ["a", "b", "c", "d"]
