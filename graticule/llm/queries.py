@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graticule.llm import bpe, decontam, exactdup, htmltext, langid, licences, neardup, repeats, toxicity, warc
+from graticule.llm import bpe, decontam, exactdup, htmltext, importance, langid, licences, neardup, repeats, toxicity, warc
 from graticule.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -96,3 +96,53 @@ def op7_licences(spark, sf_dir):
 @query
 def op3_repeats(spark, sf_dir):
     return repeats.remove(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_importance_resampling(spark, sf_dir):
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+# DuckDB has no crc32: the remainder is built bit by bit, for distinct words only.
+ORACLE["op11_importance_resampling"] = r"""
+with held as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words from documents
+),
+wanted as (
+  select regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words from benchmark
+),
+source as (select w, count(*) as n from (select unnest(words) as w from held) group by w),
+target as (select w, count(*) as n from (select unnest(words) as w from wanted) group by w),
+bytes as (select w, hex(encode(w)) as h from (select w from source union select w from target)),
+hashed as (
+  select w, xor(4294967295::bigint, list_reduce(
+    list_prepend(4294967295::bigint, list_transform(range(length(h) // 2), lambda i: cast('0x' || substr(h, cast(2 * i + 1 as int), 2) as bigint))),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), cast(range(8) as bigint[])),
+      lambda r, k: case when r & 1 = 1 then xor(r >> 1, 3988292384::bigint) else r >> 1 end))) % 10000 as bucket
+  from bytes
+),
+s as (select bucket, sum(n) as s from source join hashed using (w) group by bucket),
+t as (select bucket, sum(n) as t from target join hashed using (w) group by bucket),
+gains as (
+  select bucket, floor(1000 * ln(cast(coalesce(t, 0) + 1 as double) * cast((select coalesce(sum(s), 0) from s) + 10000 as double)
+    / (cast(coalesce(s, 0) + 1 as double) * cast((select coalesce(sum(t), 0) from t) + 10000 as double)))) as gain
+  from s full join t using (bucket)
+),
+weights as (
+  select doc_id, count(*) as n, cast(floor(sum(gain) / count(*)) as bigint) as weight
+  from (select doc_id, unnest(words) as w from held) join hashed using (w) join gains using (bucket) group by doc_id
+),
+scores as (
+  select doc_id, coalesce(n, 0) as n_features, coalesce(weight, 0) as weight,
+    coalesce(weight, 0) + cast(floor(-1000 * ln(-ln((cast('0x' || substr(sha256('2024:' || doc_id), 1, 8) as bigint) + 0.5::double) / 4294967296::double))) as bigint) as score
+  from documents left join weights using (doc_id)
+),
+ordered as (
+  select doc_id, row_number() over (order by score desc, doc_id) as place, 10 * count(*) over () // 100 as most from scores where n_features >= 20
+)
+select doc_id, cast(n_features as bigint) as n_features, weight, score,
+       cast(case when place <= most then place end as bigint) as rank
+from scores left join ordered using (doc_id)
+"""
