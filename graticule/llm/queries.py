@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graticule.llm import bpe, crosstoken, decontam, exactdup, htmltext, importance, langid, licences, neardup, repeats, toxicity, warc
+from graticule.llm import bpe, crosstoken, decontam, exactdup, htmltext, importance, langid, licences, neardup, personal, repeats, toxicity, warc
 from graticule.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -152,3 +152,8 @@ from scores left join ordered using (doc_id)
 def op13_token_alignment(spark, sf_dir):
     paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
     return crosstoken.alignment_counts(table(spark, sf_dir, "documents"), *paths)
+
+
+@query
+def op12_personal_data(spark, sf_dir):
+    return personal.find(table(spark, sf_dir, "documents"))
