@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from datetime import date
+from math import floor
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -78,6 +80,90 @@ def decodable_range(calendar: str | None) -> tuple[int, int] | None:
     return (GREGORIAN_START if calendar in MIXED_CALENDARS else YEAR_1), YEAR_10000
 
 
+# Days of the months, January first.
+MONTH_DAYS = [31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31]
+MODEL_CALENDARS = {
+    "noleap": "noleap", "365_day": "noleap", "all_leap": "all_leap", "366_day": "all_leap", "360_day": "360_day", "julian": "julian",
+}
+DAY_MICROS = 86_400_000_000
+
+
+def month_days(year: int, calendar: str) -> list[int]:
+    if calendar == "360_day":
+        return [30] * 12
+    leap = calendar == "all_leap" or calendar == "julian" and year % 4 == 0
+    return [d + (leap and m == 1) for m, d in enumerate(MONTH_DAYS)]
+
+
+def year_start(year: int, calendar: str) -> int:
+    """Days of a model calendar before the first of January, counted from that of year 0."""
+    if calendar == "julian":
+        return 365 * year + (year + 3) // 4
+    return year * sum(month_days(1, calendar))
+
+
+def parse_model_units(units: str | None, calendar: str | None) -> tuple[int, int, str] | None:
+    """(microseconds per unit, reference time in microseconds since year 0, calendar) in a model calendar; None if the
+    units do not parse, the date is none of that calendar, or it is the ordinary one."""
+    model, found = MODEL_CALENDARS.get((calendar or "").lower()), _SINCE.match(units or "")
+    if model is None or not found:
+        return None
+    year, month, day = (int(p) for p in found["date"].split("-"))
+    if not (1 <= month <= 12 and 1 <= day <= month_days(year, model)[month - 1]):
+        return None
+    # The clock and the zone are read as in the ordinary calendar, on a day that both have.
+    clock = parse_units(units.replace(found["date"], "1970-01-01", 1), "proleptic_gregorian")
+    if clock is None:
+        return None
+    days = year_start(year, model) + sum(month_days(year, model)[: month - 1]) + day - 1
+    return clock[0], days * DAY_MICROS + clock[1], model
+
+
+def fields_of(offsets: Iterable[float], units: str | None, calendar: str | None) -> list[tuple[int, int, int, int] | None] | None:
+    """(year, month, day, microseconds of the day) of each offset in a model calendar, where 30 February may be a day. None
+    for the ordinary calendar and for units that do not parse; years before 0 and after 9999 are not decoded."""
+    parsed = parse_model_units(units, calendar)
+    if parsed is None:
+        return None
+    step, start, model = parsed
+    found: list[tuple[int, int, int, int] | None] = []
+    for offset in offsets:
+        if offset != offset or abs(offset * step) > 4e17:
+            found.append(None)
+            continue
+        whole = floor(offset)
+        day, micros = divmod(whole * step + round((offset - whole) * step) + start, DAY_MICROS)
+        year = int(day // (365.25 if model == "julian" else sum(month_days(1, model))))
+        while year_start(year, model) > day:
+            year -= 1
+        while year_start(year + 1, model) <= day:
+            year += 1
+        rest, month = day - year_start(year, model), 0
+        for length in month_days(year, model):
+            if rest < length:
+                break
+            rest, month = rest - length, month + 1
+        found.append((year, month + 1, rest + 1, micros) if 0 <= year <= 9999 else None)
+    return found
+
+
+def clock_text(fields: tuple[int, int, int, int]) -> str:
+    """Date and clock of a model calendar, in the form of ``time_text``."""
+    year, month, day, micros = fields
+    seconds, fraction = divmod(micros, 1_000_000)
+    text = f"{year:04d}-{month:02d}-{day:02d} {seconds // 3600:02d}:{seconds // 60 % 60:02d}:{seconds % 60:02d}"
+    return f"{text}.{fraction:06d}" if fraction else text
+
+
+def days_in_model(offset: float | None, units: str | None, calendar: str | None) -> float | None:
+    """Days from a fixed day of the same calendar, to put the files of a dataset in order; None if not decodable."""
+    if offset is None or offset != offset:
+        return None
+    model = parse_model_units(units, calendar)
+    parsed = model[:2] if model else parse_units(units, calendar) if decodable_range(calendar) else None
+    return (offset * parsed[0] + parsed[1]) / DAY_MICROS if parsed else None
+
+
 def decode_time(offset: Column, units: str, calendar: str = "standard") -> Column:
     """Time of a numeric offset such as hours since a date. What cannot be decoded is NULL, never a wrong date."""
     parsed, limits = parse_units(units, calendar), decodable_range(calendar)

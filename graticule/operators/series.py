@@ -17,11 +17,16 @@ from graticule.spec import DEFAULT, GridSpec, MissingRole, names
 
 
 def with_calendar(series: DataFrame, spec: GridSpec = DEFAULT) -> DataFrame:
-    """Adds year and month. Rows whose time is unknown leave."""
+    """Adds year and month, of the model calendar where the time is one of its own. Rows whose time is unknown leave."""
     if spec.time not in series.columns:
         raise MissingRole(f"no time column {spec.time!r} in {series.columns}")
     time = F.col(spec.time)
-    return series.where(time.isNotNull()).withColumns({"year": F.year(time), "month": F.month(time)})
+    parts = {"year": F.year(time), "month": F.month(time)}
+    if spec.time_fields in series.columns:
+        fields = F.col(spec.time_fields)
+        parts = {c: F.coalesce(part, fields[c]) for c, part in parts.items()}
+        return series.where(time.isNotNull() | fields.isNotNull()).withColumns(parts)
+    return series.where(time.isNotNull()).withColumns(parts)
 
 
 def annual_mean_by_period(

@@ -23,7 +23,8 @@ class GridSpec:
     ``time_idx``, ``lat_idx`` and ``lon_idx`` are positions along the axes. They are optional: a table without
     them is ordered by the coordinate itself. ``extra`` names further dimensions, such as a pressure level; a column
     ``x`` with positions ``x_idx`` is one without being named. ``time_raw`` holds the axis value of a time that could
-    not be read.
+    not be read. ``time_fields`` holds year, month, day and microseconds of a time in a model calendar, which no timestamp
+    can hold.
     """
 
     time: str = "time"
@@ -35,6 +36,7 @@ class GridSpec:
     lon_idx: str = "lon_idx"
     extra: tuple[str, ...] = ()
     time_raw: str = "time_raw"
+    time_fields: str = "time_fields"
 
     @classmethod
     def infer(cls, df: DataFrame, **roles) -> GridSpec:
@@ -64,7 +66,7 @@ class GridSpec:
         raise MissingRole(f"no time column: neither {self.time_idx!r} nor {self.time!r} in {df.columns}")
 
     def time_columns(self, df: DataFrame) -> list[str]:
-        return [c for c in (self.time_idx, self.time) if c in df.columns]
+        return [c for c in (self.time_idx, self.time, self.time_fields) if c in df.columns]
 
     def extra_names(self, df: DataFrame) -> list[str]:
         """Further dimensions: those named, then those that the table shows by a column of positions."""
