@@ -275,7 +275,7 @@ def hdf5_bytes(
         elif vdims:
             own["DIMENSION_LIST"] = [members[d] for d in vdims]
         members[name] = out.dataset(
-            np.ascontiguousarray(array), [out.attribute(k, v) for k, v in own.items()], chunks.get(name),
+            np.asarray(array, order="C"), [out.attribute(k, v) for k, v in own.items()], chunks.get(name),
             filters if name in chunks else (), unwritten.get(name, set()), fill.get(name),
         )
     return out.finish(out.group(members))

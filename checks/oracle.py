@@ -225,6 +225,32 @@ T_TIME = "cast(time as varchar) as time"
 WIND_MEANS = "avg(u) as mean_u, avg(v) as mean_v"
 STATS = f"count(*) as n_points, {q('avg(value)')} as mean, min(value) as min, max(value) as max, {q('stddev_pop(value)')} as std"
 
+# All variables of the files, with what names a dataset and numbers a step.
+FILE_CELLS = " union all ".join(
+    f"""select {{dataset}} as dataset_id, '{name}' as variable, cast({{step}} as int) as time_idx, strftime(time, '%Y-%m-%d') as time,
+    cast(lat_idx as int) as lat_idx, lat, cast(lon_idx as int) as lon_idx, lon, {q(column)} as value from dense join steps using (time)"""
+    for name, column in (("uas", "u"), ("vas", "v"), ("hurs", "hurs"))
+)
+JOINED = ", steps as (select time, row_number() over (order by time) - 1 as step from (select distinct time from w)) "
+
+
+def model(year: str, month: str) -> str:
+    """Spatial means with their position and the year and month of a model calendar in which days since 1995 are read."""
+    return given("ts") + f""", numbered as (select date_diff('day', date '1995-01-01', time) as n, value,
+      row_number() over (order by time) - 1 as i from ts), m as (select *, {year} as y, {month} as mon from numbered)"""
+
+
+FILE_WIND = f""", f as (select count(*) as n_speed, avg(speed) as mean_speed, max(speed) as max_speed, avg(u) as mean_u, avg(v) as mean_v,
+    count(*) filter (speed > 20) as storm_samples, count(*) filter (speed > 32) as severe_samples
+    from (select u, v, sqrt(u * u + v * v) as speed from w))
+  select 'wind' as dataset_id, n_speed, {q("mean_speed")} as mean_speed, {q("max_speed")} as max_speed, {q("mean_u")} as mean_u,
+    {q("mean_v")} as mean_v, storm_samples, severe_samples, {q("max_speed")} as peak_speed, {q(DIRECTION)} as direction,
+    {compass(DIRECTION)} as compass from f"""
+NOLEAP_MONTH = "1 + " + " + ".join(f"(n % 365 >= {days})::int" for days in (31, 59, 90, 120, 151, 181, 212, 243, 273, 304, 334))
+MODEL_TEXT = "printf('%04d-%02d-%02d 00:00:00', y, mon, n % 30 + 1)"
+# Month labels, January first.
+MONTH_NAMES = "['Jan', 'Feb', 'Mar', 'Apr', 'May', 'Jun', 'Jul', 'Aug', 'Sep', 'Oct', 'Nov', 'Dec']"
+
 ORACLE = {
     "spatial_mean": given("ts") + f"select {T_TIME}, value from ts",
     "spatial_mean_levels": given("lev") + f"select {T_TIME}, lev, {q('avg(value)')} as value from lev group by time, lev",
@@ -464,4 +490,34 @@ ORACLE = {
         case variable when 'time' then cast(nt as varchar) when 'lat' then cast(ny as varchar) when 'lon' then cast(nx as varchar)
           else concat(nt, ',', ny, ',', nx) end as sizes
       from sizes cross join (select unnest(['time', 'lat', 'lon', 'uas', 'vas', 'hurs']) as variable)""",
+    "hdf5_scan": netcdf_cells() + JOINED + FILE_CELLS.format(dataset="dataset_id", step="time_idx"),
+    "hdf5_catalog": netcdf_cells()  # every fourth file keeps no order of its variables but that of their names
+    + " union all ".join(
+        f"""select dataset_id, '{name}' as variable, max(time_idx) + 1 as n_time, max(lat_idx) + 1 as n_lat, max(lon_idx) + 1 as n_lon,
+        count(*) as n_cells, cast(case when cast(dataset_id[6:] as int) % 4 = 0 then {by_name} else {i} end as int) as ordinal from dense group by dataset_id"""
+        for i, (name, by_name) in enumerate((("uas", 1), ("vas", 2), ("hurs", 0)))
+    ),
+    "netcdf_joined": netcdf_cells() + JOINED + FILE_CELLS.format(dataset="'wind'", step="step"),
+    "hdf5_joined_steps": netcdf_cells() + JOINED
+    + f"""select 'wind' as dataset_id, 'hurs' as variable, cast(step as int) as time_idx, {T_TIME}, cast(lat_idx as int) as lat_idx,
+      lat, cast(lon_idx as int) as lon_idx, lon, {q("hurs")} as value from dense join steps using (time) where step between 300 and 420""",
+    "wind_from_files": given("w") + FILE_WIND,
+    "wind_from_hdf5": given("w") + FILE_WIND,
+    "annual_mean_noleap": model("1995 + n // 365", NOLEAP_MONTH)
+    + f"""select cast(y as int) as year, {q("avg(value)")} as mean,
+      case when y <= 1997 then 'Baseline' when y <= 1999 then 'Current' else 'Future' end as period from m group by y""",
+    "monthly_total_noleap": model("1995 + n // 365", NOLEAP_MONTH)
+    + f"select cast(mon as int) as month, {q('coalesce(sum(value), 0)')} as total from m group by mon",
+    "monthly_cycle_360": model("1995 + n // 360", "n % 360 // 30 + 1")
+    + f"select cast(mon as int) as month, {q('avg(value)')} as mean, {MONTH_NAMES}[mon] as month_name from m group by mon",
+    "story_labels_360": model("1995 + n // 360", "n % 360 // 30 + 1")
+    + f""", nt as (select count(*) as nt from m),
+      chosen as (select k, (k * (nt - 1)) // (least(6, greatest(4, nt)) - 1) as i from nt, range(6) r(k) where k < least(6, greatest(4, nt)))
+      select cast(k as int) as step, cast(i as int) as time_idx, {MODEL_TEXT} as label from chosen join m using (i)
+      union all select -1, cast(i as int), {MODEL_TEXT} from m where n % 360 = 59""",
+    "extremes_360": model("1995 + n // 360", "n % 360 // 30 + 1")
+    + f"""select max(value) as hottest, min(value) as coldest, count(*) filter (value > 30) as hot_days,
+      count(*) filter (value > 20) as tropical_nights,
+      (select {MODEL_TEXT} from m order by value desc, i limit 1) as hottest_label,
+      (select {MODEL_TEXT} from m order by value, i limit 1) as coldest_label from m""",
 }

@@ -14,7 +14,7 @@ from graticule.functions import calendar, classify, sphere
 from graticule.operators import axis, boundary, catalog, cube, indices, series, stats, story, wind
 from graticule.operators.groups import shared_dir
 from graticule.plans import explore, views
-from graticule.sources import boundaries
+from graticule.sources import boundaries, slabs
 from graticule.sources.netcdf3 import ingest_netcdf3, read_catalog, read_netcdf3
 from graticule.sources.tables import ingest_table, read_grid, write_grid
 
@@ -675,3 +675,104 @@ def netcdf_header(spark, sf_dir):
         "dataset_id", "variable", "is_coordinate",
         F.concat_ws(",", "dims").alias("dims"), F.concat_ws(",", F.col("sizes").cast("array<string>")).alias("sizes"),
     )
+
+
+# Files by their index of slabs
+
+
+def _hdf5_files(spark, sf_dir) -> str:
+    folder = scratch(spark)
+    netcdf_fixture.write_years(standins.atmosphere(spark, sf_dir), folder, netcdf_fixture.wind_year_hdf5)
+    return folder
+
+
+def _model_files(spark, sf_dir, made) -> str:
+    folder = scratch(spark)
+    netcdf_fixture.write_years(standins.temperature(spark, sf_dir), folder, made, "tas")
+    return folder
+
+
+def _plain_cells(cells: DataFrame) -> DataFrame:
+    found = cells.drop("variable_idx", "time_fields", "time_raw")
+    return found.withColumns({"time": F.date_format("time", "yyyy-MM-dd"), "value": cut("value")})
+
+
+def stem(pattern: str = r"([^/]*)_[0-9]+\.[^./]*$") -> Column:
+    """The name of a file without its year: a dataset for all of them."""
+    return F.regexp_extract("path", pattern, 1)
+
+
+@query
+def hdf5_scan(spark, sf_dir):
+    """Chunked and compressed files of four styles, cell by cell."""
+    return _plain_cells(slabs.read_netcdf(spark, _hdf5_files(spark, sf_dir)))
+
+
+@query
+def hdf5_catalog(spark, sf_dir):
+    """The catalog from the index: no cell is read."""
+    return slabs.catalog_of_index(slabs.indexed(spark, _hdf5_files(spark, sf_dir)))
+
+
+@query
+def netcdf_joined(spark, sf_dir):
+    """A file a year as one dataset: steps are numbered on from file to file."""
+    return _plain_cells(slabs.read_netcdf(spark, _wind_files(spark, sf_dir), dataset=stem()))
+
+
+@query
+def hdf5_joined_steps(spark, sf_dir):
+    """A stretch of steps of one variable, across the border of two files."""
+    return _plain_cells(slabs.read_netcdf(spark, _hdf5_files(spark, sf_dir), ["hurs"], stem(), steps=(300, 420)))
+
+
+@query
+def wind_from_files(spark, sf_dir):
+    """Wide rows straight from classic files: the components need no join."""
+    cells = slabs.read_netcdf(spark, _wind_files(spark, sf_dir), ["uas", "vas"], stem(), wide=True)
+    found = wind.wind_summary(cells.withColumnsRenamed({"uas": "u", "vas": "v"}), by=["dataset_id"])
+    return cut_all(found, "mean_speed", "max_speed", "mean_u", "mean_v", "direction", "peak_speed")
+
+
+@query
+def wind_from_hdf5(spark, sf_dir):
+    """The same from files in which the components are chunked differently."""
+    cells = slabs.read_netcdf(spark, _hdf5_files(spark, sf_dir), ["uas", "vas"], stem(), wide=True)
+    found = wind.wind_summary(cells.withColumnsRenamed({"uas": "u", "vas": "v"}), by=["dataset_id"])
+    return cut_all(found, "mean_speed", "max_speed", "mean_u", "mean_v", "direction", "peak_speed")
+
+
+@query
+def annual_mean_noleap(spark, sf_dir):
+    """Years of a calendar without leap days, over several NetCDF-4 files."""
+    cells = slabs.read_netcdf(spark, _model_files(spark, sf_dir, netcdf_fixture.noleap_year), dataset=stem())
+    return cut_all(series.annual_mean_by_period(cube.spatial_mean(cells), **PERIODS), "mean")
+
+
+@query
+def monthly_total_noleap(spark, sf_dir):
+    cells = slabs.read_netcdf(spark, _model_files(spark, sf_dir, netcdf_fixture.noleap_year), dataset=stem())
+    return cut_all(series.monthly_total(cube.spatial_mean(cells)), "total")
+
+
+@query
+def monthly_cycle_360(spark, sf_dir):
+    """Months of 30 days, over several classic files."""
+    cells = slabs.read_netcdf(spark, _model_files(spark, sf_dir, netcdf_fixture.year_of_360_days), dataset=stem())
+    return cut_all(series.monthly_cycle(cube.spatial_mean(cells)), "mean")
+
+
+@query
+def story_labels_360(spark, sf_dir):
+    """Labels of the steps of a story in a model calendar, and of every 30 February."""
+    cells = slabs.read_netcdf(spark, _model_files(spark, sf_dir, netcdf_fixture.year_of_360_days), dataset=stem())
+    told = story.story_steps(cells).select("step", "time_idx", "label")
+    late = cells.where("time_fields.month = 2 and time_fields.day = 30").groupBy("time_idx").agg(F.max("time_raw").alias("label"))
+    return told.unionByName(late.select(F.lit(-1).alias("step"), "time_idx", "label"))
+
+
+@query
+def extremes_360(spark, sf_dir):
+    """Hottest and coldest day, as days of the model calendar."""
+    cells = slabs.read_netcdf(spark, _model_files(spark, sf_dir, netcdf_fixture.year_of_360_days), dataset=stem())
+    return indices.extremes(cube.spatial_mean(cells)).drop("hottest_date", "coldest_date")

@@ -199,6 +199,19 @@ def time_text(time: Column) -> Column:
     return F.coalesce(text, F.lit("NaT"))
 
 
+def fields_text(time: Column, fields: Column) -> Column:
+    """The same text for a time that may be one of a model calendar instead."""
+    micros = fields["micros"]
+    fraction = F.pmod(micros, F.lit(1_000_000))
+    whole = F.floor(micros / 1_000_000)
+    clock = F.format_string(
+        "%04d-%02d-%02d %02d:%02d:%02d", fields["year"], fields["month"], fields["day"],
+        F.floor(whole / 3600), F.pmod(F.floor(whole / 60), F.lit(60)), F.pmod(whole, F.lit(60)),
+    )
+    text = F.when(fraction == 0, clock).otherwise(F.concat(clock, F.lit("."), F.format_string("%06d", fraction)))
+    return F.when(fields.isNotNull(), text).otherwise(time_text(time))
+
+
 def month_name(month: Column) -> Column:
     """Locale-independent month label of 1..12."""
     return F.element_at(F.array(*[F.lit(m) for m in MONTHS]), month)

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graticule.functions import calendar
 from graticule.operators.axis import month_bucket
 from graticule.operators.cube import drop_missing
 from graticule.operators.groups import BROADCAST_ROWS, attach, cut_lineage, fits
@@ -29,6 +30,9 @@ def extremes(
     Grouped extremes are found in two passes: first the extreme values, which hash aggregation combines before the
     shuffle, then the first step among the few rows that attain them. With more groups than may be broadcast it is one
     pass, which sorts within each task and shuffles one row per group and task: no raw row moves either way.
+
+    A series with ``time_fields`` has ``hottest_label`` and ``coldest_label`` as well, since no date holds the days of a
+    model calendar.
     """
     by = names(by)
     v, order = spec.v(), spec.row_order(series)
@@ -38,25 +42,34 @@ def extremes(
         F.count_if(v > tropical_above).alias("tropical_nights"),
     ]
     # One row even for an empty ungrouped series, where the times stay NULL.
-    hot_time = F.min_by(spec.time, F.struct(-v, *order)).alias("hot_time")
-    cold_time = F.min_by(spec.time, F.struct(v, *order)).alias("cold_time")
+    model = spec.time_fields in series.columns
+    when = F.struct(F.col(spec.time).alias("time"), F.col(spec.time_fields).alias("fields")) if model else F.col(spec.time)
+    hot_time = F.min_by(when, F.struct(-v, *order)).alias("hot_time")
+    cold_time = F.min_by(when, F.struct(v, *order)).alias("cold_time")
     limits = [F.max(v).alias("hottest"), F.min(v).alias("coldest"), *counts]
     totals = cut_lineage(series.groupBy(*by).agg(*limits)) if by else None
     if by and fits(totals, broadcast_rows):
-        rows = attach(series.select(*dict.fromkeys([*by, *order, spec.time, spec.value])), totals, by, order)
+        fields = [spec.time_fields] if model else []
+        rows = attach(series.select(*dict.fromkeys([*by, *order, spec.time, *fields, spec.value])), totals, by, order)
         at_limit = rows.where((v == F.col("hottest")) | (v == F.col("coldest")))
         kept = [F.first(c).alias(c) for c in totals.columns if c not in by]
         found = at_limit.groupBy(*by).agg(hot_time, cold_time, *kept)
     else:
         found = series.groupBy(*by).agg(hot_time, cold_time, *limits)
+    times = [F.col(c)["time"] if model else F.col(c) for c in ("hot_time", "cold_time")]
+    labels = [
+        calendar.fields_text(F.col(c)["time"], F.col(c)["fields"]).alias(name)
+        for c, name in (("hot_time", "hottest_label"), ("cold_time", "coldest_label"))
+    ]
     return found.select(
         *by,
         "hottest",
-        F.to_date("hot_time").alias("hottest_date"),
+        F.to_date(times[0]).alias("hottest_date"),
         "coldest",
-        F.to_date("cold_time").alias("coldest_date"),
+        F.to_date(times[1]).alias("coldest_date"),
         "hot_days",
         "tropical_nights",
+        *(labels if model else []),
     )
 
 

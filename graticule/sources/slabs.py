@@ -40,7 +40,7 @@ BATCH_CELLS = 131_072
 SPACE = ("lat", "lon")
 MAGIC = {b"CDF": "classic", b"\x89HD": "hdf5"}
 
-INDEX = """path string, file_bytes bigint, variable string, variable_idx int, is_coordinate boolean, dims array<string>,
+INDEX = """path string, file_bytes bigint, modified bigint, variable string, variable_idx int, is_coordinate boolean, dims array<string>,
   shape array<bigint>, units string, calendar string, dtype string, missing array<double>, scale double, shift double,
   fill double, chunk array<bigint>, offset array<bigint>, extent array<bigint>, address bigint, stored bigint, stride bigint,
   skip bigint, data binary, filters array<int>, client array<int>, mask int, coords array<array<double>>, time_units string,
@@ -214,7 +214,7 @@ def slab_index(spark: SparkSession, files: DataFrame) -> DataFrame:
 
         kinds = to_arrow_schema(schema)
         for batch in batches:
-            for path, size in zip(batch.column("path").to_pylist(), batch.column("bytes").to_pylist()):
+            for path, size, modified in zip(*(batch.column(c).to_pylist() for c in ("path", "bytes", "modified"))):
                 fs, where = open_path(path)
                 with fs.open_input_file(where) as file:
                     kind = MAGIC.get(file.read(3))
@@ -224,11 +224,44 @@ def slab_index(spark: SparkSession, files: DataFrame) -> DataFrame:
                     except (hdf5.NotReadable, netcdf3.NotClassicNetCDF) as wrong:
                         raise ValueError(f"{path}: {wrong}") from wrong
                 for at in range(0, len(rows), 4096):
-                    part = [{**r, "path": path, "file_bytes": size} for r in rows[at : at + 4096]]
+                    part = [{**r, "path": path, "file_bytes": size, "modified": modified} for r in rows[at : at + 4096]]
                     yield pa.RecordBatch.from_pylist(part, kinds)
 
     tasks = max(1, min(10_000, files.count() * FILE_GUESS // FILES_BYTES))
-    return cut_lineage(files.repartition(tasks).select("path", "bytes").mapInArrow(run, schema))
+    return cut_lineage(files.repartition(tasks).select("path", "bytes", "modified").mapInArrow(run, schema))
+
+
+def generations(spark: SparkSession, store: str) -> list[str]:
+    """The complete generations of a manifest, oldest first."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(store)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        return []
+    found = [f.getPath() for f in fs.listStatus(folder)]
+    return sorted(p.toString() for p in found if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+
+def refresh_manifest(spark: SparkSession, path: str, store: str) -> int:
+    """Keeps the index of a folder in ``store`` and returns how many files were walked: those that are new, or whose size
+    or time has changed. Slabs of files that are gone leave. Every refresh writes a new generation, which counts once it is
+    complete, so that a reader of the last one is never disturbed; old ones may be deleted when nobody reads them."""
+    known, listed = generations(spark, store), cut_lineage(list_files(spark, path))
+    same = ["path", "file_bytes", "modified"]
+    current = listed.withColumnRenamed("bytes", "file_bytes")
+    if known:
+        held = spark.read.parquet(known[-1])
+        fresh = cut_lineage(current.join(held.select(*same).distinct(), same, "left_anti")).withColumnRenamed("file_bytes", "bytes")
+        rows = held.join(current.select(*same), same, "left_semi").unionByName(slab_index(spark, fresh))
+    else:
+        fresh, rows = listed, slab_index(spark, listed)
+    rows.write.parquet(f"{store.rstrip('/')}/{len(known):08d}")
+    return fresh.count()
+
+
+def read_manifest(spark: SparkSession, store: str) -> DataFrame:
+    """The index of the last generation, for ``named_index``. No folder and no file of the data is looked at."""
+    return spark.read.parquet(generations(spark, store)[-1])
 
 
 def dataset_of(root: str) -> Column:
@@ -240,13 +273,19 @@ def dataset_of(root: str) -> Column:
 
 
 def indexed(spark: SparkSession, path: str, dataset: Column | None = None) -> DataFrame:
-    """The index of a file or folder with ``dataset_id`` and ``time_before``, the steps that precede a file in its dataset.
+    """The index of a file or folder, as ``named_index`` gives it. Without ``dataset`` each file is one."""
+    named = dataset if dataset is not None else dataset_of(qualified(spark, path))
+    return named_index(slab_index(spark, list_files(spark, path)), named)
+
+
+def named_index(index: DataFrame, dataset: Column) -> DataFrame:
+    """An index with ``dataset_id`` and ``time_before``, the steps that precede a file in its dataset.
 
-    ``dataset`` names the dataset of a ``path``; without it each file is one. The files of a dataset follow each other by
+    ``dataset`` names the dataset of a ``path``. The files of a dataset follow each other by
     their first time, then by path; their steps are numbered on from file to file, by a running sum of one row a file.
     """
-    index = slab_index(spark, list_files(spark, path))
-    named = index.withColumn("dataset_id", dataset if dataset is not None else dataset_of(qualified(spark, path)))
+    ship(index.sparkSession)
+    named = index.withColumn("dataset_id", dataset)
     axis = F.array_max(F.transform("dims", lambda d, i: F.when(d.isin(*TIME_NAMES), i)))
     steps = named.where(axis.isNotNull()).select(
         "dataset_id", "path", F.get("shape", axis).alias("steps"), F.get("offset", axis).alias("at"),
