@@ -37,6 +37,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, stem: str) -> str:
+    """A column name that the table does not have, in any spelling."""
+    taken = {c.lower() for c in df.columns}
+    name = f"__{stem}"
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_of(column: str) -> Column:
     """The text, where a missing one counts as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

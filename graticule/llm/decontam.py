@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from graticule.llm.common import mapped, small_batches
+from graticule.llm.common import free_name, mapped, small_batches
 
 ERROR_SHARE = 0.05  # edits allowed, as a share of an item's characters
 SHORTEST_PIECE = 8  # items whose pieces would be shorter allow fewer edits instead
@@ -177,6 +177,7 @@ def searching(sent, share: float, kind):
 
 def clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` in which no test item occurs, with all their columns. All rows of an identifier go together;
-    rows without an identifier are judged with each other."""
-    found = matches(docs, benchmark, doc_id, text).select(F.col(doc_id).alias("__found")).distinct()
-    return docs.join(found, F.col(doc_id).eqNullSafe(F.col("__found")), "left_anti")
+    rows without an identifier are judged with each other. Columns may have any names."""
+    mark = free_name(docs, "found")
+    found = matches(docs, benchmark, doc_id, text).select(F.col(doc_id).alias(mark)).distinct()
+    return docs.join(found, F.col(doc_id).eqNullSafe(F.col(mark)), "left_anti")

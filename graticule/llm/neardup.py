@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graticule.llm.common import mapped, small_batches, stored
+from graticule.llm.common import free_name, mapped, small_batches, stored
 from graticule.shipping import ship
 
 WORDS, SIMILARITY = 5, 0.8
@@ -331,6 +331,8 @@ def classes(
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` that ``classes`` keeps: one document of each class, with all its columns."""
-    dropped = classes(docs, doc_id, text, similarity).where("not kept").select(F.col(doc_id).alias("__dropped")).distinct()
-    return docs.join(dropped, F.col(doc_id) == F.col("__dropped"), "left_anti")
+    """The rows of ``docs`` that ``classes`` keeps: one document of each class, with all its columns, whatever their names.
+    Rows without an identifier stay; an empty table gives an empty one."""
+    mark = free_name(docs, "dropped")
+    dropped = classes(docs, doc_id, text, similarity).where("not kept").select(F.col(doc_id).alias(mark)).distinct()
+    return docs.join(dropped, F.col(doc_id) == F.col(mark), "left_anti")

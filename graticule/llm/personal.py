@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graticule.llm.common import mapped, small_batches
+from graticule.llm.common import mapped, small_batches, stored
 
 KINDS = ["email", "ip", "card", "phone"]
 NONE = len(KINDS)  # the label of a token that is nothing personal
@@ -213,7 +213,7 @@ class Field:
         known = [[self.names[f] for f in s if f in self.names] for s in shapes]
         row = np.repeat(np.arange(len(known)), list(map(len, known)))
         flat = np.array([f for s in known for f in s], np.int64)
-        return np.stack([np.bincount(row, self.weights[flat, k], len(shapes)) for k in range(LABELS)], axis=1)
+        return np.stack([np.bincount(row, self.weights[flat, k], len(shapes)) for k in range(LABELS)], axis=1).astype(float)
 
     def beliefs(self, graph: Graph) -> np.ndarray:
         """Probabilities of the labels of each token, by damped message passing until nothing moves by more than a ten
@@ -309,7 +309,7 @@ def learn(rows: list[tuple[int, list[str], list[int], list[float]]], steps: int
     has = [np.flatnonzero(sides[:, s] >= 0) for s in (0, 1)]
 
     def slopes_at(weights: np.ndarray, chain: np.ndarray, ties: np.ndarray) -> list[np.ndarray]:
-        scores = np.stack([np.bincount(row, weights[flat, k], len(rows)) for k in range(LABELS)], axis=1)
+        scores = np.stack([np.bincount(row, weights[flat, k], len(rows)) for k in range(LABELS)], axis=1).astype(float)
         scores[has[0]] += chain[sides[has[0], 0]]
         scores[has[1]] += chain.T[sides[has[1], 1]]
         scores += (shares * ties).sum(axis=1)
@@ -336,29 +336,35 @@ def candidates(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int = TRAIN_TOKENS) -> Field:
     """Learns from at most ``most`` tokens of each label, those whose hash of document and place is smallest. All texts
-    are read for it; what reaches the driver is bounded by ``most`` alone. Without tokens every potential is even."""
+    are read for it, once, and their tokens written to the shared folder; about half as many more than wanted reach the
+    driver, however many there are. Without tokens every potential is even."""
+
+    names = ["place", "label", "shape", "sides", "shares"]
+    kinds = [pa.int64(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.float64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple]] = {}
         for batch in small_batches(batches, "text"):
-            ids, texts = batch.column("id").to_pylist(), batch.column("text").to_pylist()
-            for i, t in zip(ids, texts):
-                for n, (label, *rest) in enumerate(examples(Graph([t]))):
-                    place = int.from_bytes(hashlib.blake2b(f"{i}:{n}".encode(), digest_size=8).digest(), "big", signed=True)
-                    held.setdefault(label, []).append((place, label, *rest))
-            for label, rows in held.items():
-                if len(rows) > 4 * most:
-                    held[label] = sorted(rows)[:most]
-        rows = [r for label in sorted(held) for r in sorted(held[label])[:most]]
-        names = ["place", "label", "shape", "sides", "shares"]
-        kinds = [pa.int64(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.float64())]
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
+            rows = []
+            for i, t in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
+                for n, example in enumerate(examples(Graph([t]))):
+                    place = hashlib.blake2b(f"{i}:{n}".encode(), digest_size=8).digest()
+                    rows.append((int.from_bytes(place, "big", signed=True), *example))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
 
     chosen = candidates(docs, doc_id, text).where(F.col("text").rlike("[0-9@]"))
-    sampled = mapped(chosen, run, "place long, label int, shape array<string>, sides array<int>, shares array<double>")
-    # A task sends its own smallest, and of these each label keeps the smallest of all, sorted task by task.
-    parts = [sampled.where(F.col("label") == k).orderBy("place").limit(most) for k in range(LABELS)]
-    rows = [(r.label, r.shape, r.sides, r.shares) for part in parts for r in part.collect()]
+    every = mapped(chosen, run, "place long, label int, shape array<string>, sides array<int>, shares array<double>")
+    every = stored(every, "tokens")
+    rows = []
+    for label, n in sorted(map(tuple, every.groupBy("label").count().collect())):
+        share = 1.5 * most / n  # places are even, so that about half as many more than wanted lie below this share of them
+        while True:
+            limit = min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63))
+            found = every.where((F.col("label") == label) & (F.col("place") <= limit)).collect()
+            if len(found) >= min(n, most):
+                break
+            share *= 4
+        rows += sorted(found, key=lambda r: (r.place, r.shape))[:most]
+    rows = [(r.label, r.shape, r.sides, r.shares) for r in rows]
     return learn(rows)
 
 

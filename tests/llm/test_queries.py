@@ -8,11 +8,12 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from texts import awkward, frame
 
 import __spark_entry__ as contract
 import corpus_pipeline
-from graticule.llm import decontam, queries
+from graticule.llm import crosstoken, decontam, importance, personal, queries
 from graticule.llm.common import table
 from tools.compare import connect, differences
 
@@ -83,3 +84,23 @@ def test_stages_bear_awkward_rows(spark, name):
     assert stage(spark, docs, SF_DIR).columns == docs.columns
     assert stage(spark, docs, SF_DIR).count() > 5
     assert stage(spark, docs.where("false"), SF_DIR).count() == 0
+
+
+def test_stages_bear_columns_of_their_own_names(spark):
+    """Extra columns that bear the names which the stages use themselves."""
+    docs = table(spark, SF_DIR, "documents")
+    clashing = ["__lang_pred", "__score", "lang_pred", "score", "__dropped", "__found", "__FOUND_", "label", "place"]
+    docs = docs.select("*", *[F.lit(c).alias(c) for c in clashing])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        found = stage(spark, docs, SF_DIR)
+        assert found.columns == docs.columns, name
+        assert {tuple(r) for r in found.select(*clashing).distinct().collect()} == {tuple(clashing)}, name
+
+
+def test_new_queries_bear_clashing_columns(spark):
+    rows = frame(spark, [(1, "one word a@b.cd"), (2, None), (None, "")])
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    extra = rows.select("*", *[F.lit(1).alias(c) for c in ("n_words", "weight", "rank", "pairs", "links", "n_a", "spans", "n_ip", "place")])
+    assert importance.resample(extra, table(spark, SF_DIR, "benchmark")).count() == 3
+    assert personal.find(extra).count() == 3
+    assert crosstoken.alignment_counts(extra, *paths).count() == 3
