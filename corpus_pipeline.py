@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graticule.llm import bpe, decontam, exactdup, langid, neardup
-from graticule.llm.common import stored, table
+from graticule.llm.common import free_name, stored, table
 
 LEAST_SCORE = 0.3  # a document whose likeliest language gets less is rejected, as is one without a letter
 
@@ -21,9 +21,10 @@ LEAST_SCORE = 0.3  # a document whose likeliest language gets less is rejected,
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the network knows. It learns from the rows that it does not hold out."""
     net = langid.fit(docs, ~langid.held_out())
-    known = langid.predict(docs.withColumnsRenamed({"lang_pred": "__lang_pred", "score": "__score"}), net)
+    own = {c: free_name(docs, c) for c in ("lang_pred", "score")}  # columns of the documents that bear these names
+    known = langid.predict(docs.withColumnsRenamed(own), net)
     kept = known.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).drop("lang_pred", "score")
-    return kept.withColumnsRenamed({"__lang_pred": "lang_pred", "__score": "score"})
+    return kept.withColumnsRenamed({new: old for old, new in own.items()})
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
