@@ -26,7 +26,7 @@ MARKED_WEIGHT = 4  # of a stretch's densest window in a marked article
 MOST_LINKED = 0.5  # share of a stretch's text that may be links, outside marked articles
 
 # Elements by what HTML says of them.
-RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "title", "svg", "math", "object", "canvas", "audio", "video"}
+RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "title", "svg", "object", "canvas", "audio", "video"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCKS = set(
     "address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption"
@@ -37,7 +37,8 @@ ASIDE = set("nav aside footer form menu dialog select button search fieldset".sp
 MAIN = {"article", "main"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
-# Words in a class, an identifier or a role that tell what is not the article.
+# Words in a class, an identifier or a role that tell what is not the article, a judgement; and words that say nothing
+# beside them. A name with any other word, such as "related-work" or "notice-period", tells nothing.
 ASIDE_WORDS = set(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr"
     " notice notices alert popup modal overlay newsletter subscribe subscription signup login menu menubar nav navbar"
@@ -46,7 +47,15 @@ ASIDE_WORDS = set(
     " widget widgets skip".split()
 )
 
-TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)(>|$)|<!--.*?(?:-->|$)|<[!?/][^>]*(?:>|$)""", re.S)
+NEUTRAL_WORDS = set(
+    "area article bar block body bottom box button buttons container content email frame global group inner item items latest left link"
+    " links list main more my outer page panel post posts reader readers right section site slot small top unit user users wrap wrapper zone".split()
+)
+# A tag ends at the first ">" that is not in a quoted value. Quotes mean something right behind a "=" only, and one that is
+# never closed means nothing, so that a stray quote loses no text. Nothing is tried twice: time is linear.
+TAG = re.compile(
+    r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)(>|$)|<!--.*?(?:-->|$)|<[!?/][^>]*+(?:>|$)""", re.S
+)
 NAMED = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|aria-hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -68,11 +77,15 @@ def set_apart(name: str, attributes: str, inside: bool) -> bool:
         key, value = key.lower(), value.strip("\"'")
         if key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
             return True
-        said = {w.lower() for w in WORDS.findall(value)} & ASIDE_WORDS
-        if inside or name in HEADINGS:
-            said.discard("header")  # an article's own
-        if key in ("class", "id", "role") and said:
-            return True
+        if key not in ("class", "id", "role") or name in HEADINGS:
+            continue
+        for given in value.split():
+            words = {w.lower() for w in WORDS.findall(given)}
+            said = words & ASIDE_WORDS
+            if inside:
+                said.discard("header")  # an article's own
+            if said and not words - ASIDE_WORDS - NEUTRAL_WORDS:
+                return True
     return False
 
 
@@ -145,8 +158,7 @@ def lines_of(page: str, trusting: bool = True) -> list[Line]:
             if main == (0 if closing else 1):  # the outermost
                 lines.extend([Line("", 0, False)] * WINDOW)
         elif not closing and name not in VOID and set_apart(name, found[3], main > 0):
-            end_block()
-            if not main:
+            if name in BLOCKS and not main:
                 lines.extend([Line("", 0, False)] * WINDOW)
             skipping, depth, closed = name, 1, None
     end_block()

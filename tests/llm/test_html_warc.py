@@ -1,5 +1,6 @@
 """Main text and web archives: hand-made pages, the given pages by their template, and damaged archives."""
 
+import time
 import base64
 import gzip
 import hashlib
@@ -173,3 +174,33 @@ def test_gaps_are_reported_with_their_file(spark):
     assert len(gaps) == 1 and gaps[0].file == files[0]["path"] and gaps[0].problem == "no content length"
     assert sorted(int(r.page_id) for r in rows if not r.problem) == sorted({*range(20)} - {int(re.search(rb"X-Page-ID: (\d+)", data)[1])})
     assert all(bytes(r.payload) == f"<p>page {r.page_id}".encode() for r in rows if not r.problem)
+
+
+LONG = "Words of a long paragraph that go on and on, as an article's do, until there are enough of them. "
+
+
+@pytest.mark.parametrize(
+    "inner, text",
+    [
+        ('<p title="a"b">Hello world</p>', "Hello world"),
+        ("<p>One</p><a href=x title=it's>two</a><p>three</p><p>it's four</p>", "One\ntwo\nthree\nit's four"),
+        ('<h2 id="related-work">Related work</h2><p>a</p><h2 id="search">Search</h2><p>b</p>', "Related work\na\nSearch\nb"),
+        ('<p class="form-factor">Size</p><section class="notice-period"><p>Weeks</p></section>', "Size\nWeeks"),
+        ('<p>Before <span class="share">Share</span> after</p>', "Before after"),
+        ("<p>Let <math><mi>x</mi></math> be</p>", "Let x be"),
+        ('<p>a</p><div class="ad-slot">Buy</div><div id="cookieBanner">Ok</div><p>b</p>', "a\nb"),
+        ('<p data-x="1>2">c</p>', "c"),
+        ("<p title='never closed>d</p><p>e</p>", "d\ne"),
+        ("<p title = 'x > y' class=\"big\">f</p>", "f"),
+    ],
+)
+def test_attributes_lose_no_text(inner, text):
+    page = f"<html><body><nav><a href=/>Menu</a></nav><article><p>{LONG * 5}</p>{inner}</article></body></html>"
+    assert htmltext.main_text(page) == f"{(LONG * 5).strip()}\n{text}"
+
+
+@pytest.mark.parametrize("piece", ['<a x="', "<a x='", "<a x=' y=\"", "<", "<a ", '"', "<p title=\"a\"b\">c", "=", "<a x==\"'"])
+def test_unclosed_quotes_take_linear_time(piece):
+    began = time.perf_counter()
+    htmltext.main_text(piece * (1_000_000 // len(piece)))
+    assert time.perf_counter() - began < 10
