@@ -520,4 +520,10 @@ ORACLE = {
       count(*) filter (value > 20) as tropical_nights,
       (select {MODEL_TEXT} from m order by value desc, i limit 1) as hottest_label,
       (select {MODEL_TEXT} from m order by value, i limit 1) as coldest_label from m""",
+    "footer_catalog": netcdf_cells() + JOINED
+    + " union all ".join(
+        f"""select 'wind' as dataset_id, '{name}' as variable, max(step) + 1 as n_time, max(lat_idx) + 1 as n_lat, max(lon_idx) + 1 as n_lon,
+        count(*) as n_cells, count({column}) as n_present, cast({i} as int) as ordinal from dense join steps using (time)"""
+        for i, (name, column) in enumerate((("uas", "u"), ("vas", "v"), ("hurs", "hurs")))
+    ),
 }

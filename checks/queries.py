@@ -14,7 +14,7 @@ from graticule.functions import calendar, classify, sphere
 from graticule.operators import axis, boundary, catalog, cube, indices, series, stats, story, wind
 from graticule.operators.groups import shared_dir
 from graticule.plans import explore, views
-from graticule.sources import boundaries, slabs
+from graticule.sources import boundaries, footers, slabs
 from graticule.sources.netcdf3 import ingest_netcdf3, read_catalog, read_netcdf3
 from graticule.sources.tables import ingest_table, read_grid, write_grid
 
@@ -776,3 +776,12 @@ def extremes_360(spark, sf_dir):
     """Hottest and coldest day, as days of the model calendar."""
     cells = slabs.read_netcdf(spark, _model_files(spark, sf_dir, netcdf_fixture.year_of_360_days), dataset=stem())
     return indices.extremes(cube.spatial_mean(cells)).drop("hottest_date", "coldest_date")
+
+
+@query
+def footer_catalog(spark, sf_dir):
+    """The catalog of a stored grid from the footers of its files."""
+    target = f"{scratch(spark)}/grid"
+    cells = slabs.read_netcdf(spark, _wind_files(spark, sf_dir), dataset=stem())
+    write_grid(cells.drop("time_fields", "time_raw"), target, files=8)
+    return footers.catalog_of_footers(spark, target)
