@@ -219,6 +219,7 @@ def month_name(month: Column) -> Column:
 
 def period(year: Column, baseline_until: int = 2010, current_until: int = 2040) -> Column:
     """Baseline up to and including the first bound, Current up to and including the second, Future after it."""
+    # The labels.
     return (
         F.when(year <= baseline_until, F.lit("Baseline"))
         .when(year <= current_until, F.lit("Current"))

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graticule.functions.calendar import clock_text, days_in_model, fields_of, parse_model_units
+from graticule.functions.calendar import clock_text, days_in_model, fields_of
 from graticule.operators.groups import cut_lineage
 from graticule.shipping import ship
 from graticule.sources import hdf5, netcdf3
