@@ -13,10 +13,12 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from graticule.llm.common import mapped, scratch_path, small_batches, stored, text_of
 
@@ -31,6 +33,9 @@ SCHEMA = (
 
 VERSION = re.compile(rb"WARC/1\.[01]\r?\n")
 MEMBER = b"\x1f\x8b\x08"
+MEMBER_START, HEADER_END, BLANK = re.compile(re.escape(MEMBER)), re.compile(rb"\r\n\r\n"), re.compile(rb"\s*")
+CHUNK = 64 << 10  # bytes of a compressed member that are inflated at once
+MEMBER_BYTES = 1 << 30  # a member that inflates to more is quarantined
 
 
 def base32_sha1(content: Column) -> Column:
@@ -103,20 +108,23 @@ def write(
         ).text(path)
 
 
-def parse_record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
-    """Header fields, block and end of the record at a place. Raises ValueError where a check fails."""
+def parse_record(data: bytes, at: int, ends: Ahead) -> tuple[dict[str, str], bytes, int]:
+    """Header fields, block and end of the record at a place, where ``ends`` finds the ends of headers. Raises ValueError
+    where a check fails."""
     version = VERSION.match(data, at)
     if not version:
         raise ValueError("no version line")
-    head_end = data.find(b"\r\n\r\n", version.end() - 2)
-    if head_end < 0:
+    head_end = ends.next(version.end() - 2)
+    if head_end == len(data):
         raise ValueError("header without an end")
-    fields = {}
-    for line in data[version.end() : head_end].decode("utf-8", "replace").split("\r\n"):
-        name, colon, value = line.partition(":")
+    fields, place = {}, version.end()
+    while place < head_end:  # a line at a time: the end may belong to a record far behind
+        stop = data.find(b"\r\n", place, head_end + 2)
+        name, colon, value = data[place:stop].decode("utf-8", "replace").partition(":")
         if not colon:
             raise ValueError("malformed header line")
         fields[name.strip().lower()] = value.strip()
+        place = stop + 2
     if not re.fullmatch(r"\d{1,18}", fields.get("content-length", "")):
         raise ValueError("no content length")
     if "warc-type" not in fields:
@@ -147,57 +155,78 @@ def sha1(content: bytes) -> str:
     return base64.b32encode(hashlib.sha1(content).digest()).decode()
 
 
-def open_member(data: bytes, at: int) -> tuple[bytes, int]:
-    """Content and end of the compressed member at a place. Raises ValueError if it is damaged or cut off."""
+def open_member(data: bytes, at: int, most: int = MEMBER_BYTES) -> tuple[bytes, int]:
+    """Content and end of the compressed member at a place, read by ``CHUNK``. Raises ValueError if it is damaged, cut off
+    or inflates to more than ``most`` bytes."""
     unpacked = zlib.decompressobj(31)
-    try:
-        content = unpacked.decompress(memoryview(data)[at:])
-    except zlib.error as e:
-        raise ValueError(f"damaged member: {e}") from None
-    if not unpacked.eof:
-        raise ValueError("member is cut off")
-    return content, len(data) - len(unpacked.unused_data)
-
-
-def salvage(data: bytes, base: int = 0) -> Iterator[tuple[int, int, str | None, dict[str, str], bytes]]:
+    view, place, parts, held = memoryview(data), at, [], 0
+    while not unpacked.eof:
+        chunk = unpacked.unconsumed_tail or view[place : place + CHUNK]
+        if not unpacked.unconsumed_tail:
+            place += len(chunk)
+        try:
+            part = unpacked.decompress(chunk, 16 * CHUNK)
+        except zlib.error as e:
+            raise ValueError(f"damaged member: {e}") from None
+        held += len(part)
+        if held > most:
+            raise ValueError("member inflates beyond the limit")
+        if not len(chunk) and not part and not unpacked.eof:
+            raise ValueError("member is cut off")
+        parts.append(part)
+    return b"".join(parts), place - len(unpacked.unused_data)
+
+
+class Ahead:
+    """The next hit of a pattern from a place on. Hits are remembered, so that places that only grow are searched once."""
+
+    def __init__(self, data: bytes, pattern: re.Pattern):
+        self.data, self.pattern = data, pattern
+        self.since, self.hit = 0, -1
+
+    def next(self, at: int) -> int:
+        """Where the next hit starts; the length of the data if there is none."""
+        if not self.since <= at <= self.hit:
+            found = self.pattern.search(self.data, at)
+            self.since, self.hit = at, found.start() if found else len(self.data)
+        return self.hit
+
+
+def salvage(data: bytes, inside: bool = False, most: int = MEMBER_BYTES) -> Iterator[tuple[int, int, str | None, dict[str, str], bytes]]:
     """Records and quarantined gaps of an archive, in order: offset, length, problem (NULL for a record), fields, block.
 
-    Offsets within a compressed member are those of the member. White space between records is no gap.
+    Offsets within a compressed member are those of the member, which holds plain records only: ``inside`` it no further
+    member is opened. A member that inflates to more than ``most`` bytes is a gap. White space between records is no gap.
     """
+    versions, members, ends = Ahead(data, VERSION), Ahead(data, MEMBER_START), Ahead(data, HEADER_END)
     at, bad, why = 0, None, ""
     while at < len(data):
         try:
-            if data.startswith(MEMBER, at):
-                content, stop = open_member(data, at)
-                inner = list(salvage(content))
-                if not any(problem is None for _, _, problem, _, _ in inner):
+            if not inside and data.startswith(MEMBER, at):
+                content, stop = open_member(data, at, most)
+                inner, first = salvage(content, inside=True), []
+                for found in inner:
+                    first.append(found)
+                    if found[2] is None:
+                        break
+                else:
                     raise ValueError("member holds no record")
-                found = [(base + at, stop - at, problem, fields, block) for _, _, problem, fields, block in inner]
+                records = ((at, stop - at, *found[2:]) for found in chain(first, inner))
             else:
-                fields, block, stop = parse_record(data, at)
-                found = [(base + at, stop - at, None, fields, block)]
+                fields, block, stop = parse_record(data, at, ends)
+                records = iter([(at, stop - at, None, fields, block)])
         except ValueError as e:
             if bad is None:
-                if not data[at:].strip(b"\r\n \t") and not data[at:].strip():
-                    return
                 bad, why = at, str(e)
-            at = next_start(data, at + 1)
+            at = versions.next(at + 1) if inside else min(versions.next(at + 1), members.next(at + 1))
             continue
-        if bad is not None:
-            yield base + bad, at - bad, why, {}, b""
-            bad = None
-        yield from found
+        if bad is not None and not BLANK.fullmatch(data, bad, at):
+            yield bad, at - bad, why, {}, b""
+        bad = None
+        yield from records
         at = stop
-    if bad is not None:
-        yield base + bad, len(data) - bad, why, {}, b""
-
-
-def next_start(data: bytes, at: int) -> int:
-    """The next place that looks like a version line or a compressed member. What precedes it may be cut off anywhere."""
-    version = VERSION.search(data, at)
-    member = data.find(MEMBER, at)
-    places = [p for p in (version.start() if version else -1, member) if p >= 0]
-    return min(places, default=len(data))
+    if bad is not None and not BLANK.fullmatch(data, bad):
+        yield bad, len(data) - bad, why, {}, b""
 
 
 def read(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
@@ -205,7 +234,8 @@ def read(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame
 
     ``problem`` is NULL for a record and says what failed first for a gap of quarantined bytes, given by file, offset and
     length. ``payload_bytes`` and ``payload_digest`` are of the payload found in a response; a revisit has those that its
-    header names. Each archive is read in one piece, at most 2 GB, by one task; a longer one fails the job.
+    header names. Each archive is read in one piece, at most 2 GB, by one task; a longer one fails the job. A compressed
+    member of more than 1 GiB of content is a gap.
     """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
@@ -248,11 +278,17 @@ def row_of(found: tuple, with_payload: bool) -> tuple:
 
 
 def roundtrip(pages: DataFrame, least_bytes: int = 0, page_id: str = "page_id") -> DataFrame:
-    """Writes the pages to archives in the shared folder and reads them back: one row per record, without payloads."""
+    """Writes the pages to archives in the shared folder and reads them back: one row per record, without payloads. A gap
+    in these archives would be a lost page, so it fails the job."""
     spark = pages.sparkSession
     path = scratch_path(spark, "warc")
     write(pages, path, page_id=page_id, least_bytes=least_bytes)
-    kind = pages.schema[page_id].dataType
-    return read(spark, path, with_payload=False).where("problem is null").select(
+    return records_only(read(spark, path, with_payload=False), pages.schema[page_id].dataType, page_id)
+
+
+def records_only(found: DataFrame, kind: DataType, page_id: str = "page_id") -> DataFrame:
+    """The records of archives that must be whole. A gap fails the job, by file and offset."""
+    lost = F.raise_error(F.concat(F.lit("gap in "), "file", F.lit(" at "), F.col("offset").cast("string"), F.lit(": "), "problem"))
+    return found.where(F.when(F.col("problem").isNull(), F.lit(True)).otherwise(lost.cast("boolean"))).select(
         F.col("page_id").cast(kind).alias(page_id), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to")
     )

@@ -9,6 +9,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql.types import LongType
 
 from graticule.llm import htmltext, warc
 from graticule.llm.common import scratch_path, table
@@ -156,6 +157,41 @@ def test_salvage_of_compressed_archives():
     assert found(whole + record(3)) == ([0, 1, 2, 3], [])
 
 
+def test_limits_of_members():
+    data = gzip.compress(record(1, b"x" * 5000)) + gzip.compress(record(2))
+    kinds = [(f.get("x-page-id"), problem) for _, _, problem, f, _ in warc.salvage(data, most=1000)]
+    assert kinds == [(None, "member inflates beyond the limit"), ("2", None)]
+    nested = gzip.compress(gzip.compress(record(3) * 9) * 2, mtime=0)
+    assert found(nested + record(4))[0][-1] == 4 and found(nested)[1][0][0] == 0  # members in a member are not opened
+    assert found(record(5) + b" \n" + record(6)) == ([5, 6], [])  # white space is no gap
+
+
+@pytest.mark.parametrize(
+    "piece",
+    [
+        gzip.compress(record(1, random.Random(1).randbytes(9000)), mtime=0),
+        record(1, random.Random(1).randbytes(9000)).replace(b"WARC-Type", b"WARC-Typo"),
+        b"WARC/1.0\r\n" + b"x: y\r\n" * 1000,
+        b"junk \n" + record(1, random.Random(1).randbytes(9000)),
+        warc.MEMBER + b"\x00" * 9000,
+    ],
+)
+def test_salvage_takes_linear_time(piece):
+    def seconds(n):
+        began = time.process_time()
+        assert sum(1 for _ in warc.salvage(piece * n)) >= 1
+        return time.process_time() - began
+
+    seconds(50)
+    assert seconds(4000) < 24 * max(seconds(500), 0.02)
+
+
+def test_a_gap_in_own_archives_fails(spark):
+    gap = spark.createDataFrame([("f", 5, "cut off", None, None, None, None, None)], "file string, offset long, problem string, page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string")
+    with pytest.raises(Exception, match="gap in f at 5: cut off"):
+        warc.records_only(gap, LongType()).select("payload_bytes").collect()
+
+
 def test_gaps_are_reported_with_their_file(spark):
     pages = spark.createDataFrame([(k, "u", f"<p>page {k}") for k in range(20)], "page_id long, url string, html string")
     path = scratch_path(spark, "warc-test")
