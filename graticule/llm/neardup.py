@@ -241,18 +241,30 @@ def apart(members: DataFrame, open_members: DataFrame, label: DataFrame) -> Data
     return named.join(largest, "key").where(F.col("class") != F.col("main")).join(met, ["key", "id"], "left_anti").select("key", "id", "size")
 
 
-def met_in_blocks(open_members: DataFrame, members: DataFrame, label: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def dealt(seekers: DataFrame, members: DataFrame) -> DataFrame:
+    """Which block of a bucket's seekers (x) meets which block of its members (y), as rows (key, id, seeks, x, y). Seekers
+    and members fill blocks of about ``BLOCK`` each, so with few seekers the rows grow as the bucket does, and a bucket
+    without seekers has none."""
+    counts = seekers.groupBy("key").agg(F.count("*").alias("seekers"))
+    across, down = F.ceil(F.col("seekers") / BLOCK).cast("int"), F.ceil(F.col("size") / BLOCK).cast("int")
+
+    def place(parts: Column) -> Column:
+        return F.pmod(F.xxhash64("id"), parts).cast("int")
+
+    def every(parts: Column) -> Column:
+        return F.explode(F.sequence(F.lit(0), parts - 1))
+
+    left = seekers.join(counts, "key").select("key", "id", F.lit(True).alias("seeks"), place(across).alias("x"), every(down).alias("y"))
+    right = members.join(counts, "key").select("key", "id", F.lit(False).alias("seeks"), every(across).alias("x"), place(down).alias("y"))
+    return left.unionByName(right)
+
+
+def met_in_blocks(seekers: DataFrame, members: DataFrame, label: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Links of members outside the largest class of their bucket with all its other members, unless links connect the
-    two already. A bucket is dealt in blocks of about ``BLOCK`` members; a task compares two blocks on the full shingle
-    sets and returns links only, so pairs are never rows."""
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    every = F.explode(F.sequence(F.lit(0), blocks - 1))
-    keys = open_members.select("key").distinct()
-    left = open_members.select("key", "id", F.lit(True).alias("seeks"), own.alias("x"), every.alias("y"))
-    right = members.join(keys, "key", "left_semi").select("key", "id", F.lit(False).alias("seeks"), own.alias("y"), every.alias("x"))
+    two already. A task compares a block of seekers with a block of members on the full shingle sets and returns links
+    only, so pairs are never rows."""
     labelled = sets.join(label, "id", "left").select("id", F.coalesce("class", "id").alias("class"), "shingles")
-    units = left.unionByName(right).join(labelled, "id")
+    units = dealt(seekers, members).join(labelled, "id")
     kind = dict(members.dtypes)["id"]
 
     def compare(unit: pa.Table) -> pa.Table:

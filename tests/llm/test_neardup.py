@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from texts import awkward, frame, prose
 
 from graticule.llm import neardup
@@ -75,6 +76,22 @@ def test_families_joined_by_one_pair_of_different_hubs(spark, monkeypatch, more)
     assert {r.id: r["class"] for r in found.collect()} == dict.fromkeys(first, 1)
 
 
+def test_rows_sent_grow_as_the_bucket_does(spark, monkeypatch):
+    """With three seekers; each of them still meets every other member in exactly one task."""
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    sent = []
+    for size in (100, 200, 400):
+        members = spark.range(size).select(F.lit(7).alias("key"), "id", F.lit(size).cast("long").alias("size"))
+        members = members.unionByName(spark.range(500, 540).select(F.lit(9).alias("key"), "id", F.lit(40).cast("long").alias("size")))
+        rows = neardup.dealt(members.where("id < 3"), members).collect()
+        assert {r.key for r in rows} == {7}
+        sent.append(len(rows))
+        for s in range(3):
+            blocks = {(r.x, r.y) for r in rows if r.seeks and r.id == s}
+            assert sorted(r.id for r in rows if not r.seeks and (r.x, r.y) in blocks) == list(range(size))
+    assert sent[2] < 4.5 * sent[0] and sent[2] < 2 * 400
+
+
 def test_one_document_of_each_class_stays(spark):
     pairs = [p for p in planted(random.Random(9)) if p[0] not in (6, 14, None)]
     docs = frame(spark, pairs)
