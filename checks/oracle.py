@@ -342,6 +342,8 @@ ORACLE = {
     "boundary_vertices": vertices(),
     "boundary_scan": vertices(),
     "boundary_collection": vertices(),
+    "boundary_split_collection": vertices(),
+    "boundary_shapefile": vertices(),
     "histogram": given("h") + histogram("value", "h"),
     "histogram_temperature": given("t") + histogram("value", "t"),
     "histogram_per_latitude": given("h") + histogram("value", "h", "lat"),

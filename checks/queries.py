@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks import netcdf_fixture, standins
+from checks.shapefile_fixture import write_shapefiles
 from graticule import GridSpec, sinks
 from graticule.functions import calendar, classify, sphere
 from graticule.operators import axis, boundary, catalog, cube, indices, series, stats, story, wind
@@ -16,6 +17,7 @@ from graticule.operators.groups import shared_dir
 from graticule.plans import explore, views
 from graticule.sources import boundaries, footers, slabs
 from graticule.sources.netcdf3 import ingest_netcdf3, read_catalog, read_netcdf3
+from graticule.sources.shapefile import read_shapefile
 from graticule.sources.tables import ingest_table, read_grid, write_grid
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -307,6 +309,30 @@ def boundary_collection(spark, sf_dir):
     return cut_all(boundary.outline_vertices(boundaries.read_boundaries(spark, folder)), "x", "y", "z")
 
 
+@query
+def boundary_split_collection(spark, sf_dir):
+    """The same boundaries through collections of up to 5,000 features without a line break, cut at their features."""
+    folder = scratch(spark)
+    shapes = standins.features(spark, sf_dir)
+    geometry = F.format_string('{"type":"%s","coordinates":%s}', F.col("kind"), F.col("coordinates"))
+    named = F.to_json(F.struct(F.col("name").alias("NAME")))
+    feature = F.format_string('{"type":"Feature","properties":%s,"geometry":%s}', named, F.coalesce(F.when(F.col("kind").isNotNull(), geometry), F.lit("null")))
+    part = (F.substring("name", -9, 9).cast("int") / 5000).cast("int")
+    listed = shapes.groupBy(part.alias("part")).agg(F.array_join(F.collect_list(feature), ",").alias("all"))
+    whole = F.format_string('{"type":"FeatureCollection","features":[%s]}', F.col("all"))
+    listed.select("part", whole.alias("value")).write.partitionBy("part").text(folder)
+    return cut_all(boundary.outline_vertices(boundaries.read_boundaries(spark, folder, split=True)), "x", "y", "z")
+
+
+@query
+def boundary_shapefile(spark, sf_dir):
+    """The same boundaries through shapefiles of at most 500 records."""
+    folder = scratch(spark)
+    part = (F.substring("name", -9, 9).cast("int") / 500).cast("int").alias("part")
+    write_shapefiles(standins.features(spark, sf_dir).select("*", part), folder, "part")
+    return cut_all(boundary.outline_vertices(read_shapefile(spark, folder)), "x", "y", "z")
+
+
 # Distribution
 
 

@@ -7,10 +7,11 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from checks.shapefile_fixture import file_bytes, shape_bytes
 from graticule import sinks
 from graticule.operators import boundary
 from graticule.plans import explore, views
-from graticule.sources import boundaries
+from graticule.sources import boundaries, shapefile
 
 SQUARE = [[0, 0], [1, 0], [1, 1], [0, 0]]
 FEATURES = [
@@ -123,3 +124,80 @@ def test_views(dataset):
     assert [r.time_idx for r in told["frames"].orderBy("step").collect()] == [0, 7, 15, 23, 31, 39]
     assert told["globe"].where("abs(x * x + y * y + z * z - 1) > 1e-12").count() == 0
     assert views.globe(tas, 0)["surface"].count() == 4
+
+
+def collection(text_of_features, more=""):
+    return f'{{"type":"FeatureCollection","name":"x","features":[{text_of_features}]{more}}}'
+
+
+@pytest.mark.parametrize("spaced", [False, True])
+def test_one_long_object_is_read_by_several_tasks(spark, tmp_path, spaced):
+    many = [dict(f, properties={"NAME": f"{f['properties']['NAME']}{k}"}) for k in range(300) for f in FEATURES]
+    separators, path = (" , ", " : ") if spaced else (",", ":"), tmp_path / "one.json"
+    path.write_text(collection(",".join(json.dumps(f, separators=separators) for f in many), ',"bbox":[0,0,1,1]'))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        table = boundaries.read_boundaries(spark, str(path), split=True)
+        rows = table.select("name", "rings", F.spark_partition_id().alias("task")).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len({r.task for r in rows}) > 4
+    assert sorted(r.name for r in rows) == sorted(f["properties"]["NAME"] for f in many)
+    assert {(r.name[0], len(r.rings) if r.rings is not None else None) for r in rows} == {("A", 1), ("B", 2), ("C", None), ("D", None)}
+
+
+def test_collections_that_cannot_be_cut(spark, tmp_path):
+    feature = json.dumps(FEATURES[0])
+    for k, (text, count) in enumerate([
+        (collection(""), 0), (collection(feature), 1), (collection(feature.replace('"A"', '"Feature"')), None),
+        (collection('{"properties":{"NAME":"A"},"type":"Feature","geometry":null}'), None), (collection(feature)[:-30], None),
+    ]):
+        path = tmp_path / f"{k}.json"
+        path.write_text(text)
+        table = boundaries.read_geojson(spark, str(path), split=True)
+        if count is None:
+            with pytest.raises(Exception):
+                table.collect()
+        else:
+            assert len(table.collect()) == count
+
+
+SHAPES = [
+    shape_bytes([SQUARE[::-1], SQUARE]),  # a hole runs the other way
+    shape_bytes([SQUARE[::-1], [[x + 5, y] for x, y in SQUARE[::-1]]]),
+    shape_bytes([SQUARE]),  # alone, it is outer
+    shape_bytes(None, [1, 2]), shape_bytes(None),
+]
+
+
+def save_shapefile(folder, shapes, names, stem="a", upper=False, **other):
+    folder.mkdir(exist_ok=True)
+    for suffix, content in {**file_bytes(shapes, names), **other}.items():
+        (folder / f"{stem}.{suffix.upper() if upper else suffix}").write_bytes(content)
+    return str(folder / f"{stem}.{'SHP' if upper else 'shp'}")
+
+
+@pytest.mark.parametrize("upper", [False, True])
+def test_shapefile(spark, tmp_path, monkeypatch, upper):
+    monkeypatch.setattr(shapefile, "RECORDS", 2)
+    path = save_shapefile(tmp_path / "s", SHAPES, ["A", "Åland", "", "P", "N"], upper=upper)
+    for table in (boundaries.read_boundaries(spark, path), boundaries.read_boundaries(spark, str(tmp_path / "none.shp"), path), shapefile.read_shapefile(spark, str(tmp_path / "s"), "name")):
+        rows = {r.name: [[(p.lon, p.lat) for p in ring] for ring in r.rings] if r.rings is not None else None for r in table.collect()}
+        square = [tuple(map(float, p)) for p in SQUARE]
+        assert rows == {"A": [square], "Åland": [square, [(x + 5, y) for x, y in square]], None: [square], "P": None, "N": None}
+
+
+def test_awkward_shapefiles(spark, tmp_path):
+    assert shapefile.read_shapefile(spark, save_shapefile(tmp_path / "empty", [], [])).count() == 0
+    latin = save_shapefile(tmp_path / "latin", SHAPES[:1], ["\xc5"], cpg=b"UTF-8")
+    assert [r.name for r in shapefile.read_shapefile(spark, latin).collect()] == ["\xc5"]
+    (tmp_path / "latin" / "a.dbf").unlink()
+    assert [r.name for r in shapefile.read_shapefile(spark, latin).collect()] == [None]
+    whole = file_bytes(SHAPES, list("abcde"))
+    bad = {"shp": whole["shp"][:200], "shx": b"x" * 140, "dbf": whole["dbf"][:150], "prj": b'PROJCS["UTM"]'}
+    for suffix, content in bad.items():
+        path = save_shapefile(tmp_path / suffix, SHAPES, list("abcde"), **{suffix: content})
+        with pytest.raises(Exception, match="a.shx: "):
+            shapefile.read_shapefile(spark, path).collect()
+    with pytest.raises(Exception, match="no field POP, only scalerank, name"):
+        shapefile.read_shapefile(spark, save_shapefile(tmp_path / "f", SHAPES, list("abcde")), "POP").collect()
