@@ -220,6 +220,82 @@ def dispatch() -> str:
           when target is not null then 'fallback' else 'none' end end as wind_source from p"""
 
 
+def flattened(panel: str, metrics: dict[str, str], table: str, item: str = "0") -> str:
+    """Rows (dataset, variable, position, panel, item, metric, value) of a table that has the first three."""
+    return " union all ".join(
+        f"""select dataset_id, variable, cast(position as int) as position, '{panel}' as panel, cast({item} as int) as item,
+        '{name}' as metric, {q(f'cast({value} as double)')} as value from {table}"""
+        for name, value in metrics.items()
+    )
+
+
+def pages() -> str:
+    """Every panel of the page of each variable of each run. ``x`` are cells of whole numbers, ``s`` spatial means."""
+    widths = ", ".join(f"{m}e{k}::double" for k in range(-6, 6) for m in (1, 2, 5))
+
+    def bins(name: str, table: str, by: str) -> str:
+        return f"""{name}_l as (select *, case when lo = hi then 1.0::double else (select min(w) from (select unnest([{widths}]) as w)
+            where w >= (hi - lo) / 40 and floor(hi / w) - floor(lo / w) + 1 <= 40) end as width
+            from (select {by}, min(value) as lo, max(value) as hi from {table} where value is not null group by {by})),
+          {name} as (select {by}, cast(floor((value - start) / width) as int) as bin, start, width, count(*) as n from
+            (select {table}.*, width, case when lo = hi then lo else floor(lo / width) * width end as start
+             from {table} join {name}_l using ({by}) where value is not null) group by {by}, bin, start, width)"""
+
+    def opened(panel: str, table: str, where: str = "true") -> str:
+        return f"""(select d.dataset_id, d.variable, position, {table}.* exclude (dataset_id, variable) from d join {table}
+          on {table}.dataset_id = d.dataset_id and {table}.variable = d.target where d.panel = '{panel}' and {where})"""
+
+    both = "(select d.dataset_id, d.variable, position, {0}.* exclude (dataset_id) from d join {0} using (dataset_id) where wind_source = 'components')"
+    edges = {"bin_start": "start + bin * width", "bin_end": "start + (bin + 1) * width", "n": "n"}
+    values = {"n": "n", "mean": "mean", "max": "max", "min": "min"}
+    views = "(select *, -1 as position from shown)"
+    base, listing = dispatch().split(" select dataset_id, variable, category, cast(position as int)", 1)
+    head = base.rstrip() + f""", d as (select dataset_id, variable, category, cast(position as int){listing}),
+      x as (select * replace (cast(cast(round(value * 100) as bigint) % 64 as double) as value) from runs),
+      s as (select dataset_id, variable, time, avg(value) as value from x group by all),
+      years as (select dataset_id, variable, year(time) as item, avg(value) as mean, sum(value) as total from s group by all),
+      months as (select dataset_id, variable, month(time) as item, avg(value) as mean, sum(value) as total from s group by all),
+      peaks as ({extreme("s", "dataset_id, variable")}),
+      facts as (select dataset_id, variable, count(*) filter (value > 20) as heavy_days, count(*) filter (value > 0) as snow_days,
+        sum(value) as snow_amount from s group by all),
+      dry as ({streak("s", 15, "dataset_id, variable")}),
+      v as (select dataset_id, variable, count(value) as n, avg(value) as mean, max(value) as max, min(value) as min from x group by all),
+      uvs as (select dataset_id, a.value as u, b.value as v, sqrt(a.value * a.value + b.value * b.value) as value
+        from (select distinct dataset_id, u_variable, v_variable from d where wind_source = 'components') names
+        join x a using (dataset_id) join x b using (dataset_id, time, lat, lon) where a.variable = u_variable and b.variable = v_variable),
+      gusts as (select *, {DIRECTION} as direction from (select dataset_id, count(*) as n_speed, avg(value) as mean_speed,
+        max(value) as max_speed, {WIND_MEANS}, count(*) filter (value > 20) as storm_samples,
+        count(*) filter (value > 32) as severe_samples from uvs group by 1)),
+      ranked as (select *, dense_rank() over (partition by dataset_id, variable order by time) - 1 as i from x),
+      shown as (select dataset_id, variable, count(value) as n, sum(value) as total, min(value) as lo, max(value) as hi,
+        max(abs(value)) as top from ranked join (select dataset_id, variable, max(i) as last from ranked group by all) using (dataset_id, variable)
+        where i = least(50, last) group by all),
+      {bins("hv", "x", "dataset_id, variable")}, {bins("hs", "uvs", "dataset_id")} """
+    day = "date_diff('day', date '1970-01-01', cast({} as date))".format
+    peak = {"hottest": "hottest", "hottest_date": day("hottest_date"), "coldest": "coldest", "coldest_date": day("coldest_date"),
+            "hot_days": "hot_days", "tropical_nights": "tropical_nights"}
+    gust = {c: c for c in ("n_speed", "mean_speed", "max_speed", "mean_u", "mean_v", "storm_samples", "severe_samples", "direction")}
+    return head + " union all ".join([
+        flattened("temperature.annual_mean", {"mean": "mean"}, opened("temperature", "years"), "item"),
+        flattened("temperature.monthly_cycle", {"mean": "mean"}, opened("temperature", "months"), "item"),
+        flattened("temperature.extremes", peak, opened("temperature", "peaks")),
+        flattened("rainfall.annual_total", {"total": "total"}, opened("rainfall", "years"), "item"),
+        flattened("rainfall.monthly_total", {"total": "total"}, opened("rainfall", "months"), "item"),
+        flattened("rainfall.heavy_days", {"heavy_days": "heavy_days"}, opened("rainfall", "facts")),
+        flattened("rainfall.dry_streak", {"longest_dry_streak": "longest_dry_streak"}, opened("rainfall", "dry")),
+        flattened("rainfall.snow", {"snow_days": "snow_days", "snow_amount": "snow_amount"}, opened("rainfall", "facts")),
+        flattened("humidity.humidity", values, opened("humidity", "v")),
+        flattened("humidity.histogram", edges, opened("humidity", "hv"), "bin"),
+        flattened("distribution.mean", {"n": "n", "mean": "mean"}, opened("distribution", "v")),
+        flattened("distribution.histogram", edges, opened("distribution", "hv"), "bin"),
+        flattened("wind.fallback", values, opened("wind", "v", "wind_source = 'fallback'")),
+        flattened("wind.wind", gust | {"peak_speed": "max_speed"}, both.format("gusts")),
+        flattened("wind.histogram", edges, both.format("hs"), "bin"),
+        flattened("view.cells", {"n": "n", "total": "total"}, views),
+        flattened("view.range", {"vmin": "lo", "vmax": "hi", "symmetric_min": "-top", "symmetric_max": "top"}, views),
+    ])
+
+
 RUN_VARIABLES = ["hurs", "pr", "precip", "prsn", "sfcWind", "snw", "sst", "tas", "u10", "uas", "vas"]
 T_TIME = "cast(time as varchar) as time"
 WIND_MEANS = "avg(u) as mean_u, avg(v) as mean_v"
@@ -377,6 +453,7 @@ ORACLE = {
         (select dataset_id, time, lat, lon, a.value as u, b.value as v
          from (select * from runs where variable = 'uas') a join (select * from runs where variable = 'vas') b
          using (dataset_id, time, lat, lon)) group by 1)""",
+    "explore_pages": pages(),
     "prevailing_direction": given("w")
     + f"""select {q("mean_u")} as mean_u, {q("mean_v")} as mean_v, {q(DIRECTION)} as direction, {compass(DIRECTION)} as compass
       from (select {WIND_MEANS} from w)""",
@@ -529,3 +606,4 @@ ORACLE = {
         for i, (name, column) in enumerate((("uas", "u"), ("vas", "v"), ("hurs", "hurs")))
     ),
 }
+ORACLE["wind_stats_colocated"] = ORACLE["wind_stats_long"]

@@ -14,8 +14,8 @@ from graticule import GridSpec, sinks
 from graticule.functions import calendar, classify, sphere
 from graticule.operators import axis, boundary, catalog, cube, indices, series, stats, story, wind
 from graticule.operators.groups import shared_dir
-from graticule.plans import explore, views
-from graticule.sources import boundaries, footers, slabs
+from graticule.plans import explore, pages, views
+from graticule.sources import boundaries, colocated, footers, slabs
 from graticule.sources.netcdf3 import ingest_netcdf3, read_catalog, read_netcdf3
 from graticule.sources.shapefile import read_shapefile
 from graticule.sources.tables import ingest_table, read_grid, write_grid
@@ -420,6 +420,19 @@ def wind_stats_long(spark, sf_dir):
     return cut_all(found, "mean_speed", "max_speed", "mean_u", "mean_v", "direction")
 
 
+@query
+def wind_stats_colocated(spark, sf_dir):
+    """The same from a table stored by the hash of the cell: the components meet without a shuffle."""
+    places = {f"{c}_idx": F.floor((F.col(c) - start) / step).cast("int") for c, start, step in (("lat", -60, 30), ("lon", -144, 72))}
+    folder = scratch(spark)
+    name = f"runs_{uuid.uuid4().hex}"
+    colocated.write_colocated(standins.runs(spark, sf_dir).withColumns(places), name, 8, path=folder)
+    stored = spark.table(name)
+    uv = wind.pair_from_long(stored, "uas", "vas", colocated.cell_keys(stored))
+    found = wind.wind_stats(uv, by=["dataset_id"])
+    return cut_all(found, "mean_speed", "max_speed", "mean_u", "mean_v", "direction")
+
+
 @query
 def wind_gaps(spark, sf_dir):
     """Cells that only one component has: their means are independent, speed needs both."""
@@ -694,6 +707,29 @@ def explore_page(spark, sf_dir):
     return rows
 
 
+@query
+def explore_pages(spark, sf_dir):
+    """All panels of the pages of all variables of all runs, flattened: an item is a year, month or bin, else 0."""
+    whole = F.pmod(F.rint(F.col("value") * 100), F.lit(64.0))  # whole numbers have exact sums, so that ties are ties
+    grid = standins.runs(spark, sf_dir).withColumn("value", whole)
+    found = pages.all_pages(grid, index=50, dry_below=DRY_BELOW, **PERIODS)
+    rows = None
+    for (panel, result), df in found.items():
+        if result == "cells":
+            df = df.groupBy("dataset_id", "variable", "position").agg(F.count("value").alias("n"), F.sum("value").alias("total"))
+        item = next((c for c in ("year", "month", "bin") if c in df.columns), None)
+        days = {c: F.unix_date(c) for c, kind in df.dtypes if kind == "date"}
+        df = df.withColumns(days)
+        numbers = [c for c, kind in df.dtypes if kind in ("double", "bigint", "int") and c not in ("position", item)]
+        metrics = F.array(*[F.struct(F.lit(c).alias("metric"), cut(F.col(c).cast("double")).alias("value")) for c in numbers])
+        flat = df.select(
+            "dataset_id", "variable", F.col("position").cast("int").alias("position"), F.lit(f"{panel}.{result}").alias("panel"),
+            (F.col(item) if item else F.lit(0)).cast("int").alias("item"), F.inline(metrics),
+        )
+        rows = flat if rows is None else rows.unionByName(flat)
+    return rows
+
+
 @query
 def netcdf_header(spark, sf_dir):
     listed = read_netcdf3(spark, _wind_files(spark, sf_dir), content="header")

@@ -58,6 +58,13 @@ def from_headers(headers: DataFrame, spec: GridSpec = DEFAULT, dataset: str = "d
     )
 
 
+def levels_from_headers(headers: DataFrame, spec: GridSpec = DEFAULT, dataset: str = "dataset_id") -> DataFrame:
+    """The further dimensions of each variable, as ``levels``, from file headers. Several files of a dataset add up."""
+    axes = F.array(*[F.lit(c) for c in dict.fromkeys((spec.time, "time", "TIME", spec.lat, spec.lon))])
+    further = headers.where(~F.col("is_coordinate")).groupBy(dataset, "variable").agg(F.flatten(F.collect_set("dims")).alias("dims"))
+    return further.select(dataset, "variable", F.array_sort(F.array_except("dims", axes)).alias("levels"))
+
+
 def mappable(catalog: DataFrame, with_time: bool = False) -> DataFrame:
     """Variables that span latitude and longitude, and time if asked."""
     spans = (F.col("n_lat") > 0) & (F.col("n_lon") > 0)

@@ -57,11 +57,14 @@ def humidity_panel(df: DataFrame, spec: GridSpec = DEFAULT) -> dict[str, DataFra
     return {"humidity": stats.value_stats(df, spec), "histogram": stats.histogram(df, spec)}
 
 
-def levels_by_variable(dataset: DataFrame, spec: GridSpec) -> dict[str, list[str]]:
-    """The further dimensions that each variable has, in a grid that has any."""
+def levels_by_variable(dataset: DataFrame, spec: GridSpec, listed: DataFrame | None = None) -> dict[str, list[str]]:
+    """The further dimensions that each variable has, in a grid that has any. A catalog with ``levels`` tells them; without
+    one all cells are read."""
     extra = spec.extra_names(dataset)
     if not extra:
         return {}
+    if listed is not None and "levels" in listed.columns:
+        return {r["variable"]: [e for e in extra if e in (r["levels"] or ())] for r in listed.collect()}
     there = [F.max(F.col(e).isNotNull()).alias(e) for e in extra]
     return {r["variable"]: [e for e in extra if r[e]] for r in dataset.groupBy("variable").agg(*there).collect()}
 
@@ -79,12 +82,13 @@ def explore(
     """All panels of one dataset in a long grid, by panel name.
 
     Only the list of its variables comes to the driver. Spatial-mean series are computed while the page is built, and so
-    is the list unless ``listed`` brings a stored catalog, with which no cell is read for it. The other results are lazy.
+    is the list unless ``listed`` brings a stored catalog, with which no cell is read for it; in a grid with further
+    dimensions it needs their names in ``levels``, else the cells tell them. The other results are lazy.
     Dimensions that a variable lacks, levels included, are no columns of its panels.
     """
     dataset = grid.where(F.col("dataset_id") == dataset_id)
     listed = cut_lineage(cat.catalog(dataset, spec) if listed is None else listed.where(F.col("dataset_id") == dataset_id))
-    levels = levels_by_variable(dataset, spec)
+    levels = levels_by_variable(dataset, spec, listed)
     chosen_row = cat.choose_variable(listed, override, chosen).first()
     if chosen_row is None:
         raise ValueError(f"no dataset {dataset_id!r}")

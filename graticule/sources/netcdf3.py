@@ -35,7 +35,7 @@ from pyspark.sql.datasource import (
 )
 
 from graticule.functions.calendar import decodable_range, parse_units
-from graticule.operators.catalog import from_headers
+from graticule.operators.catalog import from_headers, levels_from_headers
 from graticule.shipping import ship
 from graticule.sources.tables import write_grid
 
@@ -533,7 +533,8 @@ def ingest_netcdf3(
     (see ``write_grid``), and writes the catalog of their headers beside it."""
     write_grid(read_netcdf3(spark, source, **options), target, mode=mode, files=files)
     headers = read_netcdf3(spark, source, content="header")
-    from_headers(headers).write.mode(mode).parquet(catalog_path(target))
+    levels = levels_from_headers(headers)
+    from_headers(headers).join(levels, ["dataset_id", "variable"], "left").write.mode(mode).parquet(catalog_path(target))
 
 
 def catalog_path(target: str) -> str:
@@ -541,6 +542,8 @@ def catalog_path(target: str) -> str:
     return f"{target.rstrip('/')}/_catalog"
 
 
-def read_catalog(spark: SparkSession, target: str) -> DataFrame:
-    """The catalog that ingest stored: a row per dataset and variable, from which pages start without reading a cell."""
-    return spark.read.parquet(catalog_path(target))
+def read_catalog(spark: SparkSession, target: str, levels: bool = False) -> DataFrame:
+    """The catalog that ingest stored: a row per dataset and variable, from which pages start without reading a cell. With
+    ``levels`` also the names of further dimensions, which a page over a grid that has any needs for that."""
+    found = spark.read.parquet(catalog_path(target))
+    return found if levels else found.drop("levels")

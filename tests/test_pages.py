@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from checks.shapefile_fixture import file_bytes, shape_bytes
 from graticule import sinks
-from graticule.operators import boundary
-from graticule.plans import explore, views
+from graticule.operators import boundary, catalog
+from graticule.plans import explore, pages, views
 from graticule.sources import boundaries, shapefile
 
 SQUARE = [[0, 0], [1, 0], [1, 1], [0, 0]]
@@ -116,6 +116,48 @@ def test_explore_of_a_static_field(dataset):
     assert set(alone["1_rainfall"]) == {"snow"} and alone["3_wind"] == {}
 
 
+def test_all_pages_hold_each_page(dataset):
+    """Every result of a page is that of ``explore``, for another dataset beside it too."""
+    both = dataset.unionByName(dataset.where("variable <> 'pr'").withColumns({"dataset_id": F.lit("e"), "value": F.col("value") + 1}))
+    unnamed = dataset.where("time_idx = 0").withColumn("dataset_id", F.lit(None).cast("string"))
+    every = {key: (df.columns, df.collect()) for key, df in pages.all_pages(both.unionByName(unnamed)).items()}
+    for variable, least in (("tas", 10), ("hurs", 6)):
+        panels = {k: v for k, v in explore.explore(dataset, "d", override=variable).items() if k[0].isdigit()}
+        shown = [(int(name[0]), name[2:], result, df) for name, results in panels.items() for result, df in results.items()]
+        assert len(shown) >= least
+        for position, panel, result, df in shown:
+            columns, rows = every[panel, result]
+            mine = [r for r in rows if (r.dataset_id, r.variable, r.position) == ("d", variable, position)]
+            assert sorted(tuple(r[c] for c in df.columns) for r in mine) == sorted(map(tuple, df.collect())), (panel, result)
+        assert sum(r.dataset_id == "d" and r.variable == variable for r in every["view", "cells"][1]) == 4
+
+
+def test_all_pages_of_awkward_grids(dataset):
+    assert all(df.isEmpty() for df in pages.all_pages(dataset.where("false")).values())
+    alone = pages.all_pages(dataset.where("variable = 'orog'"))
+    assert alone["rainfall", "snow"].count() == 1 and alone["wind", "wind"].count() == 0
+
+
+def test_levels_of_a_page_come_from_the_catalog(dataset, spark):
+    height = dataset.withColumns({"lev_idx": F.lit(None).cast("int"), "lev": F.lit(None).cast("double")})
+    deep = height.where("variable = 'tas'").withColumns({"lev_idx": F.lit(1), "lev": F.lit(500.0)})
+    grid = height.where("variable <> 'tas'").unionByName(deep)
+    listed = catalog.catalog(grid)
+    told = listed.withColumn("levels", F.when(F.col("variable") == "tas", F.array(F.lit("lev"))))
+    spec = explore.DEFAULT
+    assert explore.levels_by_variable(grid, spec, told)["tas"] == explore.levels_by_variable(grid, spec)["tas"] == ["lev"]
+    unread = grid.withColumn("lev", F.raise_error(F.lit("a cell was read")).cast("double"))
+    assert explore.levels_by_variable(unread, spec, told)["pr"] == []
+    page = explore.explore(grid, "d", override="tas", listed=told)
+    assert "lev" in page["heatmap"]["cells"].columns
+    assert "lev" not in explore.explore(grid, "d", override="pr", listed=told)["heatmap"]["cells"].columns
+    headers = spark.createDataFrame(
+        [("d", "tas", False, ["time", "lev", "lat", "lon"]), ("d", "pr", False, ["time", "lat", "lon"]), ("d", "lev", True, ["lev"])],
+        "dataset_id string, variable string, is_coordinate boolean, dims array<string>",
+    )
+    assert {r.variable: r.levels for r in catalog.levels_from_headers(headers).collect()} == {"tas": ["lev"], "pr": []}
+
+
 def test_views(dataset):
     tas = dataset.where("variable = 'tas'")
     compared = views.compare(tas, 3, 3)

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from graticule.operators import axis, cube, indices, series, stats, story, wind
 from graticule.operators.groups import attach
 from graticule.plans import views
+from graticule.sources import colocated
+from graticule.spec import MissingRole
 
 
 @pytest.fixture(scope="module")
@@ -123,3 +125,28 @@ def test_grouped_slices_bound_the_scan(stored):
     """A slice by group filters by the range of its steps in the one scan that it needs."""
     text = plan(axis.time_slice(stored.withColumnRenamed("spare", "dataset"), 50, by=["dataset"]))
     assert re.search(r"GreaterThanOrEqual\(time_idx,50\)", text) and text.count("FileScan") == 1
+
+
+def test_components_of_a_colocated_grid_meet_without_a_shuffle(spark, stored, tmp_path):
+    long = stored.select("*", F.explode(F.array(F.lit("uas"), F.lit("vas"))).alias("variable")).withColumn("dataset_id", F.lit("d"))
+    long = long.where("not (variable = 'vas' and time_idx = 7 and lat_idx = 0)").withColumn("value", F.expr("if(variable = 'vas', -value, value)"))
+    colocated.write_colocated(long, "wind_cells", 4, path=f"file://{tmp_path}/t")
+    found = spark.table("wind_cells")
+    keys = colocated.cell_keys(found)
+    assert keys == ["dataset_id", "time_idx", "lat_idx", "lon_idx"]
+    size = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        uv = wind.pair_from_long(found, "uas", "vas", keys)
+        text = final_plan(uv)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
+    assert "Exchange" not in text and text.count("Bucketed: true") >= 2
+    rows = uv.collect()
+    assert len(rows) == 4800 and sum(r.v is None for r in rows) == 8 and all(r.v is None or r.v == -r.u for r in rows)
+    once = found.groupBy(*keys).agg(F.max(F.when(F.col("variable") == "uas", F.col("value"))).alias("u"))
+    assert "Exchange" not in final_plan(once)
+    with pytest.raises(MissingRole):
+        colocated.cell_keys(found.drop("lat_idx"))
+    colocated.write_colocated(long.where("false"), "no_cells", 4, path=f"file://{tmp_path}/e")
+    assert spark.table("no_cells").count() == 0
