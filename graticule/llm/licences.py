@@ -116,7 +116,18 @@ TEXTS = {
         " this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
     ],
 }
-TEMPLATES = {name: TEMPLATES.get(name, []) + texts for name, texts in TEXTS.items()}
+# Fixed value: the one sentence by which it is known.
+TEXTS["Unlicense"] = ["This is free and unencumbered software released into the public domain."]
+TAG = "SPDX-License-Identifier:"
+
+
+def short_forms(name: str) -> list[str]:
+    """The tag that names a licence, and "Licensed under GPLv3" for the GNU licences."""
+    gnu = re.fullmatch(r"([AL]?GPL)-(\d)\.0", name)
+    return [f"{TAG} {name}", *([f"{how} {gnu[1]}v{gnu[2]}." for how in ("Licensed under", "Licensed under the")] if gnu else [])]
+
+
+TEMPLATES = {name: TEMPLATES.get(name, []) + texts + short_forms(name) for name, texts in TEXTS.items()}
 
 WORD = re.compile(r"[^\W_]+(?:\.\d+)*")
 
@@ -176,7 +187,8 @@ class Matcher:
                         without -= v * v
                 self.vectors.append(vector)
                 self.lengths.append(len(words_of(notice)))
-                self.needed.append(vector.keys() & ({words_of(name)[0]} if self.lengths[-1] >= LEAST_WINDOW else vector.keys()))
+                said = self.lengths[-1] >= LEAST_WINDOW and not notice.startswith(TAG)
+                self.needed.append(vector.keys() & ({words_of(name)[0]} if said else vector.keys()))
                 self.names.append(name)
 
     def weight_of(self, count: int) -> float:
@@ -187,8 +199,8 @@ class Matcher:
     ) -> tuple[float, str | None]:
         """Cosine and name of the closest notice, the first by name of equal ones; (0.0, None) below ``least``. Words
         outside all notices have their counts in ``others``; with ``floor`` they get the least weight. With
-        ``titles`` given, a notice that says the licence's name counts only with it, and a title, of fewer words than
-        ``LEAST_WINDOW``, only with all its words, or not at all if ``titles`` is false."""
+        ``titles`` given, a notice that says the licence's name counts only with it, a tag only with all its words, and a
+        title, of fewer words than ``LEAST_WINDOW``, only with all of them, or not at all if ``titles`` is false."""
         counts = Counter(words)
         known = {w: n for w, n in counts.items() if w in self.weight}
         if not known:

@@ -123,3 +123,33 @@ def test_a_notice_needs_the_name_it_says():
     matcher = licences.Matcher(1000, {"mit": 800}, {"MIT": ["Licensed under the MIT License."]})
     for text, wanted in (("Licensed under the License", None), ("Licensed under the MIT License", "MIT")):
         assert matcher.judge(*matcher.passages(text, 0.75), {}, 0.75)[1] == wanted
+
+
+def test_tags_and_short_forms():
+    """In a source file, whatever opens the comment; a tag of a licence that is not known is none."""
+    given = {
+        "SPDX-License-Identifier: MIT": "MIT", "SPDX-License-Identifier: Apache-2.0": "Apache-2.0", "SPDX-License-Identifier: ISC": "ISC",
+        "SPDX-License-Identifier: GPL-3.0-or-later": "GPL-3.0", "SPDX-License-Identifier: GPL-2.0-only": "GPL-2.0", "SPDX-License-Identifier: LGPL-2.1+": "LGPL-2.1",
+        "SPDX-License-Identifier: BSD-3-Clause": "BSD-3-Clause", "SPDX-License-Identifier: BSD-4-Clause": None, "SPDX-License-Identifier: EPL-2.0": None,
+        "SPDX-License-Identifier: EUPL-1.2": None, "SPDX-License-Identifier: Unlicense": "Unlicense", "Licensed under GPLv3.": "GPL-3.0",
+        "Licensed under the AGPLv3.": "AGPL-3.0", "This is free and unencumbered software released into the public domain.": "Unlicense",
+        "The identifier of a license is a word.": None, "Licensed under.": None, "SPDX-License-Identifier:": None,
+    }
+    for texts, common in ((60, 5), (3_000_000, 900)):
+        counts = {w: common for w in licences.vocabulary(licences.TEMPLATES) if w not in ("spdx", "identifier")}
+        matcher = licences.Matcher(texts, counts, licences.TEMPLATES)
+        for line, wanted in given.items():
+            for text in (line, f"// {line}", f"#!/bin/sh\n# {line}\nfor i in a b c; do echo $i; done\n", f"/*\n * {line}\n */\nint main() {{ return 0; }}"):
+                assert matcher.judge(*matcher.passages(text, 0.75), {}, 0.75)[1] == wanted, (text, texts)
+
+
+def test_tags_in_files_and_what_their_directory_gives(spark):
+    rng = random.Random(9)
+    tagged = f"# SPDX-License-Identifier: Apache-2.0\n{prose(rng, 200)}"
+    rows = [
+        (0, "a/x.py", tagged), (1, "a/y.py", prose(rng, 30)), (2, "b/LICENSE", "SPDX-License-Identifier: MIT"), (3, "b/c/z.py", prose(rng, 30)),
+        (4, "b/c/own.py", tagged), *[(k, f"z/{k}", prose(rng, 30)) for k in range(5, 30)],
+    ]
+    found = {r.id: (r.licence, r.origin) for r in licences.licences(spark.createDataFrame(rows, "id int, path string, text string")).collect()}
+    assert found[0] == ("Apache-2.0", "own") and found[1] == (None, None) and found[4] == ("Apache-2.0", "own")
+    assert found[2] == ("MIT", "own") and found[3] == ("MIT", "directory b")
