@@ -12,7 +12,6 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graticule.llm.common import mapped, small_batches
+from graticule.llm.common import kept_by_worker, mapped, small_batches
 
 KNOWN_STRETCHES = 400_000
 LONG_STRETCH = 100
@@ -174,12 +173,12 @@ class Vocabulary:
         return [coded[a:b] for a, b in zip([0, *stops], stops)]
 
 
-@lru_cache(maxsize=2)
+@kept_by_worker(maxsize=2)
 def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-@lru_cache(maxsize=2)
+@kept_by_worker(maxsize=2)
 def known_stretches(path: str, pattern: str) -> dict[str, bytes]:
     """Kept by a worker from task to task."""
     return {}

@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graticule.llm.common import free_name, mapped, small_batches, stored
+from graticule.llm.common import free_name, kept_by_worker, mapped, small_batches, stored
 from graticule.shipping import ship
 
 WORDS, SIMILARITY = 5, 0.8
@@ -30,6 +29,7 @@ BANDS, ROWS = 38, 6  # a pair of similarity 0.8 shares no band once in 100,000 c
 HUB_BLOCKS = ((1, 1), (2, 4), (5, 16))  # ranks of the members that the others are compared with, by round
 MOST_UNLIKE = 44  # of the sketch's bits; a pair of similarity 0.8 differs in more once in 100,000 cases
 BLOCK = 512
+SETS_AT_ONCE = 512  # sets for which darts are held at once, about 1,700 for a set of any size
 SALTS = 32
 KNOWN_WORDS = 300_000
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -42,7 +42,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=1)
+@kept_by_worker(maxsize=1)
 def known_words() -> dict[str, int]:
     """Hashes of words, kept by a worker from task to task."""
     return {}
@@ -72,12 +72,13 @@ def shingles(texts: list[str], words: int = WORDS) -> list[np.ndarray]:
 def dart_signatures(sets: list[np.ndarray], weights: list[np.ndarray], size: int) -> np.ndarray:
     """Signatures (set, coordinate) of weighted sets of 64-bit elements. Sets must not be empty, nor weights zero."""
     signature = np.zeros((len(sets), size), np.uint64)
-    todo = np.arange(len(sets))
     reach = (size * math.log(size) + 2 * size) / np.array([w.sum() for w in weights])
-    while len(todo):
-        filled = throw(sets, weights, todo, reach, size, signature)
-        todo = todo[~filled]
-        reach[todo] *= 2  # a coordinate without a dart: throw for twice as long
+    for start in range(0, len(sets), SETS_AT_ONCE):
+        todo = np.arange(start, min(start + SETS_AT_ONCE, len(sets)))
+        while len(todo):
+            filled = throw(sets, weights, todo, reach, size, signature)
+            todo = todo[~filled]
+            reach[todo] *= 2  # a coordinate without a dart: throw for twice as long
     return signature
 
 
@@ -191,7 +192,17 @@ def as_hubs(members: DataFrame, *more: str) -> DataFrame:
 
 
 def links(signatures: DataFrame, docs: DataFrame, similarity: float, words: int) -> DataFrame:
-    """Verified links (a, b) that connect all texts of a class; one text stands for all with its shingle set."""
+    """Edges (a, b) from the smallest identifier of each class to its other texts."""
+    return spokes(linked(signatures, docs, similarity, words))
+
+
+def spokes(label: DataFrame) -> DataFrame:
+    return label.where("id <> class").select(F.col("class").alias("a"), F.col("id").alias("b"))
+
+
+def linked(signatures: DataFrame, docs: DataFrame, similarity: float, words: int) -> DataFrame:
+    """The classes (id, class) that verified links connect, of texts that have any; one text stands for all with its
+    shingle set. Links found in blocks are added to the classes known before, not to the links that made these."""
     rows = signatures.select("id", "n", F.explode("bands").alias("key"))
     sizes = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     shared = stored(rows.join(sizes, "key"), "neardup-shared")
@@ -218,14 +229,14 @@ def links(signatures: DataFrame, docs: DataFrame, similarity: float, words: int)
         if low == 1:
             done = done.unionByName(ranked.where("rank = 1").select("key", F.col("hub").alias("id")))
         open_members = stored(large.join(done.distinct(), ["key", "id"], "left_anti"), "neardup-open")
-    if found:
-        label = stored(components(union_of(found)), "neardup-joined")
-        seekers = stored(apart(members, open_members, label), "neardup-apart")
-        if not seekers.isEmpty():
-            found.append(stored(met_in_blocks(seekers, members, label, sets, similarity), "neardup-links"))
     if not found:
-        return members.select(F.col("id").alias("a"), F.col("id").alias("b")).where("false")
-    return union_of(found).distinct()
+        return members.select("id", F.col("id").alias("class")).where("false")
+    label = components(union_of(found).distinct())
+    seekers = stored(apart(members, open_members, label), "neardup-apart")
+    if seekers.isEmpty():
+        return label
+    more = stored(met_in_blocks(seekers, members, label, sets, similarity), "neardup-links")
+    return label if more.isEmpty() else components(spokes(label).unionByName(more))
 
 
 def apart(members: DataFrame, open_members: DataFrame, label: DataFrame) -> DataFrame:
@@ -331,7 +342,7 @@ def classes(
     signs = stored(signed(chosen, words=words), "neardup-signed")
     known = signs.where("content is not null and id is not null")
     first = stored(known.groupBy("content").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "neardup-texts")
-    found = components(links(first, chosen, similarity, words))
+    found = linked(first, chosen, similarity, words)
     lead = first.select("content", F.col("id").alias("lead")).join(found.withColumnRenamed("id", "lead"), "lead", "left")
     lead = lead.select("content", F.coalesce("class", "lead").alias("class_id"))
     joined = signs.join(lead, "content", "left")

@@ -1,13 +1,15 @@
 """Near duplicates against all pairs, and the signatures against the similarity they estimate."""
 
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from texts import awkward, frame, prose
 
-from graticule.llm import neardup
+from graticule.llm import bpe, common, neardup
 
 
 def sets_of(pairs):
@@ -126,3 +128,49 @@ def test_components_follow_long_paths(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 200), (300, 200)]
     found = {r.id: r["class"] for r in neardup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert found == {**{k: 0 for k in range(41)}, 100: 100, 200: 100, 300: 100}
+
+
+def test_many_short_texts_need_little_memory():
+    """Every set throws about 1,700 darts however small it is, so their number at once must not grow with the batch."""
+    sets = [np.array([3 * k, 3 * k + 1, 3 * k + 2], np.uint64) for k in range(6000)]
+    weights = [np.ones(3)] * len(sets)
+    tracemalloc.start()
+    found = neardup.dart_signatures(sets, weights, 228)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 150e6
+    picked = [0, 511, 512, 5999]
+    assert all(np.array_equal(found[k], neardup.dart_signatures([sets[k]], [weights[k]], 228)[0]) for k in picked)
+
+
+def test_a_worker_keeps_the_words_of_one_operator_only():
+    bpe.known_stretches("path", "pattern")["word"] = b"1234"
+    neardup.known_words()["word"] = 1
+    common.release("graticule.llm.neardup")
+    assert neardup.known_words() == {"word": 1} and bpe.known_stretches("path", "pattern") == {}
+    common.release("graticule.llm.bpe")
+    assert neardup.known_words() == {}
+
+
+def test_operators_release_what_others_keep(spark):
+    """In the worker as well: it runs one operator's task, then another's."""
+    docs = frame(spark, [(k, f"some words of text {k}") for k in range(20)]).repartition(1)
+    neardup.signed(docs.select(F.col("doc_id").alias("id"), "text")).collect()
+
+    def told(batches):
+        from graticule.llm import neardup as there
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(there.known_words())], pa.int64())], ["n"])
+
+    assert {r.n for r in common.mapped(docs.select("doc_id"), told, "n long").collect()} == {0}
+
+
+@pytest.mark.parametrize("seeking", [True, False])
+def test_classes_grow_by_links_found_in_blocks(spark, seeking):
+    """Classes known before the blocks meet are joined by the links that the blocks add, and stay where none are added."""
+    edges = spark.createDataFrame([(1, 2), (2, 3), (7, 8), (8, 9)], "a long, b long")
+    label = neardup.components(edges)
+    more = spark.createDataFrame([(3, 9)] if seeking else [], "a long, b long")
+    found = {r.id: r["class"] for r in neardup.components(neardup.spokes(label).unionByName(more)).collect()}
+    assert found == ({k: 1 for k in (1, 2, 3, 7, 8, 9)} if seeking else {1: 1, 2: 1, 3: 1, 7: 7, 8: 7, 9: 7})
