@@ -10,8 +10,8 @@ from __future__ import annotations
 
 import hashlib
 import os
+from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import pairwise
 
 import numpy as np
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graticule.llm.bpe import stretches
-from graticule.llm.common import mapped, small_batches, stored
+from graticule.llm.common import kept_by_worker, mapped, small_batches, stored
 
 BATCH_BYTES = 1 << 20
 KNOWN_STRETCHES = 400_000
@@ -56,10 +56,10 @@ class ByteLevel:
             split.append([f" {first}", *rest])
         if len(self.known) > KNOWN_STRETCHES:
             self.known.clear()
-        new = list({s for parts in split for s in parts} - self.known.keys())
+        new = list(set().union(*split).difference(self.known))
         for s, encoding in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[s] = np.array(encoding.ids, "<u4").tobytes()
-        found = [np.frombuffer(b"".join(map(self.known.__getitem__, parts)), "<u4").astype(np.int64) for parts in split]
+            self.known[s] = array("I", encoding.ids).tobytes()
+        found = [np.frombuffer(b"".join(map(self.known.__getitem__, parts)), np.uintc).astype(np.int64) for parts in split]
         for s in new:
             if len(s) > LONG_STRETCH:
                 del self.known[s]
@@ -82,14 +82,36 @@ class Pieces:
         return [np.array(ids, np.int64) for ids in self.model.encode(texts, num_threads=1)]
 
 
-@lru_cache(maxsize=2)
-def tokenizers(path_a: str, path_b: str) -> tuple[ByteLevel, Pieces, np.ndarray, np.ndarray, list[str]]:
+@kept_by_worker(maxsize=2)
+def tokenizers(path_a: str, path_b: str) -> tuple[ByteLevel, Pieces, "Spelling", "Spelling", np.ndarray]:
     """Both tokenizers, the bytes of their tokens, and the texts of ids as they stand in a description of groups: at
     4 * id, + 1 if it ends its side of a group, + 2 if it is of the second tokenizer."""
     a, b = ByteLevel(path_a), Pieces(path_b)
-    sizes = [np.array([len(t) for t in side.tokens], np.int64) for side in (a, b)]
-    named = [f"{i}{end}" for i in range(max(map(len, sizes))) for end in (",", "|", ",", ";")]
-    return a, b, *sizes, named
+    named = [f"{i}{end}" for i in range(max(len(a.tokens), len(b.tokens))) for end in (",", "|", ",", ";")]
+    return a, b, Spelling(a.tokens), Spelling(b.tokens), np.array(named, "S")
+
+
+class Spelling:
+    """The bytes of all tokens of a vocabulary in one array."""
+
+    def __init__(self, tokens: list[bytes]) -> None:
+        self.sizes = np.array([len(t) for t in tokens], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.data = np.frombuffer(b"".join(tokens), np.uint8)
+
+    def spells(self, ids: list[np.ndarray], wanted: list[bytes]) -> np.ndarray:
+        """Which of the texts ``wanted`` the tokens ``ids`` spell."""
+        told = np.array([self.sizes[i].sum() for i in ids], np.int64) == np.array([len(w) for w in wanted])
+        texts = np.flatnonzero(told)
+        if not len(texts):
+            return told
+        every = np.concatenate([ids[k] for k in texts])
+        sizes = self.sizes[every]
+        at = np.arange(sizes.sum()) + np.repeat(self.starts[every] - np.cumsum(sizes) + sizes, sizes)
+        other = np.flatnonzero(self.data[at] != np.frombuffer(b"".join([wanted[k] for k in texts]), np.uint8))
+        stops = np.cumsum([len(wanted[k]) for k in texts])
+        told[texts[np.searchsorted(stops, other, side="right")]] = False
+        return told
 
 
 def first_at_least(wanted: np.ndarray, ends: np.ndarray, begin: np.ndarray) -> np.ndarray:
@@ -143,33 +165,41 @@ def linked_pairs(
     a: np.ndarray, b: np.ndarray, a_stops: np.ndarray, b_stops: np.ndarray, owner: np.ndarray, width: int
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, pair, links): the distinct pairs ``a * width + b`` of each text and how many links each has. Groups end at
-    ``a_stops`` and ``b_stops`` and belong to the texts ``owner``. Large groups pair their distinct ids only."""
+    ``a_stops`` and ``b_stops`` and belong to the texts ``owner``. Large groups pair their distinct ids only. Text and pair
+    make one number, which is sorted by itself where every row is one link."""
     a_starts, b_starts = np.concatenate([[0], a_stops[:-1]]), np.concatenate([[0], b_stops[:-1]])
     n_a, n_b = a_stops - a_starts, b_stops - b_starts
     links = n_a * n_b
     small = np.flatnonzero(links <= LARGE_GROUP)
     group = np.repeat(small, links[small])
     place = np.arange(len(group)) - np.repeat(np.cumsum(links[small]) - links[small], links[small])
-    texts = [owner[group]]
-    pairs = [a[a_starts[group] + place // n_b[group]] * width + b[b_starts[group] + place % n_b[group]]]
-    counts = [np.ones(len(group), np.int64)]
+    over, under = np.divmod(place, n_b[group])
+    room = (int(a.max(initial=0)) + 1) * width
+    key = owner[group] * room + a[a_starts[group] + over] * width + b[b_starts[group] + under]
+    keys, counts = [key], [np.ones(len(key), np.int64)]
     for g in np.flatnonzero(links > LARGE_GROUP).tolist():
         left, of_left = np.unique(a[a_starts[g] : a_stops[g]], return_counts=True)
         right, of_right = np.unique(b[b_starts[g] : b_stops[g]], return_counts=True)
-        pairs.append((left[:, None] * width + right).ravel())
+        keys.append((owner[g] * room + left[:, None] * width + right).ravel())
         counts.append((of_left[:, None] * of_right).ravel())
-        texts.append(np.full(len(pairs[-1]), owner[g]))
-    text, pair, count = map(np.concatenate, (texts, pairs, counts))
-    order = np.lexsort((pair, text))
-    text, pair, count = text[order], pair[order], count[order]
-    first = np.ones(len(text), bool)
-    first[1:] = (text[1:] != text[:-1]) | (pair[1:] != pair[:-1])
+    if len(keys) == 1:
+        key.sort()
+    else:
+        key, count = np.concatenate(keys), np.concatenate(counts)
+        order = np.argsort(key, kind="stable")
+        key, count = key[order], count[order]
+    first = np.ones(len(key), bool)
+    first[1:] = key[1:] != key[:-1]
     at = np.flatnonzero(first)
-    return text[at], pair[at], np.add.reduceat(count, at) if len(at) else count
+    if len(keys) == 1:
+        count = np.diff(at, append=len(key))
+    else:
+        count = np.add.reduceat(count, at)
+    return *np.divmod(key[at], room), count
 
 
-def described(a: np.ndarray, b: np.ndarray, a_stops: np.ndarray, b_stops: np.ndarray, named: list[str]) -> list[str]:
-    """The text of each id in the order of a description: the first side of a group, then its second."""
+def described(a: np.ndarray, b: np.ndarray, a_stops: np.ndarray, b_stops: np.ndarray, named: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The texts of all ids in the order of a description, the first side of a group, then its second; and where each ends."""
     n_a, n_b = np.diff(a_stops, prepend=0), np.diff(b_stops, prepend=0)
     codes = np.empty(len(a) + len(b), np.int64)
     a_at = np.arange(len(a)) + np.repeat(b_stops - n_b, n_a)
@@ -177,19 +207,18 @@ def described(a: np.ndarray, b: np.ndarray, a_stops: np.ndarray, b_stops: np.nda
     codes[a_at], codes[b_at] = a * 4, b * 4 + 2
     codes[a_at[a_stops - 1]] += 1
     codes[b_at[b_stops - 1]] += 1
-    return list(map(named.__getitem__, codes.tolist()))
+    padded = named[codes].view(np.uint8).reshape(len(codes), -1)
+    there = padded != 0
+    return padded[there].tobytes(), np.cumsum(np.count_nonzero(there, axis=1))
 
 
 def aligned_batch(texts: list[str | None], path_a: str, path_b: str, with_groups: bool) -> dict[str, list]:
-    side_a, side_b, size_a, size_b, named = tokenizers(path_a, path_b)
+    side_a, side_b, spelling_a, spelling_b, named = tokenizers(path_a, path_b)
     n = len(texts)
     present = [i for i, t in enumerate(texts) if t]
     ids_a, ids_b = (side.encode([texts[i] for i in present]) for side in (side_a, side_b))
-    kept = []
-    for k, i in enumerate(present):
-        wanted = b" " + texts[i].encode()
-        if all(b"".join(map(side.tokens.__getitem__, ids[k].tolist())) == wanted for side, ids in ((side_a, ids_a), (side_b, ids_b))):
-            kept.append(k)
+    wanted = [b" " + texts[i].encode() for i in present]
+    kept = np.flatnonzero(spelling_a.spells(ids_a, wanted) & spelling_b.spells(ids_b, wanted)).tolist()
     out = {c: [0] * n for c in ("n_a", "n_b", "n_groups", "n_links")}
     out |= {"groups_sha256": [""] * n, "groups": [""] * n, "pairs": [[]] * n, "links": [[]] * n}
     if not kept:
@@ -197,22 +226,22 @@ def aligned_batch(texts: list[str | None], path_a: str, path_b: str, with_groups
     rows = np.array([present[k] for k in kept])
     a, b = np.concatenate([ids_a[k] for k in kept]), np.concatenate([ids_b[k] for k in kept])
     a_sizes, b_sizes = (np.array([len(ids[k]) for k in kept]) for ids in (ids_a, ids_b))
-    a_at, b_at = common_ends(np.cumsum(size_a[a]), np.cumsum(size_b[b]), a_sizes, b_sizes)
+    a_at, b_at = common_ends(np.cumsum(spelling_a.sizes[a]), np.cumsum(spelling_b.sizes[b]), a_sizes, b_sizes)
     a_stops, b_stops = a_at + 1, b_at + 1
     owner = np.repeat(np.arange(len(kept)), a_sizes)[a_at]
     group_stops = np.searchsorted(owner, np.arange(len(kept)), side="right")
     links = np.cumsum(np.diff(a_stops, prepend=0) * np.diff(b_stops, prepend=0))[group_stops - 1]
-    text, pair, count = linked_pairs(a, b, a_stops, b_stops, owner, len(size_b))
+    text, pair, count = linked_pairs(a, b, a_stops, b_stops, owner, len(spelling_b.sizes))
     pair_edges = np.searchsorted(text, np.arange(len(kept) + 1))
-    words = described(a, b, a_stops, b_stops, named)
-    word_edges = [0, *np.cumsum(a_sizes + b_sizes).tolist()]
+    words, word_stops = described(a, b, a_stops, b_stops, named)
+    word_edges = [0, *word_stops[np.cumsum(a_sizes + b_sizes) - 1].tolist()]
     numbers = zip(rows.tolist(), a_sizes.tolist(), b_sizes.tolist(), np.diff(group_stops, prepend=0).tolist(), np.diff(links, prepend=0).tolist())
     for (row, *counts), (p, q), (v, w) in zip(numbers, pairwise(pair_edges.tolist()), pairwise(word_edges)):
         for c, value in zip(("n_a", "n_b", "n_groups", "n_links"), counts):
             out[c][row] = value
-        groups = "".join(words[v:w])[:-1]
-        out["groups_sha256"][row] = hashlib.sha256(groups.encode()).hexdigest()
-        out["groups"][row] = groups if with_groups else ""
+        groups = words[v : w - 1]
+        out["groups_sha256"][row] = hashlib.sha256(groups).hexdigest()
+        out["groups"][row] = groups.decode() if with_groups else ""
         out["pairs"][row], out["links"][row] = pair[p:q], count[p:q]
     return out
 

@@ -120,3 +120,38 @@ def test_galloping_finds_what_plain_search_finds():
 
 def test_empty_table(spark):
     assert crosstoken.alignment_counts(frame(spark, []), *PATHS).count() == 0
+
+
+def test_spelling_tells_which_texts_the_tokens_spell():
+    tokens = [b"a", b"", b"bc", b" \xc3", b"\xa9"]
+    spelling = crosstoken.Spelling(tokens)
+    rng = random.Random(6)
+    for _ in range(100):
+        ids = [np.array([rng.randrange(5) for _ in range(rng.randrange(6))], np.int64) for _ in range(rng.randrange(8))]
+        wanted = [b"".join(tokens[i] for i in one) for one in ids]
+        wrong = [rng.random() < 0.5 for _ in ids]
+        wanted = [rng.choice([w + b"a", w[:-1] + b"?", w[1:]]) if bad and w else w for w, bad in zip(wanted, wrong)]
+        right = [b"".join(tokens[i] for i in one) == w for one, w in zip(ids, wanted)]
+        assert spelling.spells(ids, wanted).tolist() == right
+
+
+def test_encoding_looks_at_new_stretches_only(libraries):
+    """The work of a batch must not grow with the number of stretches that the worker has met."""
+
+    class Met(str):
+        def __hash__(self):
+            nonlocal read
+            read += 1
+            return super().__hash__()
+
+    side, read = crosstoken.ByteLevel(PATHS[0]), 0
+    side.known = {Met(f"met {k}"): b"" for k in range(1000)}
+    texts, read = [prose(random.Random(7), 40), "x", prose(random.Random(8), 40)], 0
+    found = side.encode(texts)
+    assert read == 0
+    assert [x.tolist() for x in found] == [libraries[0].encode(" " + t, add_special_tokens=False).ids for t in texts]
+
+
+def test_links_of_no_group():
+    none = np.zeros(0, np.int64)
+    assert [len(x) for x in crosstoken.linked_pairs(none, none, none, none, none, 10)] == [0, 0, 0]
