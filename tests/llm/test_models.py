@@ -117,3 +117,24 @@ def test_every_language_with_enough_rows_is_learned(spark, monkeypatch):
     rows = [(100 * k + i, f"words of {name} number {i}", name) for k, (name, n) in enumerate([("a", 60), ("b", 50), ("c", 30), ("d", 25), ("e", 3)]) for i in range(n)]
     net = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), langid.F.lit(True))
     assert net.languages == ["a", "b", "c", "d"]
+
+
+def test_calibrated_thresholds_reach_the_result(spark, monkeypatch):
+    """What training calibrates for a language decides the flag of its rows, and no score."""
+    monkeypatch.setattr(toxicity, "LEAST_POSITIVES", 5)
+    rng = random.Random(11)
+    rows = [(k, prose(rng, 20) + (" vile words" if k % 3 == 0 else ""), ("en", "xx", None)[k % 2 + (k % 7 == 0)]) for k in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k, _, _ in rows], "doc_id long, toxic int")
+    net = toxicity.fit(docs, labels, ~toxicity.held_out())
+    net.thresholds["xx"] = 0.9999
+    assert "en" in net.thresholds
+    monkeypatch.setattr(toxicity, "fit", lambda *a: net)
+    found = {r.doc_id: r for r in toxicity.classify(docs, labels).collect()}
+    for k, _, name in rows:
+        assert found[k].threshold == net.thresholds.get(name, net.threshold)
+        assert found[k].flagged == (found[k].score >= found[k].threshold)
+        assert found[k].predicted == int(found[k].score >= 0.3)
+    bare = {r.doc_id: r for r in toxicity.classify(docs.drop("lang"), labels).collect()}
+    assert {r.threshold for r in bare.values()} == {net.threshold}
+    assert all(bare[k].score == found[k].score for k in bare)
